@@ -27,7 +27,7 @@ from tallyframe.operators.reconcile import (add_pair_counts, is_perfect_pairing,
 from tallyframe.plans import datasets as ds
 from tallyframe.plans import reports as R
 from tallyframe.session import AS_OF
-from tallyframe.sources.domain import Domain
+from tallyframe.sources.domain import Domain, domain
 from tallyframe.sources.tables import load, normalise_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +49,7 @@ def _t(spark, sf, name):
 
 
 def _d(spark, sf) -> Domain:
-    return Domain(spark, sf)
+    return domain(spark, sf)
 
 
 def _end():

@@ -20,7 +20,8 @@ source system; ``normalise_codes`` trims them when a report loads them.
 
 from __future__ import annotations
 
-from functools import cached_property
+import os
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,10 +66,35 @@ def _pad10(c: Column) -> Column:
 class Domain:
     """Lazily built domain views over one folder of driver tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, normalise: bool = True):
+    # Fixed-size reference tables stay literal relations; everything derived from the driver
+    # tables can be materialised.
+    LITERAL_VIEWS = ("reg_bband_bin_bands", "property_service_codes_custom", "rate_type")
+
+    def __init__(self, spark: SparkSession, sf_dir: str, normalise: bool = True,
+                 store: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.normalise = normalise
+        self.store = store
+        self._views: dict[str, DataFrame] = {}
+        self._lock = threading.Lock()
+
+    def view(self, name: str) -> DataFrame:
+        """The named view; with a ``store`` folder it is written there once as parquet and read
+        back, so reports scan a plain table instead of re-deriving it (and its lineage is cut)."""
+        with self._lock:
+            if name not in self._views:
+                df = getattr(self, f"build_{name}")()
+                if self.store and name not in self.LITERAL_VIEWS:
+                    path = os.path.join(self.store, name)
+                    df.write.mode("overwrite").parquet(path)
+                    df = self.spark.read.parquet(path)
+                self._views[name] = df
+            return self._views[name]
+
+    def materialise_all(self) -> None:
+        for name in VIEW_NAMES:
+            self.view(name)
 
     def _t(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
@@ -87,8 +113,7 @@ class Domain:
         return self.spark.createDataFrame(rows, schema)
 
     # ---------------------------------------------------------------- property register
-    @cached_property
-    def property(self) -> DataFrame:
+    def build_property(self) -> DataFrame:
         k = self._k()
         child = self._is_child()
         parent = F.when(child, k - k % 10)
@@ -122,8 +147,7 @@ class Domain:
               ))
         return normalise_codes(df, ["property_type"]) if self.normalise else df
 
-    @cached_property
-    def reg_bserv_bin_services(self) -> DataFrame:
+    def build_reg_bserv_bin_services(self) -> DataFrame:
         """Bin service registration: one row per property whose account is not in debit."""
         k = self._k()
         method = (F.when(k % 10 == 0, F.lit("SHA1")).when(self._is_child(), F.lit("MAN1"))
@@ -133,17 +157,14 @@ class Domain:
                         method.alias("c_calculation_method"),
                         F.lit(AUDIT_DATE).cast("timestamp_ntz").alias("c_audit_date")))
 
-    @cached_property
-    def reg_bband_bin_bands(self) -> DataFrame:
+    def build_reg_bband_bin_bands(self) -> DataFrame:
         return self._literal(BIN_BANDS, "c_code string, c_minimum_value int, c_maximum_value int, "
                                         "c_calculation_method string")
 
-    @cached_property
-    def property_service_codes_custom(self) -> DataFrame:
+    def build_property_service_codes_custom(self) -> DataFrame:
         return self._literal(SERVICE_CODES, "service_code string, is_active string")
 
-    @cached_property
-    def property_services_facts(self) -> DataFrame:
+    def build_property_services_facts(self) -> DataFrame:
         """Base service per property (not for households nor unit kinds 2/4), plus one extra
         service per bulk order line (quantity >= 49)."""
         k = self._k()
@@ -179,15 +200,13 @@ class Domain:
         return base.unionByName(lines)
 
     # ---------------------------------------------------------------- rates
-    @cached_property
-    def rate_type(self) -> DataFrame:
+    def build_rate_type(self) -> DataFrame:
         df = self._literal([(key, f"{code:<10}", cur, cat) for key, code, cur, cat in RATE_TYPES],
                            "ratetype_key bigint, ratetype string, is_current_period string, "
                            "category_code string")
         return normalise_codes(df, ["ratetype"]) if self.normalise else df
 
-    @cached_property
-    def rate_type_facts(self) -> DataFrame:
+    def build_rate_type_facts(self) -> DataFrame:
         """Base rate per property (not shared parents, not automobile accounts), plus one rate per
         urgent order."""
         k = self._k()
@@ -217,8 +236,7 @@ class Domain:
                   ))
         return base.unionByName(urgent)
 
-    @cached_property
-    def rate_assessment(self) -> DataFrame:
+    def build_rate_assessment(self) -> DataFrame:
         k = self._k()
         return self._t("customer").select(
             (k + 500000).alias("assessment_key"),
@@ -233,21 +251,18 @@ class Domain:
         )
 
     # ---------------------------------------------------------------- contacts
-    @cached_property
-    def property_assessment_links(self) -> DataFrame:
+    def build_property_assessment_links(self) -> DataFrame:
         k = self._k()
         return self._t("customer").select((k + 1000000).alias("tfklpaprop"),
                                           (k + 500000).alias("assessment_key"))
 
-    @cached_property
-    def property_owners(self) -> DataFrame:
+    def build_property_owners(self) -> DataFrame:
         """One owner row per property, two for keys divisible by 6 (joint owners)."""
         k = self._k()
         seq = F.when(k % 6 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
         return self._t("customer").select(k.alias("property_key"), F.explode(seq).alias("owner_seq"))
 
-    @cached_property
-    def names_applications(self) -> DataFrame:
+    def build_names_applications(self) -> DataFrame:
         k = self._k()
         return self._t("customer").select(
             (k + 500000).alias("tfkappl"),
@@ -256,15 +271,13 @@ class Domain:
             k.alias("name_key"),
         )
 
-    @cached_property
-    def names(self) -> DataFrame:
+    def build_names(self) -> DataFrame:
         k = self._k()
         return self._t("customer").select(
             k.alias("name_key"), F.concat(k.cast("string"), F.lit("@example.org")).alias("email"))
 
     # ---------------------------------------------------------------- CRM
-    @cached_property
-    def onecrm_request_questions(self) -> DataFrame:
+    def build_onecrm_request_questions(self) -> DataFrame:
         """Two question rows per click / view event: the property asked about and the case status."""
         e = F.col("event_id")
         qa = F.array(
@@ -278,8 +291,7 @@ class Domain:
                         _pick(e % 5, QUESTIONNAIRES).alias("questionnaire"),
                         F.inline(qa)))
 
-    @cached_property
-    def onecrm_task_information(self) -> DataFrame:
+    def build_onecrm_task_information(self) -> DataFrame:
         e = F.col("event_id")
         return (self._t("events").where(F.col("event_type") == "purchase")
                 .select((F.col("user_id") + 1000000).alias("propertykey"),
@@ -292,16 +304,14 @@ class Domain:
     def _agent_id() -> Column:
         return -1 - F.col("s_suppkey")
 
-    @cached_property
-    def crgntry(self) -> DataFrame:
+    def build_crgntry(self) -> DataFrame:
         s = F.col("s_suppkey")
         return self._t("supplier").select(
             s.alias("tpkcrgntry"),
             F.when(s % 2 == 0, 84).otherwise(85).alias("tfkcrgregs"),
             F.col("s_name").alias("keyval"))
 
-    @cached_property
-    def crgregv(self) -> DataFrame:
+    def build_crgregv(self) -> DataFrame:
         """Two register values per entry: field 953 (notice group code), 954 (agent link)."""
         s = F.col("s_suppkey")
         rows = F.array(
@@ -313,24 +323,21 @@ class Domain:
         return (self._t("supplier").select(s.alias("tfkcrgntry"), F.inline(rows))
                 .select("tpkcrgregv", "tfkcrgntry", "tfkcrgfeld", "regfldvalu"))
 
-    @cached_property
-    def crgrole(self) -> DataFrame:
+    def build_crgrole(self) -> DataFrame:
         s = F.col("s_suppkey")
         return self._t("supplier").select(
             (2 * s + 1).alias("tfklocl"), F.lit("cna").alias("fkcrgrolta"),
             F.lit(1).alias("fkcrgroltn"), F.lit("c").alias("status"),
             self._agent_id().alias("tfkappl"))
 
-    @cached_property
-    def cnaidty(self) -> DataFrame:
+    def build_cnaidty(self) -> DataFrame:
         agents = self._t("supplier").select(self._agent_id().alias("tpkcnaidty"),
                                             F.col("s_name").alias("formatname"))
         people = self._t("customer").select(self._k().alias("tpkcnaidty"),
                                             F.col("c_name").alias("formatname"))
         return agents.unionByName(people)
 
-    @cached_property
-    def cnaaddr(self) -> DataFrame:
+    def build_cnaaddr(self) -> DataFrame:
         """Agent addresses ('Level 1 <supplier>'); per customer an old address (2k) and a current
         one (2k+1) which, for k % 3 = 0, is care of the agent of supplier k % 10."""
         k = self._k()
@@ -350,8 +357,7 @@ class Domain:
         )
         return agents.unionByName(cust.select(F.inline(rows)))
 
-    @cached_property
-    def cnaidta(self) -> DataFrame:
+    def build_cnaidta(self) -> DataFrame:
         k = self._k()
         d95 = F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")
         d97 = F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")
@@ -366,28 +372,24 @@ class Domain:
         people = self._t("customer").select(k.alias("tfkcnaidty"), F.inline(rows))
         return agents.unionByName(people)
 
-    @cached_property
-    def lrantgp(self) -> DataFrame:
+    def build_lrantgp(self) -> DataFrame:
         s = F.col("s_suppkey")
         return self._t("supplier").select(s.alias("tpklrantgp"),
                                           F.concat(F.lit("NG"), s.cast("string")).alias("ntgpcode"))
 
-    @cached_property
-    def lraassm(self) -> DataFrame:
+    def build_lraassm(self) -> DataFrame:
         k = self._k()
         return self._t("customer").select(
             k.alias("tpklraassm"), (k % 10).alias("tfklrantgp"), k.cast("string").alias("assmnumber"),
             F.when(k % 13 == 0, "h").otherwise("c").alias("status"))
 
-    @cached_property
-    def cnarole(self) -> DataFrame:
+    def build_cnarole(self) -> DataFrame:
         k = self._k()
         return self._t("customer").select(
             k.alias("tpkcnarole"), k.alias("tfkappl"), F.lit("lra").alias("fkcnarolta"),
             F.lit(0).alias("fkcnaroltn"), F.lit("c").alias("status"), k.alias("tfkcnaidty"))
 
-    @cached_property
-    def cnarola(self) -> DataFrame:
+    def build_cnarola(self) -> DataFrame:
         """Override address role per ratepayer role; active only for keys divisible by 8."""
         k = self._k()
         return self._t("customer").select(
@@ -396,8 +398,38 @@ class Domain:
             F.lit("1998-01-01 00:00:00").cast("timestamp_ntz").alias("dateeffect"))
 
 
-def domain(spark: SparkSession, sf_dir: str, normalise: bool = True) -> Domain:
-    return Domain(spark, sf_dir, normalise)
+VIEW_NAMES = ['property', 'reg_bserv_bin_services', 'reg_bband_bin_bands', 'property_service_codes_custom', 'property_services_facts', 'rate_type', 'rate_type_facts', 'rate_assessment', 'property_assessment_links', 'property_owners', 'names_applications', 'names', 'onecrm_request_questions', 'onecrm_task_information', 'crgntry', 'crgregv', 'crgrole', 'cnaidty', 'cnaaddr', 'cnaidta', 'lrantgp', 'lraassm', 'cnarole', 'cnarola']
+
+
+def _view_property(name: str):
+    return property(lambda self: self.view(name), doc=f"The ``{name}`` view.")
+
+
+for _name in VIEW_NAMES:
+    setattr(Domain, _name, _view_property(_name))
+
+_DOMAINS: dict[tuple, Domain] = {}
+_DOMAINS_LOCK = threading.Lock()
+
+
+def domain(spark: SparkSession, sf_dir: str, normalise: bool = True,
+           materialise: bool = True) -> Domain:
+    """Session-wide register views over one folder of driver tables.
+
+    With ``materialise`` (default) each derived view is written once per session to a folder under
+    the session's checkpoint directory (the cluster's shared ``spark.checkpoint.dir``).
+    """
+    from tallyframe.session import checkpoint_dir
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), normalise, materialise)
+    with _DOMAINS_LOCK:
+        if key not in _DOMAINS:
+            store = None
+            if materialise:
+                tag = os.path.basename(os.path.abspath(sf_dir)) + ("" if normalise else "-raw")
+                store = os.path.join(checkpoint_dir(spark), "tallyframe-domain",
+                                     spark.sparkContext.applicationId, tag)
+            _DOMAINS[key] = Domain(spark, sf_dir, normalise, store)
+        return _DOMAINS[key]
 
 
 __all__ = ["Domain", "domain", "BIN_BANDS", "SERVICE_CODES", "RATE_TYPES", "T"]

@@ -23,6 +23,19 @@ def load(spark: SparkSession, source: str, name: str, fmt: str = "parquet",
     and filters are pushed to the scan by Catalyst, so callers select what they need afterwards.
     """
     opts = dict(options or {})
+    key = (spark.sparkContext.applicationId, source, name, fmt, tuple(sorted(opts.items())))
+    cached = _LOADED.get(key)
+    if cached is not None:
+        return cached
+    df = _load(spark, source, name, fmt, opts)
+    _LOADED[key] = df
+    return df
+
+
+_LOADED: dict[tuple, DataFrame] = {}
+
+
+def _load(spark: SparkSession, source: str, name: str, fmt: str, opts: dict) -> DataFrame:
     if source.startswith("jdbc:"):
         return spark.read.format("jdbc").options(url=source, dbtable=name, **opts).load()
     if fmt == "parquet":
