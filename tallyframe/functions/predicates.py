@@ -112,7 +112,7 @@ def not_contains(text: ColumnOrName, part: ColumnOrName, pattern: bool = False,
     if case_insensitive:
         t, p = F.lower(t), F.lower(p)
     if pattern:
-        return ~t.like(F.concat(F.lit("%"), p, F.lit("%")))
+        return ~F.like(t, F.concat(F.lit("%"), p, F.lit("%")))
     return ~F.contains(t, p)
 
 
