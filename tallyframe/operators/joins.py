@@ -110,7 +110,7 @@ def band_lookup(df: DataFrame, bands: DataFrame, value: ColumnOrName, out: str,
     """
     b = bands.where(band_filter) if band_filter is not None else bands
     cols = [lo, hi, code] + ([by[0]] if by else [])
-    rows = b.select(*cols).limit(MAX_INLINE_BANDS + 1).collect()
+    rows = _band_rows(bands, b, band_filter, cols)
     v = _c(value)
     if len(rows) <= MAX_INLINE_BANDS:
         conds = []
@@ -140,6 +140,19 @@ def band_lookup(df: DataFrame, bands: DataFrame, value: ColumnOrName, out: str,
             .drop("__lo", "__hi", "__by", "__n", rid))
 
 
+_BAND_ROWS: dict[tuple, tuple] = {}
+
+
+def _band_rows(bands: DataFrame, filtered: DataFrame, band_filter, cols) -> list:
+    """Rows of a (bounded) band table, read once per band DataFrame and filter."""
+    key = (id(bands), str(band_filter), tuple(cols))
+    hit = _BAND_ROWS.get(key)
+    if hit is None or hit[0] is not bands:
+        hit = (bands, filtered.select(*cols).limit(MAX_INLINE_BANDS + 1).collect())
+        _BAND_ROWS[key] = hit
+    return hit[1]
+
+
 def join_text_key(left: DataFrame, right: DataFrame, text_col: str, key_col: str,
                   how: str = "left") -> DataFrame:
     """Join a text column holding numbers to a numeric key; malformed text matches nothing."""

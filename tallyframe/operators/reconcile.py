@@ -44,10 +44,11 @@ def add_flags(df: DataFrame, compare: Mapping[str, tuple] | None = None,
 
 def add_pair_counts(df: DataFrame, keys: Sequence[str], a: str, b: str,
                     matched: str = "number_matched", mismatched: str = "number_mismatched",
-                    how: str = "aggregate") -> DataFrame:
+                    how: str = "aggregate", null_safe: bool = True) -> DataFrame:
     """Per key: number of rows where ``a = b`` and where ``a != b`` (nulls count in neither)."""
     return over_keys(df, keys, {matched: sum_if(F.col(a) == F.col(b)),
-                                mismatched: sum_if(F.col(a) != F.col(b))}, how=how)
+                                mismatched: sum_if(F.col(a) != F.col(b))}, how=how,
+                     null_safe=null_safe)
 
 
 def is_perfect_pairing(matched: Column | str, mismatched: Column | str) -> Column:

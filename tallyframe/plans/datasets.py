@@ -49,7 +49,8 @@ def rates_with_counts(d: Domain, as_of) -> DataFrame:
         F.col("property_key").alias("rate_property_key"), "rate_type_key",
         F.col("units").alias("rate_units"), "ratetype_key", "ratetype", "rate_bin_type",
         "rate_frequency", "assessment", "vgnumber")
-    return count_over(r, "ratetype", ["rate_property_key"], "number_rate_records")
+    # a rate without a property key never pairs, so its (null) group need not be kept
+    return count_over(r, "ratetype", ["rate_property_key"], "number_rate_records", null_safe=False)
 
 
 # ============================================================================ services
@@ -99,7 +100,8 @@ def single_property_services(d: Domain, as_of, with_assessment_key: bool = True)
            .join(pbr, F.col("property_key") == F.col("__reg_key"), "left")
            .select(*cols, "service_bin_type", "service_frequency", "service_units", "avg_bin_size",
                    F.left(F.col("__method"), F.lit(3)).alias("calculation_method"), "c_audit_date"))
-    out = count_over(out, "service_bin_type", ["tpklpaprop"], "number_service_records")
+    out = count_over(out, "service_bin_type", ["tpklpaprop"], "number_service_records",
+                     null_safe=False)
     return out.select(*cols, "service_bin_type", "service_frequency", "service_units",
                       "avg_bin_size", "calculation_method", "number_service_records", "c_audit_date")
 
@@ -133,7 +135,9 @@ def shared_child_rates(d: Domain, as_of) -> DataFrame:
                                        "ratetype", "rate_bin_type", "rate_frequency", "assessment",
                                        "vgnumber")
     j = cp.join(r, F.col("property_key") == F.col("__rk")).drop("__rk")
-    j = count_over(j, "property_key", ["parent_property_key"], "eligible_properties")
+    # rows without a parent never meet a parent row, so their (null) group need not be kept
+    j = count_over(j, "property_key", ["parent_property_key"], "eligible_properties",
+                   null_safe=False)
     return j.select("parent_property_key", "property_key", "parent_property_tpklpaprop",
                     "tpklpaprop", "eligible_properties", "child_formatted_address", "child_suburb",
                     "rate_type_key", "rate_units", "ratetype_key", "ratetype", "rate_bin_type",

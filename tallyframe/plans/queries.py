@@ -742,6 +742,61 @@ def q_dataset_parent_child_services(spark, sf):
     return ds.m_parent_child_service_aggregation(_d(spark, sf), AS_OF)
 
 
+@register("dataset_property")
+def q_dataset_property(spark, sf):
+    return ds.m_property(_d(spark, sf))
+
+
+@register("dataset_sud_properties")
+def q_dataset_sud_properties(spark, sf):
+    return ds.m_sud_properties(_d(spark, sf))
+
+
+@register("dataset_mud_parent_properties")
+def q_dataset_mud_parent_properties(spark, sf):
+    return ds.m_mud_parent_properties(_d(spark, sf))
+
+
+@register("dataset_sud_services")
+def q_dataset_sud_services(spark, sf):
+    return ds.m_sud_services(_d(spark, sf), AS_OF)
+
+
+@register("dataset_bin_services_info")
+def q_dataset_bin_services_info(spark, sf):
+    return ds.m_bin_services_info(_d(spark, sf))
+
+
+@register("dataset_sud_rates")
+def q_dataset_sud_rates(spark, sf):
+    return ds.m_sud_rates(_d(spark, sf), AS_OF)
+
+
+@register("dataset_child_rates")
+def q_dataset_child_rates(spark, sf):
+    return ds.m_child_rates(_d(spark, sf), AS_OF)
+
+
+@register("dataset_parent_rates")
+def q_dataset_parent_rates(spark, sf):
+    return ds.m_parent_rates(_d(spark, sf), AS_OF)
+
+
+@register("dataset_sud_audit")
+def q_dataset_sud_audit(spark, sf):
+    return R.m_sud_audit(_d(spark, sf), AS_OF)
+
+
+@register("dataset_mud_audit")
+def q_dataset_mud_audit(spark, sf):
+    return R.m_mud_audit(_d(spark, sf), AS_OF)
+
+
+@register("dataset_mud_special_n0000ua")
+def q_dataset_mud_special(spark, sf):
+    return R.m_mud_special(_d(spark, sf), AS_OF)
+
+
 # ============================================================================ 2.J reports
 @register("report_single_nonmatch")
 def q_report_single_nonmatch(spark, sf):

@@ -43,9 +43,11 @@ def _single_pairs(d: Domain, as_of, contacts: bool) -> DataFrame:
     if contacts:
         contact = ds.ratepayer_contact(d)
         owners = d.property_owners.select(F.col("property_key").alias("__owner_key"))
-        pairs = (pairs.join(contact, (F.col("tpklpaprop") == F.col("c_tpk"))
-                            & (F.col("assessment_key") == F.col("c_asmt")), "left")
-                 .join(owners, F.col("property_key") == F.col("__owner_key"), "left")
+        # owners join on the pairing key first (same partitioning), then the contact lookup;
+        # both are left joins, so the order does not change the rows the pair counts see
+        pairs = (pairs.join(owners, F.col("property_key") == F.col("__owner_key"), "left")
+                 .join(contact, (F.col("tpklpaprop") == F.col("c_tpk"))
+                       & (F.col("assessment_key") == F.col("c_asmt")), "left")
                  .withColumns(ds.contact_columns())
                  .drop("c_tpk", "c_asmt", "__owner_key", *[f"c_line_{i}" for i in range(1, 6)]))
     pairs = add_flags(pairs,
@@ -53,8 +55,9 @@ def _single_pairs(d: Domain, as_of, contacts: bool) -> DataFrame:
                                "frequency_mismatch": ("service_frequency", "rate_frequency", 0),
                                "units_mismatch": ("service_units", "rate_units", 0)},
                       codes={"rate_type_mismatch": ("ratetype", 3, "S")})
+    # register ids are primary keys (never null): plain equi-joins keep the key partitioning
     pairs = add_pair_counts(pairs, ["tpklpaprop"], "service_bin_type", "rate_bin_type",
-                            "number_bin_matched", "number_bin_mismatched")
+                            "number_bin_matched", "number_bin_mismatched", null_safe=False)
     if contacts:
         pairs = ds.attach_crm_counts(pairs, d, "tpklpaprop")
     return pairs
@@ -233,7 +236,8 @@ def _br_branches(d: Domain, as_of) -> DataFrame:
         F.col("ps_ua").alias("number_of_n0000ua"), F.lit("No").alias("is_terrace_title"))
     both = branch1.unionByName(branch2)
     both = over_keys(both, ["tpklpaprop"], {"total_number_of_services": F.sum("number_of_services"),
-                                            "__ua_total": F.sum("number_of_n0000ua")})
+                                            "__ua_total": F.sum("number_of_n0000ua")},
+                     null_safe=False)
     return both.withColumn("has_n0000ua", F.when(F.col("__ua_total") > 0, "Yes").otherwise("No")) \
                .drop("__ua_total")
 
@@ -311,7 +315,8 @@ def rates_without_services(d: Domain, as_of) -> DataFrame:
 def services_without_rates(d: Domain, as_of) -> DataFrame:
     """J6: parentless properties (and children) with services but no own or family rates."""
     rates = ds.current_rates(d, as_of, with_assessment=False)
-    rates = over_keys(rates, ["property_key"], {"number_of_rates": F.count("property_key")})
+    rates = over_keys(rates, ["property_key"], {"number_of_rates": F.count("property_key")},
+                      null_safe=False)
     rates = rates.select(F.col("property_key").alias("rates_property_key"), "rate_type_key",
                          F.col("units").alias("rate_units"),
                          F.coalesce(F.col("number_of_rates"), F.lit(0)).alias("number_of_rates"),
@@ -368,7 +373,7 @@ def services_without_rates(d: Domain, as_of) -> DataFrame:
                    & ~F.col("child_formatted_address").like("Storage%"))
     g = over_keys(g, ["parent_property_key"], {
         "number_of_all_child_properties": F.count("child_property_key"),
-        "number_of_child_properties": F.sum(F.when(not_parking, 1).otherwise(0))})
+        "number_of_child_properties": F.sum(F.when(not_parking, 1).otherwise(0))}, null_safe=False)
     g = g.select(
         F.coalesce("child_property_key", "parent_property_key").alias("property_key"),
         F.coalesce("child_tpklpaprop", "parent_tpklpaprop").alias("tpklpaprop"),
@@ -386,7 +391,8 @@ def services_without_rates(d: Domain, as_of) -> DataFrame:
     out = (g.join(asm2, F.col("tpklpaprop") == F.col("tfklpaprop"), "left")
            .join(rates, F.col("property_key") == F.col("rates_property_key"), "left"))
     out = over_keys(out, ["parent_property_key"], {"total_child_rate_units": F.sum("rate_units"),
-                                                   "total_child_rates": F.sum("number_of_rates")})
+                                                   "total_child_rates": F.sum("number_of_rates")},
+                    null_safe=False)
     out = out.withColumns({"total_child_rate_units": F.coalesce("total_child_rate_units", F.lit(0)),
                            "total_child_rates": F.coalesce("total_child_rates", F.lit(0))})
     return out.where((F.col("number_of_services") > 0) & (F.col("total_child_rate_units") == 0)
@@ -483,7 +489,7 @@ def services_without_rates_m(d: Domain, as_of) -> DataFrame:
     return j.withColumnsRenamed(J9_HEADINGS)
 
 
-def _m_sud_audit(d: Domain, as_of) -> DataFrame:
+def m_sud_audit(d: Domain, as_of) -> DataFrame:
     j = nested_join(ds.m_sud_properties(d), ds.m_sud_services(d, as_of), ["property_key"],
                     ["property_key"], ["number_of_services", "number_of_red_services",
                                        "service_category"])
@@ -498,7 +504,7 @@ def _m_sud_audit(d: Domain, as_of) -> DataFrame:
     return j.select(*RWS_COLS)
 
 
-def _m_mud_audit(d: Domain, as_of) -> DataFrame:
+def m_mud_audit(d: Domain, as_of) -> DataFrame:
     j = nested_join(ds.m_child_rates(d, as_of), ds.m_mud_parent_properties(d), ["parent_property_key"],
                     ["property_key"], {"tpklpaprop": "parent_tpklpaprop",
                                        "formatted_address": "parent_formatted_address",
@@ -518,7 +524,7 @@ def _m_mud_audit(d: Domain, as_of) -> DataFrame:
                     "ratepayer", "audit_date", "service_category", "has_n0000ua")
 
 
-def _m_mud_special(d: Domain, as_of) -> DataFrame:
+def m_mud_special(d: Domain, as_of) -> DataFrame:
     psf = ds.m_services_facts(d)
     reg = d.reg_bserv_bin_services
     j = ds.m_child_properties(d).where(m_filter(m_eq("status", "C")))
@@ -552,8 +558,8 @@ J10_HEADINGS = {"parent_tpklpaprop": "parent tpk", "tpklpaprop": "tpk", "formatt
 
 def rates_without_services_m(d: Domain, as_of) -> DataFrame:
     """J10 (M form): single-dwelling audit + multi-dwelling audit + N0000UA special, no dedupe."""
-    u = (_m_sud_audit(d, as_of).unionByName(_m_mud_audit(d, as_of), allowMissingColumns=True)
-         .unionByName(_m_mud_special(d, as_of), allowMissingColumns=True))
+    u = (m_sud_audit(d, as_of).unionByName(m_mud_audit(d, as_of), allowMissingColumns=True)
+         .unionByName(m_mud_special(d, as_of), allowMissingColumns=True))
     u = u.withColumns({"assessment": F.col("assessment").cast("string"),
                        "parent_tpklpaprop": F.col("parent_tpklpaprop").cast("bigint")})
     return u.withColumnsRenamed(J10_HEADINGS)

@@ -148,11 +148,13 @@ class Domain:
         return normalise_codes(df, ["property_type"]) if self.normalise else df
 
     def build_reg_bserv_bin_services(self) -> DataFrame:
-        """Bin service registration: one row per property whose account is not in debit."""
+        """Bin service registration: one row per property whose account is not in debit, except
+        household-segment shared-dwelling parents."""
         k = self._k()
         method = (F.when(k % 10 == 0, F.lit("SHA1")).when(self._is_child(), F.lit("MAN1"))
                   .otherwise(F.lit("SNG1")))
-        return (self._t("customer").where(F.col("c_acctbal") >= 0)
+        household_parent = ((k % 10) == 0) & (F.col("c_mktsegment") == "HOUSEHOLD")
+        return (self._t("customer").where((F.col("c_acctbal") >= 0) & ~household_parent)
                 .select(k.alias("property_key_link_to_property"),
                         method.alias("c_calculation_method"),
                         F.lit(AUDIT_DATE).cast("timestamp_ntz").alias("c_audit_date")))
@@ -207,8 +209,8 @@ class Domain:
         return normalise_codes(df, ["ratetype"]) if self.normalise else df
 
     def build_rate_type_facts(self) -> DataFrame:
-        """Base rate per property (not shared parents, not automobile accounts), plus one rate per
-        urgent order."""
+        """Base rate per property (not automobile accounts, not shared-dwelling parents), plus one
+        rate per urgent order (except for household-segment shared-dwelling parents)."""
         k = self._k()
         child = self._is_child()
         cls = F.when(((k % 10) >= 5) | (k < 10), 0).otherwise(6)
@@ -225,7 +227,11 @@ class Domain:
                     (k + 500000).alias("assessment_key"),
                     F.lit(None).cast("timestamp_ntz").alias("suspended_date"),
                 ))
+        household = self._t("customer").where(F.col("c_mktsegment") == "HOUSEHOLD").select(
+            F.col("c_custkey").alias("__household_key"))
         urgent = (self._t("orders").where(F.col("o_orderpriority") == "1-URGENT")
+                  .join(household, (F.col("o_custkey") == F.col("__household_key"))
+                        & ((F.col("o_custkey") % 10) == 0), "left_anti")
                   .select(
                       F.col("o_custkey").alias("property_key"),
                       (-1 - F.col("o_orderkey")).alias("rate_type_key"),
