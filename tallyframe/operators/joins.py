@@ -55,6 +55,20 @@ def join_where(left: DataFrame, right: DataFrame, on, right_pred: Column | None
     return left.join(r, on, how)
 
 
+def left_join_skew_safe(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """``left LEFT JOIN right ON left_key = right_key`` for a right side with hot keys.
+
+    A left outer join can only have its *left* side split by AQE's skew handling, so one key
+    holding a third of the right side would land in one task.  Written as the inner join (either
+    side splittable) plus the left rows whose key has no partner (anti-join against the right's
+    distinct keys, partially aggregated before the shuffle), the result is the same rows.
+    """
+    matched = left.join(right, F.col(left_key) == F.col(right_key), "inner")
+    keys = right.select(F.col(right_key).alias("__rk")).where(F.col("__rk").isNotNull()).distinct()
+    unmatched = left.join(keys, F.col(left_key) == F.col("__rk"), "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
+
+
 # ----------------------------------------------------------------------------- hierarchy
 def with_children(parents: DataFrame, props: DataFrame, key: str = "property_key",
                   parent_key: str = "parent_property_key",
@@ -63,6 +77,9 @@ def with_children(parents: DataFrame, props: DataFrame, key: str = "property_key
     cols = dict(cols or {key: f"child_{key}"})
     kids = props.select(F.col(parent_key).alias("__parent"),
                         *[F.col(src).alias(dst) for src, dst in cols.items()])
+    if how == "left":
+        # one parent may hold a large share of all children
+        return left_join_skew_safe(parents, kids, key, "__parent").drop("__parent")
     return parents.join(kids, F.col(key) == F.col("__parent"), how).drop("__parent")
 
 

@@ -22,11 +22,18 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.predicates import all_no, any_yes, code_flag, mismatch_flag
 from tallyframe.operators.aggregates import over_keys, sum_if
+from tallyframe.operators.joins import left_join_skew_safe
 
 
 def pair_by_key(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                 how: str = "left") -> DataFrame:
-    """All left x right rows of the same key (many-to-many), preserving unpaired left rows."""
+    """All left x right rows of the same key (many-to-many), preserving unpaired left rows.
+
+    The right side (e.g. all rates of one property) may be heavily skewed; the left join is
+    planned as inner join + anti-join so that AQE can split a hot key on either side.
+    """
+    if how == "left":
+        return left_join_skew_safe(left, right, left_key, right_key)
     return left.join(right, F.col(left_key) == F.col(right_key), how)
 
 

@@ -21,7 +21,7 @@ from tallyframe.functions.predicates import (active_all, active_any, all_no, any
 from tallyframe.functions.text import trim_end
 from tallyframe.operators.aggregates import over_keys, service_category
 from tallyframe.functions.numeric import int_div
-from tallyframe.operators.joins import band_lookup, nested_join
+from tallyframe.operators.joins import band_lookup, left_join_skew_safe, nested_join
 from tallyframe.operators.reconcile import (add_flags, add_pair_counts, pair_by_key,
                                             reconcile_matches, reconcile_nonmatches)
 from tallyframe.plans import datasets as ds
@@ -207,7 +207,7 @@ def _br_branches(d: Domain, as_of) -> DataFrame:
         F.col("tpklpaprop").alias("cp_tpk"), F.col("formatted_address").alias("cp_addr"),
         F.col("suburb").alias("cp_suburb"), F.col("status").alias("cp_status"))
     # parent x (current children, or none): a parent whose children are all historic drops out
-    fam = (ps.join(children, F.col("property_key") == F.col("__parent"), "left")
+    fam = (left_join_skew_safe(ps, children, "property_key", "__parent")
            .where(F.col("cp_status").isNull() | (F.col("cp_status") == "C")))
     fam = fam.join(_br_child_side(d, as_of), "cp_key", "left")
     n = F.col("ps_rows")
@@ -358,7 +358,7 @@ def services_without_rates(d: Domain, as_of) -> DataFrame:
                     F.col("tpklpaprop").alias("parent_tpklpaprop"),
                     F.col("formatted_address").alias("parent_formatted_address"),
                     F.col("suburb").alias("parent_suburb"))
-           .join(children, F.col("parent_property_key") == F.col("__parent"), "left")
+           .transform(lambda df: left_join_skew_safe(df, children, "parent_property_key", "__parent"))
            .where(F.col("__cp_status").isNull() | (F.col("__cp_status") == "C"))
            .join(own, F.col("parent_property_key") == F.col("property_key"))
            .join(bsx, F.col("parent_property_key") == F.col("__bs_key"), "left")

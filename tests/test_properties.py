@@ -84,3 +84,35 @@ def test_reports_scan_materialised_registers(spark, sf_small):
 def test_reports_non_empty(spark, sf_small):
     for key in [k for k in REGISTRY if k.startswith("report_")]:
         assert REGISTRY[key](spark, sf_small).count() > 0, key
+
+
+def test_pairing_splits_a_hot_right_key(spark):
+    """One key holds a third of the right side: the pairing must equal a plain left join, and AQE
+    must be able to split the hot partition (it cannot for the right side of a left join)."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        left = spark.range(0, 200).select((F.col("id") % 100).alias("k"), F.col("id").alias("lv"))
+        hot = spark.range(0, 3000).select(F.lit(7).alias("rk"), F.col("id").alias("rv"))
+        cold = spark.range(0, 6000).select((F.col("id") % 150).alias("rk"), (F.col("id") + 10 ** 6).alias("rv"))
+        right = hot.unionByName(cold)
+        got = pair_by_key(left, right, "k", "rk")
+        want = left.join(right, F.col("k") == F.col("rk"), "left")
+        a = sorted(map(tuple, got.select("k", "lv", "rk", "rv").collect()), key=str)
+        b = sorted(map(tuple, want.select("k", "lv", "rk", "rv").collect()), key=str)
+        assert a == b
+        got.collect()
+        final = got._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in final and "skew=true" in final
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
