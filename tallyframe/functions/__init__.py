@@ -1,0 +1 @@
+"""Column expressions: predicates and flags, integer/decimal arithmetic, text."""

@@ -1,0 +1 @@
+"""Joins, keyed aggregates and the reconciliation operator."""

@@ -1,0 +1 @@
+"""Named datasets, reports, the query registry and its SQL oracle."""

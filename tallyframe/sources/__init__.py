@@ -1,0 +1 @@
+"""Base-table scans, code normalisation, the report sink and the register views."""

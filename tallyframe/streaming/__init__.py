@@ -1,0 +1,6 @@
+"""Streaming: nothing to build.
+
+The reconciliation workload is batch only: no event streams, no time windows, no state and no
+late data appear in it.  Reports are recomputed from the register tables with an explicit
+``as_of`` instant.  The package is kept so that the library layout is complete.
+"""
