@@ -19,6 +19,23 @@ from tallyframe.operators.joins import (band_lookup, branch_parents, eav_join, j
                                         latest_effective, leaf_parents, nested_join)
 from tallyframe.sources.domain import Domain
 
+def _memo(fn):
+    """Memoise a dataset per (register views, arguments): DataFrames are immutable plans, so a
+    dataset used by several reports (or several times in one report) is built once, and Spark sees
+    identical subtrees whose shuffles it can reuse."""
+    def wrapper(d: Domain, *args, **kwargs):
+        cache = d.__dict__.setdefault("_dataset_memo", {})
+        key = (fn.__module__, fn.__name__, *[str(a) for a in args],
+               *[f"{k}={v}" for k, v in sorted(kwargs.items())])
+        if key not in cache:
+            cache[key] = fn(d, *args, **kwargs)
+        return cache[key]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    wrapper.__wrapped__ = fn
+    return wrapper
+
+
 # CRM filters.
 BIN_QUESTIONNAIRES = ["New bin", "Remove bin", "Repair or replace bin", "Upsize or downsize bin"]
 OPEN_CASE_STATUSES = ["Submitted", "Under Review", "No Review Required", "Approved"]
@@ -43,6 +60,7 @@ def current_rates(d: Domain, as_of, category: str = "DWM", with_assessment: bool
     return rates
 
 
+@_memo
 def rates_with_counts(d: Domain, as_of) -> DataFrame:
     """Single-dwelling rate side: one row per current rate with its property's rate count."""
     r = current_rates(d, as_of).select(
@@ -54,6 +72,7 @@ def rates_with_counts(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ services
+@_memo
 def current_services(d: Domain, as_of) -> DataFrame:
     """Service facts that are active at ``as_of`` and of a bin stream: red (R), inactive-code
     green (G with an inactive code), or N; with the code's ``is_active``."""
@@ -106,6 +125,7 @@ def single_property_services(d: Domain, as_of, with_assessment_key: bool = True)
                       "avg_bin_size", "calculation_method", "number_service_records", "c_audit_date")
 
 
+@_memo
 def shared_parents(d: Domain, as_of) -> DataFrame:
     """Shared-dwelling parents: total container volume (size x collections x services) and the
     average collection frequency of their active red services."""
@@ -125,6 +145,7 @@ def shared_parents(d: Domain, as_of) -> DataFrame:
                  dec_avg("number_of_collections").alias("avg_frequency")))
 
 
+@_memo
 def shared_child_rates(d: Domain, as_of) -> DataFrame:
     """Child properties with their current DWM rates and the number of rated children per parent."""
     cp = d.property.select("parent_property_key", "property_key", "parent_property_tpklpaprop",
@@ -144,6 +165,7 @@ def shared_child_rates(d: Domain, as_of) -> DataFrame:
                     "rate_frequency", "assessment", "vgnumber")
 
 
+@_memo
 def shared_volume(d: Domain, as_of) -> DataFrame:
     """Parents x rated children with the per-child volume (integer division) and its band."""
     parents = shared_parents(d, as_of)
@@ -155,6 +177,7 @@ def shared_volume(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ CRM
+@_memo
 def request_counts(d: Domain) -> DataFrame:
     """Open bin requests per property: request rows naming the property, each paired with its
     open-status row (attribute-value self-join), counted per property key text."""
@@ -187,6 +210,7 @@ def attach_crm_counts(df: DataFrame, d: Domain, key: str) -> DataFrame:
 
 
 # ============================================================================ contacts
+@_memo
 def ratepayer_contact(d: Domain) -> DataFrame:
     """Per (register id, assessment key): the ratepayer's address lines and e-mail.  Joined to a
     report with a left join; the multi-line address is assembled after that join, so a property
@@ -210,6 +234,7 @@ def contact_columns() -> dict:
 
 
 # ============================================================================ family totals (M)
+@_memo
 def m_property(d: Domain) -> DataFrame:
     """M ``Property``: current properties other than car spaces and utilities, 17 columns."""
     p = d.property.where(m_filter(m_ne("property_type", "STRCARSPC") & m_ne("property_type", "UTILITY")
@@ -221,19 +246,23 @@ def m_property(d: Domain) -> DataFrame:
                     "assessment_key")
 
 
+@_memo
 def m_parent_properties(d: Domain) -> DataFrame:
     return m_property(d).where(F.col("parent_property_key").isNull())
 
 
+@_memo
 def m_child_properties(d: Domain) -> DataFrame:
     return m_property(d).where(F.col("parent_property_key").isNotNull())
 
 
+@_memo
 def m_services_facts(d: Domain) -> DataFrame:
     """M ``Property_Services_Facts``: only status C rows."""
     return d.property_services_facts.where(m_filter(m_eq("status", "C")))
 
 
+@_memo
 def m_current_rate_types(d: Domain) -> DataFrame:
     rt = d.rate_type.where(m_filter(m_eq("is_current_period", "Y") & m_eq("category_code", "DWM")))
     return rt.withColumns({"rate_bin_type": F.substring("ratetype", 4, 3),
@@ -275,16 +304,19 @@ def m_service_summary(d: Domain, as_of, exclude_special: bool, labels: dict) ->
     return g.withColumn("service_category", cat).drop("__active")
 
 
+@_memo
 def m_property_services(d: Domain, as_of) -> DataFrame:
     return m_service_summary(d, as_of, False, {"missing": "Missing service", "zero": "Zero service",
                                                "has": "Has service"})
 
 
+@_memo
 def m_sud_services(d: Domain, as_of) -> DataFrame:
     return m_service_summary(d, as_of, True, {"missing": "Missing Service", "zero": "Zero Service",
                                               "has": "Has Service"})
 
 
+@_memo
 def m_bin_services_info(d: Domain) -> DataFrame:
     r = d.reg_bserv_bin_services
     return r.select(F.col("property_key_link_to_property").alias("property_key"),
@@ -293,6 +325,7 @@ def m_bin_services_info(d: Domain) -> DataFrame:
                     .alias("calculation_method"))
 
 
+@_memo
 def m_property_rates(d: Domain, as_of) -> DataFrame:
     """Per property: number of current DWM rates and their unit total (``PropertyRates``)."""
     rtf = d.rate_type_facts
@@ -305,6 +338,7 @@ def m_property_rates(d: Domain, as_of) -> DataFrame:
                                          F.sum("units").alias("rate_units"))
 
 
+@_memo
 def m_child_rates_totals(d: Domain, as_of) -> DataFrame:
     """Per parent: children's current rate units and rates (nulls as 0) and child count."""
     cp = m_child_properties(d)
@@ -330,11 +364,13 @@ def m_rates_with_assessment(d: Domain, as_of, rate_types: DataFrame) -> DataFram
                         "ratepayer_address_1": "ratepayer"}, how="inner")
 
 
+@_memo
 def m_sud_rates(d: Domain, as_of) -> DataFrame:
     return m_rates_with_assessment(d, as_of, d.rate_type).select(
         "property_key", "ratetype", "assessment", "vgnumber", "ratepayer")
 
 
+@_memo
 def m_child_rates(d: Domain, as_of) -> DataFrame:
     j = m_rates_with_assessment(d, as_of, m_current_rate_types(d))
     j = nested_join(j, m_child_properties(d), ["property_key"], ["property_key"],
@@ -346,18 +382,21 @@ def m_child_rates(d: Domain, as_of) -> DataFrame:
                     "ratepayer")
 
 
+@_memo
 def m_sud_properties(d: Domain) -> DataFrame:
     """Parents without children (single dwellings)."""
     return nested_join(m_parent_properties(d), m_property(d), ["property_key"],
                        ["parent_property_key"], [], how="left_anti")
 
 
+@_memo
 def m_mud_parent_properties(d: Domain) -> DataFrame:
     """Distinct parents that have children (multi dwellings)."""
     return branch_parents(m_parent_properties(d), m_child_properties(d),
                           cols=["property_key", "tpklpaprop", "formatted_address", "suburb", "status"])
 
 
+@_memo
 def m_parent_rates(d: Domain, as_of) -> DataFrame:
     j = m_rates_with_assessment(d, as_of, m_current_rate_types(d))
     j = nested_join(j, m_mud_parent_properties(d), ["property_key"], ["property_key"], [],
@@ -392,6 +431,7 @@ def _side_summary(services: DataFrame, key: str, as_of, prefix: str) -> DataFram
     )
 
 
+@_memo
 def m_parent_child_service_aggregation(d: Domain, as_of) -> DataFrame:
     """Per multi-dwelling parent: parent and child service totals over the parent x child service
     combinations, the category and the N0000UA flag (``ParentChildServiceAggregation``).
@@ -449,6 +489,7 @@ def m_parent_child_service_aggregation(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ finance
+@_memo
 def effective_address(d: Domain) -> DataFrame:
     """Latest address link(s) per identity (ties kept), with the address text."""
     links = latest_effective(d.cnaidta, ["tfkcnaidty"], "dateeffect")
@@ -456,6 +497,7 @@ def effective_address(d: Domain) -> DataFrame:
         "tfkcnaidty", "tfkcnaaddr", "dateeffect", "formataddr")
 
 
+@_memo
 def active_override_address(d: Domain) -> DataFrame:
     """Latest active override address role(s) per ratepayer role."""
     active = d.cnarola.where(F.col("isactive") == 1)

@@ -36,6 +36,7 @@ def sorted_report(df: DataFrame, *keys: str) -> DataFrame:
 
 
 # ============================================================================ J1 / J2
+@ds._memo
 def _single_pairs(d: Domain, as_of, contacts: bool) -> DataFrame:
     services = ds.single_property_services(d, as_of, with_assessment_key=contacts)
     rates = ds.rates_with_counts(d, as_of)
@@ -70,6 +71,7 @@ SINGLE_TAIL = ["service_bin_type", "service_frequency", "service_units", "avg_bi
                "rate_frequency", "assessment", "vgnumber", "number_rate_records"]
 
 
+@ds._memo
 def single_nonmatches(d: Domain, as_of) -> DataFrame:
     """J1: single-dwelling service groups vs rates that disagree, perfect pairings suppressed,
     with ratepayer contact and CRM counts."""
@@ -83,6 +85,7 @@ def single_nonmatches(d: Domain, as_of) -> DataFrame:
                       "number_cw_impact")
 
 
+@ds._memo
 def single_matches(d: Domain, as_of) -> DataFrame:
     """J2: single-dwelling pairs where every compared attribute agrees."""
     pairs = _single_pairs(d, as_of, contacts=False)
@@ -92,6 +95,7 @@ def single_matches(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ J3 / J4
+@ds._memo
 def _shared_rows(d: Domain, as_of, crm: bool) -> DataFrame:
     parents = ds.shared_parents(d, as_of)
     rates = ds.shared_child_rates(d, as_of)
@@ -131,6 +135,7 @@ SHARED_RATE_COLS = ["parent_property_key", "property_key", "parent_property_tpkl
 SHARED_REG_COLS = ["c_audit_date", "property_key_link_to_property"]
 
 
+@ds._memo
 def shared_nonmatches(d: Domain, as_of) -> DataFrame:
     """J3: shared-dwelling parent volume band vs each rated child's rate, where they disagree."""
     j = _shared_rows(d, as_of, crm=True).where(_shared_disagree())
@@ -139,6 +144,7 @@ def shared_nonmatches(d: Domain, as_of) -> DataFrame:
                     "number_cw_impact", *SHARED_FLAGS, "formatted_address", "suburb")
 
 
+@ds._memo
 def shared_matches(d: Domain, as_of) -> DataFrame:
     """J4: shared-dwelling rows where band, frequency and class all agree (unknown excluded)."""
     j = _shared_rows(d, as_of, crm=False).where(~_shared_disagree())
@@ -147,6 +153,7 @@ def shared_matches(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ J5
+@ds._memo
 def _br_parent_side(d: Domain, as_of) -> DataFrame:
     """Per parentless current property and own-code activity: own service rows that pass the
     stream filter, summarised (count, active non-N0000UA, red, active, N0000UA).  A property
@@ -176,6 +183,7 @@ def _br_parent_side(d: Domain, as_of) -> DataFrame:
                  .alias("ps_ua")))
 
 
+@ds._memo
 def _br_child_side(d: Domain, as_of) -> DataFrame:
     """Per child property and code activity: all its service rows, summarised."""
     cp = d.property.where(F.col("parent_property_key").isNotNull()).select(
@@ -199,6 +207,7 @@ def _br_child_side(d: Domain, as_of) -> DataFrame:
                  .alias("cps_ua")))
 
 
+@ds._memo
 def _br_branches(d: Domain, as_of) -> DataFrame:
     """Both service branches of J5, unioned, with the per-register-id totals attached."""
     ps = _br_parent_side(d, as_of)
@@ -246,12 +255,14 @@ RWS_COLS = ["parent_tpklpaprop", "tpklpaprop", "formatted_address", "suburb", "a
             "vgnumber", "ratetype", "ratepayer", "audit_date", "service_category", "has_n0000ua"]
 
 
+@ds._memo
 def _rates_payer(d: Domain, as_of) -> DataFrame:
     return ds.current_rates(d, as_of).select(
         F.col("property_key").alias("r_key"), "assessment", "vgnumber", "ratetype",
         F.col("ratepayer_address_1").alias("ratepayer"))
 
 
+@ds._memo
 def _br_special(d: Domain, as_of) -> DataFrame:
     """J5 special branch: a current child with a current N0000UA service, manual calculation and
     a current rate, whose parent has no current service, no calculation method and no rate.
@@ -295,6 +306,7 @@ def _br_special(d: Domain, as_of) -> DataFrame:
                     F.lit("Yes").alias("has_n0000ua"))
 
 
+@ds._memo
 def rates_without_services(d: Domain, as_of) -> DataFrame:
     """J5: rated parentless properties (and their children) without current services or with
     only old service codes, plus the N0000UA special case; distinct rows."""
@@ -312,6 +324,7 @@ def rates_without_services(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ J6
+@ds._memo
 def services_without_rates(d: Domain, as_of) -> DataFrame:
     """J6: parentless properties (and children) with services but no own or family rates."""
     rates = ds.current_rates(d, as_of, with_assessment=False)
@@ -401,6 +414,7 @@ def services_without_rates(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ J7
+@ds._memo
 def historic_services(d: Domain, as_of) -> DataFrame:
     """J7: historic properties that still have current services, per service code."""
     p = d.property.where(F.col("status") == "H")
@@ -412,6 +426,7 @@ def historic_services(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ J8
+@ds._memo
 def mailing_audit(d: Domain, register: int = 84) -> DataFrame:
     """J8: assessments whose mailing address (active override, else latest default address of the
     ratepayer) does not contain the address of the register entry's agent."""
@@ -466,6 +481,7 @@ J9_HEADINGS = {"formatted_address": "Formatted address", "tpklpaprop": "TPK",
                "calculation_method": "Calculation method"}
 
 
+@ds._memo
 def services_without_rates_m(d: Domain, as_of) -> DataFrame:
     """J9 (M form): parent properties with services but no own rates and no child rate units."""
     assessment_info = d.rate_assessment.select("tfklpaprop", "assessment", "vgnumber")
@@ -489,6 +505,7 @@ def services_without_rates_m(d: Domain, as_of) -> DataFrame:
     return j.withColumnsRenamed(J9_HEADINGS)
 
 
+@ds._memo
 def m_sud_audit(d: Domain, as_of) -> DataFrame:
     j = nested_join(ds.m_sud_properties(d), ds.m_sud_services(d, as_of), ["property_key"],
                     ["property_key"], ["number_of_services", "number_of_red_services",
@@ -504,6 +521,7 @@ def m_sud_audit(d: Domain, as_of) -> DataFrame:
     return j.select(*RWS_COLS)
 
 
+@ds._memo
 def m_mud_audit(d: Domain, as_of) -> DataFrame:
     j = nested_join(ds.m_child_rates(d, as_of), ds.m_mud_parent_properties(d), ["parent_property_key"],
                     ["property_key"], {"tpklpaprop": "parent_tpklpaprop",
@@ -524,6 +542,7 @@ def m_mud_audit(d: Domain, as_of) -> DataFrame:
                     "ratepayer", "audit_date", "service_category", "has_n0000ua")
 
 
+@ds._memo
 def m_mud_special(d: Domain, as_of) -> DataFrame:
     psf = ds.m_services_facts(d)
     reg = d.reg_bserv_bin_services
@@ -556,6 +575,7 @@ J10_HEADINGS = {"parent_tpklpaprop": "parent tpk", "tpklpaprop": "tpk", "formatt
                 "service_category": "service category", "has_n0000ua": "has n0000ua?"}
 
 
+@ds._memo
 def rates_without_services_m(d: Domain, as_of) -> DataFrame:
     """J10 (M form): single-dwelling audit + multi-dwelling audit + N0000UA special, no dedupe."""
     u = (m_sud_audit(d, as_of).unionByName(m_mud_audit(d, as_of), allowMissingColumns=True)
