@@ -208,3 +208,15 @@ def eav_join(df: DataFrame, entity: str, attr: str, value: str,
     o = df.where(other).select(F.col(entity).alias("__o"), F.col(value).alias(other_name))
     return a.join(o, F.col("__e") == F.col("__o"), "left").select(
         F.col("__e").alias(entity), anchor_name, other_name)
+
+
+def eav_count(df: DataFrame, entity: str, value: str, anchor: Column, other: Column,
+              anchor_name: str, count_name: str) -> DataFrame:
+    """``count(other.value)`` per anchor value over the anchor-other pairs of the same entity,
+    computed without forming the pairs: other rows are counted per entity first (partial
+    aggregation), the count is joined to the anchor rows and summed per anchor value."""
+    per_entity = (df.where(other).groupBy(F.col(entity).alias("__o"))
+                  .agg(F.count(F.col(value)).alias("__n")))
+    a = df.where(anchor).select(F.col(entity).alias("__e"), F.col(value).alias(anchor_name))
+    return (a.join(per_entity, F.col("__e") == F.col("__o"), "left")
+            .groupBy(anchor_name).agg(F.sum(F.coalesce(F.col("__n"), F.lit(0))).alias(count_name)))

@@ -15,7 +15,7 @@ from tallyframe.functions.predicates import (active_any, active_all, m_eq, m_fil
                                              not_contains, not_ended, starts, ts_lit)
 from tallyframe.functions.text import concat_lines, rate_bin_type, rate_frequency
 from tallyframe.operators.aggregates import count_over, over_keys, service_category, sum_if
-from tallyframe.operators.joins import (band_lookup, branch_parents, eav_join, join_text_key,
+from tallyframe.operators.joins import (band_lookup, branch_parents, eav_count, eav_join, join_text_key,
                                         latest_effective, leaf_parents, nested_join)
 from tallyframe.sources.domain import Domain
 
@@ -179,17 +179,17 @@ def shared_volume(d: Domain, as_of) -> DataFrame:
 # ============================================================================ CRM
 @_memo
 def request_counts(d: Domain) -> DataFrame:
-    """Open bin requests per property: request rows naming the property, each paired with its
-    open-status row (attribute-value self-join), counted per property key text."""
+    """Open bin requests per property: each request row naming the property is paired with the
+    open-status rows of the same request (attribute-value rows), counted per property key text."""
     orq = d.onecrm_request_questions
-    pairs = eav_join(orq, "request_facts_key", "question", "answer",
+    return eav_count(orq, "request_facts_key", "answer",
                      anchor=(F.col("question") == "PropertyKey")
                      & F.col("questionnaire").isin(*BIN_QUESTIONNAIRES),
                      other=(F.col("question") == "CaseStatus") & F.col("answer").isin(*OPEN_CASE_STATUSES),
-                     anchor_name="propertykey", other_name="case_status")
-    return pairs.groupBy("propertykey").agg(F.count("case_status").alias("number_bin_requests"))
+                     anchor_name="propertykey", count_name="number_bin_requests")
 
 
+@_memo
 def task_counts(d: Domain, task_type: str, name: str) -> DataFrame:
     """In-progress CRM tasks of one type per property."""
     oti = d.onecrm_task_information

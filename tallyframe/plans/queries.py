@@ -49,7 +49,11 @@ def _t(spark, sf, name):
 
 
 def _d(spark, sf) -> Domain:
-    return domain(spark, sf)
+    d = domain(spark, sf)
+    if not d.__dict__.get("_materialised"):
+        d.materialise_all()
+        d._materialised = True
+    return d
 
 
 def _end():

@@ -77,12 +77,12 @@ class Domain:
         self.normalise = normalise
         self.store = store
         self._views: dict[str, DataFrame] = {}
-        self._lock = threading.Lock()
+        self._locks = {name: threading.Lock() for name in VIEW_NAMES}
 
     def view(self, name: str) -> DataFrame:
         """The named view; with a ``store`` folder it is written there once as parquet and read
         back, so reports scan a plain table instead of re-deriving it (and its lineage is cut)."""
-        with self._lock:
+        with self._locks[name]:
             if name not in self._views:
                 df = getattr(self, f"build_{name}")()
                 if self.store and name not in self.LITERAL_VIEWS:
@@ -92,9 +92,11 @@ class Domain:
                 self._views[name] = df
             return self._views[name]
 
-    def materialise_all(self) -> None:
-        for name in VIEW_NAMES:
-            self.view(name)
+    def materialise_all(self, parallel: int = 8) -> None:
+        """Write every derived view; the independent write jobs run concurrently."""
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+            list(pool.map(self.view, VIEW_NAMES))
 
     def _t(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
