@@ -37,31 +37,38 @@ def sorted_report(df: DataFrame, *keys: str) -> DataFrame:
 
 # ============================================================================ J1 / J2
 @ds._memo
-def _single_pairs(d: Domain, as_of, contacts: bool) -> DataFrame:
+def _single_pairs(d: Domain, as_of, contacts: bool, dedupe_owners: bool = False) -> DataFrame:
     services = ds.single_property_services(d, as_of, with_assessment_key=contacts)
     rates = ds.rates_with_counts(d, as_of)
     pairs = pair_by_key(services, rates, "property_key", "rate_property_key")
-    if contacts:
-        contact = ds.ratepayer_contact(d)
-        owners = d.property_owners.select(F.col("property_key").alias("__owner_key"))
-        # owners join on the pairing key first (same partitioning), then the contact lookup;
-        # both are left joins, so the order does not change the rows the pair counts see
-        pairs = (pairs.join(owners, F.col("property_key") == F.col("__owner_key"), "left")
-                 .join(contact, (F.col("tpklpaprop") == F.col("c_tpk"))
-                       & (F.col("assessment_key") == F.col("c_asmt")), "left")
-                 .withColumns(ds.contact_columns())
-                 .drop("c_tpk", "c_asmt", "__owner_key", *[f"c_line_{i}" for i in range(1, 6)]))
-    pairs = add_flags(pairs,
-                      compare={"bin_type_mismatch": ("service_bin_type", "rate_bin_type", "0"),
-                               "frequency_mismatch": ("service_frequency", "rate_frequency", 0),
-                               "units_mismatch": ("service_units", "rate_units", 0)},
-                      codes={"rate_type_mismatch": ("ratetype", 3, "S")})
-    # register ids are primary keys (never null): plain equi-joins keep the key partitioning
-    pairs = add_pair_counts(pairs, ["tpklpaprop"], "service_bin_type", "rate_bin_type",
-                            "number_bin_matched", "number_bin_mismatched", null_safe=False)
-    if contacts:
-        pairs = ds.attach_crm_counts(pairs, d, "tpklpaprop")
-    return pairs
+
+    def flags_and_counts(df: DataFrame) -> DataFrame:
+        df = add_flags(df,
+                       compare={"bin_type_mismatch": ("service_bin_type", "rate_bin_type", "0"),
+                                "frequency_mismatch": ("service_frequency", "rate_frequency", 0),
+                                "units_mismatch": ("service_units", "rate_units", 0)},
+                       codes={"rate_type_mismatch": ("ratetype", 3, "S")})
+        # register ids are primary keys (never null): plain equi-joins keep the key partitioning
+        return add_pair_counts(df, ["tpklpaprop"], "service_bin_type", "rate_bin_type",
+                               "number_bin_matched", "number_bin_mismatched", null_safe=False)
+
+    if not contacts:
+        return flags_and_counts(pairs)
+    if dedupe_owners:
+        # count pairs before joint owners multiply the rows (the report default counts after)
+        pairs = flags_and_counts(pairs)
+    contact = ds.ratepayer_contact(d)
+    owners = d.property_owners.select(F.col("property_key").alias("__owner_key"))
+    # owners join on the pairing key first (same partitioning), then the contact lookup; both are
+    # left joins, so the order does not change the rows the pair counts see
+    pairs = (pairs.join(owners, F.col("property_key") == F.col("__owner_key"), "left")
+             .join(contact, (F.col("tpklpaprop") == F.col("c_tpk"))
+                   & (F.col("assessment_key") == F.col("c_asmt")), "left")
+             .withColumns(ds.contact_columns())
+             .drop("c_tpk", "c_asmt", "__owner_key", *[f"c_line_{i}" for i in range(1, 6)]))
+    if not dedupe_owners:
+        pairs = flags_and_counts(pairs)
+    return ds.attach_crm_counts(pairs, d, "tpklpaprop")
 
 
 SINGLE_SERVICE_COLS = ["property_key", "tpklpaprop", "formatted_address", "suburb", "property_type"]
@@ -72,10 +79,11 @@ SINGLE_TAIL = ["service_bin_type", "service_frequency", "service_units", "avg_bi
 
 
 @ds._memo
-def single_nonmatches(d: Domain, as_of) -> DataFrame:
+def single_nonmatches(d: Domain, as_of, dedupe_owners: bool = False) -> DataFrame:
     """J1: single-dwelling service groups vs rates that disagree, perfect pairings suppressed,
-    with ratepayer contact and CRM counts."""
-    pairs = _single_pairs(d, as_of, contacts=True)
+    with ratepayer contact and CRM counts.  ``dedupe_owners`` counts pairs before joint owners
+    repeat the rows (the source counts after, so its suppression weakens for joint owners)."""
+    pairs = _single_pairs(d, as_of, contacts=True, dedupe_owners=dedupe_owners)
     out = reconcile_nonmatches(pairs, SINGLE_FLAGS, lead_flag="bin_type_mismatch",
                                n_left="number_service_records", n_right="number_rate_records",
                                matched="number_bin_matched", mismatched="number_bin_mismatched")
@@ -293,7 +301,8 @@ def _br_special(d: Domain, as_of) -> DataFrame:
         F.col("property_key").alias("__ps_key"))
     bs = reg.where(F.col("c_calculation_method").like("MAN%")).select(
         F.col("property_key_link_to_property").alias("__bs_key"), F.col("c_audit_date").alias("audit_date"))
-    j = (child.join(ps, F.col("property_key") == F.col("__ps_key"))
+    # the service rows only test existence (the result is distinct): semi-join, no row product
+    j = (child.join(ps, F.col("property_key") == F.col("__ps_key"), "left_semi")
          .join(bs, F.col("property_key") == F.col("__bs_key"))
          .join(_rates_payer(d, as_of), F.col("property_key") == F.col("r_key"))
          .join(par_svc, F.col("parent_property_key") == F.col("pk"), "left")
