@@ -150,3 +150,18 @@ def test_filters_and_columns_reach_the_scan(spark, sf_small):
     assert "ReadSchema: struct<p_partkey:bigint,p_type:string>" in plan
     plan = REGISTRY["active_and"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_linestatus,F)" in plan
+
+
+def test_scale_plans_at_sf01(spark):
+    """J1 and J10 at sf0.1: no Cartesian product or nested-loop join, band lookup inlined (no
+    join to the band table), per-key totals without Window operators."""
+    sf = "/root/testdata/sf0.1"
+    for key in ["report_single_nonmatch", "report_rates_without_services_v2"]:
+        df = REGISTRY[key](spark, sf)
+        assert df.count() > 0
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, key
+        assert "Window" not in plan, key
+    j1 = REGISTRY["report_single_nonmatch"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_minimum_value" not in j1          # the band table is not joined
+    assert "more than one band" in j1           # the inlined lookup carries its row check
