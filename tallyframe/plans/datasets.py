@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import dec_avg, int_avg, int_div, try_int
-from tallyframe.functions.predicates import (active_any, active_all, m_eq, m_filter, m_ne,
-                                             not_contains, not_ended, starts, ts_lit)
+from tallyframe.functions.predicates import (active_any, m_eq, m_filter, m_ne, not_ended, starts,
+                                             ts_lit)
 from tallyframe.functions.text import concat_lines, rate_bin_type, rate_frequency
-from tallyframe.operators.aggregates import count_over, over_keys, service_category, sum_if
-from tallyframe.operators.joins import (band_lookup, branch_parents, eav_count, eav_join, join_text_key,
-                                        latest_effective, leaf_parents, nested_join)
+from tallyframe.operators.aggregates import count_over
+from tallyframe.operators.joins import (band_lookup, branch_parents, eav_count, join_text_key,
+                                        latest_effective, nested_join)
 from tallyframe.sources.domain import Domain
 
 def _memo(fn):
@@ -504,7 +504,3 @@ def active_override_address(d: Domain) -> DataFrame:
     return latest_effective(active, ["tfkcnarole"], "dateeffect")
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["_side_summary"]
-
-# keep imported helpers referenced for re-export
-_unused = (active_all, not_contains, leaf_parents, over_keys, service_category, sum_if)

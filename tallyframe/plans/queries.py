@@ -22,8 +22,8 @@ from tallyframe.operators.aggregates import (count_over, flag_any_over, over_key
 from tallyframe.operators.joins import (band_lookup, branch_parents, eav_join, join_text_key,
                                         join_where, latest_effective, leaf_parents, missing,
                                         nested_join, with_children, with_parent)
-from tallyframe.operators.reconcile import (add_pair_counts, is_perfect_pairing, reconcile,
-                                            reconcile_matches, reconcile_nonmatches)
+from tallyframe.operators.reconcile import (is_perfect_pairing, reconcile, reconcile_matches,
+                                            reconcile_nonmatches)
 from tallyframe.plans import datasets as ds
 from tallyframe.plans import reports as R
 from tallyframe.session import AS_OF

@@ -15,12 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.predicates import (active_all, active_any, all_no, any_yes, code_flag,
-                                             m_eq, m_filter, m_ne, mismatch_flag, not_contains,
-                                             starts)
+from tallyframe.functions.numeric import int_div
+from tallyframe.functions.predicates import (active_all, active_any, code_flag, m_eq, m_filter,
+                                             mismatch_flag, not_contains, starts)
 from tallyframe.functions.text import trim_end
 from tallyframe.operators.aggregates import over_keys, service_category
-from tallyframe.functions.numeric import int_div
 from tallyframe.operators.joins import band_lookup, left_join_skew_safe, nested_join
 from tallyframe.operators.reconcile import (add_flags, add_pair_counts, pair_by_key,
                                             reconcile_matches, reconcile_nonmatches)
@@ -593,5 +592,3 @@ def rates_without_services_m(d: Domain, as_of) -> DataFrame:
                        "parent_tpklpaprop": F.col("parent_tpklpaprop").cast("bigint")})
     return u.withColumnsRenamed(J10_HEADINGS)
 
-
-_unused = (any_yes, all_no, m_ne, Column)

@@ -25,7 +25,6 @@ import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyframe.sources.tables import load, normalise_codes
 
@@ -440,4 +439,4 @@ def domain(spark: SparkSession, sf_dir: str, normalise: bool = True,
         return _DOMAINS[key]
 
 
-__all__ = ["Domain", "domain", "BIN_BANDS", "SERVICE_CODES", "RATE_TYPES", "T"]
+__all__ = ["Domain", "domain", "BIN_BANDS", "SERVICE_CODES", "RATE_TYPES", "VIEW_NAMES"]
