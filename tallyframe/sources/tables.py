@@ -54,12 +54,17 @@ def rtrim_blanks(col: Column | str) -> Column:
     return F.rtrim(F.col(col) if isinstance(col, str) else col)
 
 
-def normalise_codes(df: DataFrame, cols: Iterable[str]) -> DataFrame:
+def normalise_codes(df: DataFrame, cols: Iterable[str], collation: str | None = None) -> DataFrame:
     """Right-trim blank-padded fixed-width code columns once, at load time.
 
     Fixed-width ``char`` codes compare equal with or without trailing blanks in the source system;
     trimming once lets every later comparison be a plain equality (and keeps parquet pushdown).
+    ``collation`` (e.g. ``"UTF8_LCASE_RTRIM"``) additionally makes ``=``, ``IN`` and prefix tests on
+    these columns case-insensitive, like a case-insensitive server collation (``LIKE`` patterns
+    need ``UTF8_LCASE``).
     """
+    if collation:
+        return df.withColumns({c: F.collate(rtrim_blanks(c), collation) for c in cols})
     return df.withColumns({c: rtrim_blanks(c) for c in cols})
 
 

@@ -147,3 +147,12 @@ def test_latest_effective_keeps_ties_nulls_and_null_keys(spark):
     assert got == ["b", "c", "d", "e", "f"]
     again = latest_effective(latest_effective(df, ["k"], "d"), ["k"], "d")
     assert sorted(r.v for r in again.collect()) == got
+
+
+def test_normalise_codes_with_case_insensitive_collation(spark):
+    from tallyframe.sources.tables import normalise_codes
+    df = spark.createDataFrame([("c   ",), ("C",), ("h",)], "status string")
+    plain = normalise_codes(df, ["status"])
+    assert plain.where(F.col("status") == "C").count() == 1
+    ci = normalise_codes(df, ["status"], collation="UTF8_LCASE_RTRIM")
+    assert ci.where(F.col("status") == "C").count() == 2
