@@ -160,6 +160,10 @@ def shared_matches(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ J5
+def _sum0(x: Column) -> Column:
+    return F.coalesce(F.sum(x), F.lit(0))
+
+
 @ds._memo
 def _br_parent_side(d: Domain, as_of) -> DataFrame:
     """Per parentless current property and own-code activity: own service rows that pass the
@@ -183,9 +187,10 @@ def _br_parent_side(d: Domain, as_of) -> DataFrame:
     return (j.where(keep)
             .groupBy("property_key", "tpklpaprop", "formatted_address", "suburb", "sc_active")
             .agg(F.count(F.lit(1)).alias("ps_rows"),
-                 F.sum(F.when(act & (code != "N0000UA"), F.col("ps_n")).otherwise(0)).alias("ps_f"),
-                 F.sum(F.when(code.like("R%") & act, F.col("ps_n")).otherwise(0)).alias("ps_red"),
-                 F.sum(F.when(act, F.col("ps_n")).otherwise(0)).alias("ps_act"),
+                 # every use of these sums is null-defaulted in the source (isnull(sum(..), 0))
+                 _sum0(F.when(act & (code != "N0000UA"), F.col("ps_n")).otherwise(0)).alias("ps_f"),
+                 _sum0(F.when(code.like("R%") & act, F.col("ps_n")).otherwise(0)).alias("ps_red"),
+                 _sum0(F.when(act, F.col("ps_n")).otherwise(0)).alias("ps_act"),
                  F.sum(F.when((code == "N0000UA") & (F.col("sc_active") == "Yes"), 1).otherwise(0))
                  .alias("ps_ua")))
 
@@ -207,9 +212,9 @@ def _br_child_side(d: Domain, as_of) -> DataFrame:
     act = active_any("cps_status", "cps_removal", as_of)
     return (j.groupBy("cp_key", "csc_active")
             .agg(F.count(F.lit(1)).alias("cps_rows"),
-                 F.sum(F.when(act & (code != "N0000UA"), F.col("cps_n")).otherwise(0)).alias("cps_f"),
-                 F.sum(F.when(code.like("R%") & act, F.col("cps_n")).otherwise(0)).alias("cps_red"),
-                 F.sum(F.when(act, F.col("cps_n")).otherwise(0)).alias("cps_act"),
+                 _sum0(F.when(act & (code != "N0000UA"), F.col("cps_n")).otherwise(0)).alias("cps_f"),
+                 _sum0(F.when(code.like("R%") & act, F.col("cps_n")).otherwise(0)).alias("cps_red"),
+                 _sum0(F.when(act, F.col("cps_n")).otherwise(0)).alias("cps_act"),
                  F.sum(F.when((code == "N0000UA") & (F.col("csc_active") == "Yes"), 1).otherwise(0))
                  .alias("cps_ua")))
 
