@@ -57,10 +57,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Only when the session has none (local tests) is a fresh scratch folder created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Spark Connect) session has no SparkContext
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current:
+            current = _LOCAL_SCRATCH.setdefault(app_id(spark), tempfile.mkdtemp(prefix="tallyframe-ckpt-"))
+        return current
     current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
+def app_id(spark: SparkSession) -> str:
+    """Identifier of the running application (classic or remote session)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return spark.conf.get("spark.app.id", None) or str(id(spark))

@@ -426,15 +426,15 @@ def domain(spark: SparkSession, sf_dir: str, normalise: bool = True,
     With ``materialise`` (default) each derived view is written once per session to a folder under
     the session's checkpoint directory (the cluster's shared ``spark.checkpoint.dir``).
     """
-    from tallyframe.session import checkpoint_dir
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), normalise, materialise)
+    from tallyframe.session import app_id, checkpoint_dir
+    app = app_id(spark)
+    key = (app, os.path.abspath(sf_dir), normalise, materialise)
     with _DOMAINS_LOCK:
         if key not in _DOMAINS:
             store = None
             if materialise:
                 tag = os.path.basename(os.path.abspath(sf_dir)) + ("" if normalise else "-raw")
-                store = os.path.join(checkpoint_dir(spark), "tallyframe-domain",
-                                     spark.sparkContext.applicationId, tag)
+                store = os.path.join(checkpoint_dir(spark), "tallyframe-domain", app, tag)
             _DOMAINS[key] = Domain(spark, sf_dir, normalise, store)
         return _DOMAINS[key]
 

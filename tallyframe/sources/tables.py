@@ -23,7 +23,8 @@ def load(spark: SparkSession, source: str, name: str, fmt: str = "parquet",
     and filters are pushed to the scan by Catalyst, so callers select what they need afterwards.
     """
     opts = dict(options or {})
-    key = (spark.sparkContext.applicationId, source, name, fmt, tuple(sorted(opts.items())))
+    from tallyframe.session import app_id
+    key = (app_id(spark), source, name, fmt, tuple(sorted(opts.items())))
     cached = _LOADED.get(key)
     if cached is not None:
         return cached
