@@ -60,3 +60,19 @@ def compare(spark, con, key, query, sql, sf_dir):
     if not out["columns_match"]:
         out["spark_cols"], out["oracle_cols"] = sorted(s_cols), sorted(d_cols)
     return out
+
+
+def plan_summary(df) -> dict:
+    """Operator counts of the executed (adaptive, after one run) physical plan of ``df``."""
+    import re
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()                      # run this very plan (JVM side) so AQE finalises it
+    text = qe.executedPlan().toString().split("== Initial Plan ==")[0]
+    ops = ["ShuffleExchange", "BroadcastExchange", "SortMergeJoin", "BroadcastHashJoin",
+           "ShuffledHashJoin", "HashAggregate", "Window", "CartesianProduct", "BroadcastNestedLoopJoin",
+           "FileScan", "ReusedExchange"]
+    count = {op: len(re.findall(op, text)) for op in ops}
+    count["ShuffleExchange"] = len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|"
+                                              r"Exchange SinglePartition|Exchange RoundRobin", text))
+    count["PushedFilters"] = len(re.findall(r"PushedFilters: \[[^\]]+\]", text))
+    return count
