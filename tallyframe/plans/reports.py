@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import int_div
 from tallyframe.functions.predicates import (active_all, active_any, code_flag, m_eq, m_filter,
-                                             mismatch_flag, not_contains, starts)
+                                             m_ne, mismatch_flag, not_contains, starts)
 from tallyframe.functions.text import trim_end
 from tallyframe.operators.aggregates import over_keys, service_category
 from tallyframe.operators.joins import band_lookup, left_join_skew_safe, nested_join
@@ -571,8 +571,19 @@ def m_mud_special(d: Domain, as_of) -> DataFrame:
                     {"c_calculation_method": "child_calc_method", "c_audit_date": "audit_date"},
                     how="inner")
     j = j.where(m_filter(m_eq(F.left(F.col("child_calc_method"), F.lit(3)), "MAN")))
-    # parent services come from status-C facts only, so "no code or status <> C" means none
-    j = nested_join(j, psf, ["parent_property_key"], ["property_key"], [], how="left_anti")
+    # "no parent service": left join to the parent's (status C) services, keep rows whose code is
+    # null or status is not C.  Only null-code rows pass, so the literal result has one row per
+    # null-code parent service, or one row when the parent has no service at all.  That count is
+    # taken per parent (partial aggregation) and the rows are repeated by it: no row product.
+    per_parent = psf.groupBy(F.col("property_key").alias("__pp")).agg(
+        F.count(F.lit(1)).alias("__n_any"),
+        F.count(F.when(~m_filter(m_ne("status", "C")) & F.col("service_code").isNotNull(), 1))
+        .alias("__n_fail"))
+    j = (j.join(per_parent, F.col("parent_property_key").eqNullSafe(F.col("__pp")), "left")
+         .withColumn("__copies", F.when(F.col("__n_any").isNull(), F.lit(1))
+                     .otherwise(F.col("__n_any") - F.col("__n_fail")))
+         .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))))
+         .drop("__pp", "__n_any", "__n_fail", "__copies", "__copy"))
     j = nested_join(j, reg, ["parent_property_key"], ["property_key_link_to_property"],
                     {"c_calculation_method": "parent_calc_method"})
     j = j.where(F.col("parent_calc_method").isNull())

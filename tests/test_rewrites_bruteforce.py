@@ -84,13 +84,19 @@ def random_registers(seed: int) -> dict[str, list[tuple]]:
         return (k, 1000 + k, parent, None if parent is None else 1000 + parent, "C", "RESIDENCE",
                 f"{k} Fixed St", f"{k} Fixed St", "North", "Road", None, f"owner {k}", f"o{k}",
                 None, None, None, None, 500 + k, 700 + k)
-    props += [prop(41), prop(42, 41), prop(43, 41), prop(44), prop(45, 44), prop(46)]
-    psf += [(41, 1041, "R0001", "120", 2, 1, "C", None), (46, 1046, "R0001", "80", 1, 1, "C", None)]
-    reg += [(41, "SHA1", datetime(1998, 3, 31)), (46, "SNG1", datetime(1998, 3, 31))]
+    # and a multi-dwelling parent whose only services have no code, with an N0000UA child on
+    # manual calculation (47, 48)
+    props += [prop(41), prop(42, 41), prop(43, 41), prop(44), prop(45, 44), prop(46), prop(47),
+              prop(48, 47)]
+    psf += [(41, 1041, "R0001", "120", 2, 1, "C", None), (46, 1046, "R0001", "80", 1, 1, "C", None),
+            (47, 1047, None, "80", 1, 1, "C", None), (47, 1047, None, "80", 1, 1, "C", None),
+            (48, 1048, "N0000UA", "80", 1, 1, "C", None)]
+    reg += [(41, "SHA1", datetime(1998, 3, 31)), (46, "SNG1", datetime(1998, 3, 31)),
+            (48, "MAN1", datetime(1998, 3, 31))]
     rtf += [(42, 900, 1, 9, 542, None), (43, 901, 1, 9, 543, None), (45, 902, 1, 9, 545, None),
-            (46, 903, 1, 0, 546, None)]
+            (46, 903, 1, 0, 546, None), (48, 904, 1, 6, 548, None)]
     ra += [(500 + k, 700 + k, str(k), 1000 + k, f"payer {k}", None, None, None, None)
-           for k in range(41, 47)]
+           for k in range(41, 49)]
     return {"property": props, "property_services_facts": psf, "reg_bserv_bin_services": reg,
             "rate_type_facts": rtf, "rate_assessment": ra, "property_assessment_links": pal,
             "property_owners": owners, "names_applications": na, "names": names,
