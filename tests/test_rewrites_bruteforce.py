@@ -1,6 +1,7 @@
 """The pre-aggregated rewrites (J5 branches, J6, M parent x child aggregation) against the literal
 row-product SQL on small random registers full of nulls, evaluated by DuckDB on the same rows."""
 
+import os
 import random
 from datetime import datetime
 
@@ -152,7 +153,7 @@ for _key, _fn in [("report_single_nonmatch", R.single_nonmatches), ("report_sing
     CASES[_key] = (lambda d, f=_fn: f(d, AS_OF), _key)
 
 
-SEEDS = [int(x) for x in __import__("os").environ.get("BRUTE_SEEDS", "1,2,3,4").split(",")]
+SEEDS = [int(x) for x in os.environ.get("BRUTE_SEEDS", "1,2,3,4").split(",")]
 NONEMPTY: dict[str, int] = {}
 
 
