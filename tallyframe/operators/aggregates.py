@@ -61,7 +61,10 @@ def over_keys(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
     joins it back on the key.  Unlike a ``Window``, no task ever has to hold all rows of one key:
     a key holding a third of the data is pre-aggregated before the shuffle, and the join back is a
     skew-splittable join (AQE) or a broadcast when the per-key table is small.  Null keys form one
-    group, as in a window partition (null-safe join).  ``how="window"`` uses a Window instead.
+    group, as in a window partition.  ``null_safe=True`` joins back null-safely; ``null_safe=False``
+    joins on plain key equality, so the result keeps the key's hash partitioning for neighbouring
+    joins, and (for a single key) serves the null-key group, at most one row, from a broadcast.
+    ``how="window"`` uses a Window instead.
     """
     if how == "window":
         w = Window.partitionBy(*keys)
@@ -69,11 +72,19 @@ def over_keys(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
     tmp = [f"__key_{i}" for i in range(len(keys))]
     per_key = (df.groupBy(*[F.col(k).alias(t) for k, t in zip(keys, tmp)])
                .agg(*[agg.alias(name) for name, agg in aggs.items()]))
-    if null_safe:
+    if null_safe or len(keys) != 1:
         cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, tmp)])
-    else:
-        cond = reduce(lambda a, b: a & b, [F.col(k) == F.col(t) for k, t in zip(keys, tmp)])
-    return df.join(per_key, cond, "left").drop(*tmp)
+        return df.join(per_key, cond, "left").drop(*tmp)
+    key, tkey = keys[0], tmp[0]
+    out = df.join(per_key, F.col(key) == F.col(tkey), "left").drop(tkey)
+    # the null-key group: one row at most, attached to the null-key rows by an equi-join
+    nulls = per_key.where(F.col(tkey).isNull()).select(
+        F.when(F.col(tkey).isNull(), F.lit(1)).alias("__null_key"),   # data-derived: not folded
+        *[F.col(n).alias(f"__null_{n}") for n in aggs])
+    out = out.join(F.broadcast(nulls),
+                   F.when(F.col(key).isNull(), F.lit(1)) == F.col("__null_key"), "left")
+    return out.withColumns({n: F.coalesce(F.col(n), F.col(f"__null_{n}")) for n in aggs}).drop(
+        "__null_key", *[f"__null_{n}" for n in aggs])
 
 
 def count_over(df: DataFrame, col: ColumnOrName, keys: Sequence[str], name: str, **kw) -> DataFrame:

@@ -67,7 +67,6 @@ def rates_with_counts(d: Domain, as_of) -> DataFrame:
         F.col("property_key").alias("rate_property_key"), "rate_type_key",
         F.col("units").alias("rate_units"), "ratetype_key", "ratetype", "rate_bin_type",
         "rate_frequency", "assessment", "vgnumber")
-    # a rate without a property key never pairs, so its (null) group need not be kept
     return count_over(r, "ratetype", ["rate_property_key"], "number_rate_records", null_safe=False)
 
 
@@ -156,7 +155,6 @@ def shared_child_rates(d: Domain, as_of) -> DataFrame:
                                        "ratetype", "rate_bin_type", "rate_frequency", "assessment",
                                        "vgnumber")
     j = cp.join(r, F.col("property_key") == F.col("__rk")).drop("__rk")
-    # rows without a parent never meet a parent row, so their (null) group need not be kept
     j = count_over(j, "property_key", ["parent_property_key"], "eligible_properties",
                    null_safe=False)
     return j.select("parent_property_key", "property_key", "parent_property_tpklpaprop",

@@ -47,7 +47,7 @@ def _single_pairs(d: Domain, as_of, contacts: bool, dedupe_owners: bool = False)
                                 "frequency_mismatch": ("service_frequency", "rate_frequency", 0),
                                 "units_mismatch": ("service_units", "rate_units", 0)},
                        codes={"rate_type_mismatch": ("ratetype", 3, "S")})
-        # register ids are primary keys (never null): plain equi-joins keep the key partitioning
+        # plain equi-join back keeps the key partitioning (a null key still forms one group)
         return add_pair_counts(df, ["tpklpaprop"], "service_bin_type", "rate_bin_type",
                                "number_bin_matched", "number_bin_mismatched", null_safe=False)
 

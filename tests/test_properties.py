@@ -52,12 +52,15 @@ def test_over_keys_equals_window_under_skew(spark):
             for _ in range(3000)]
     df = spark.createDataFrame(data, "k int, v int").withColumn("id", F.monotonically_increasing_id())
     aggs = {"n": F.count("v"), "s": sum_if(F.col("v") > 2), "t": F.sum("v")}
-    a = over_keys(df, ["k"], aggs)
     w = Window.partitionBy("k")
     b = df.withColumns({k: v.over(w) for k, v in aggs.items()})
     cols = ["id", "k", "v", "n", "s", "t"]
-    assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
-    assert "Window" not in a._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, b.select(*cols).collect()), key=str)
+    for null_safe in (True, False):
+        a = over_keys(df, ["k"], aggs, null_safe=null_safe)
+        assert sorted(map(tuple, a.select(*cols).collect()), key=str) == want
+        plan = a._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "NestedLoop" not in plan
 
 
 def test_union_by_name_is_column_order_invariant(spark, sf_small):
