@@ -156,3 +156,26 @@ def test_normalise_codes_with_case_insensitive_collation(spark):
     assert plain.where(F.col("status") == "C").count() == 1
     ci = normalise_codes(df, ["status"], collation="UTF8_LCASE_RTRIM")
     assert ci.where(F.col("status") == "C").count() == 2
+
+
+def test_eav_count_equals_counting_pairs(spark):
+    from tallyframe.operators.joins import eav_count, eav_join
+    df = spark.createDataFrame(
+        [(1, "P", "k1"), (1, "S", "open"), (1, "S", "open"), (2, "P", "k1"), (2, "S", None),
+         (3, "P", "k2"), (4, "S", "open"), (5, "P", None)], "e int, q string, v string")
+    anchor, other = F.col("q") == "P", F.col("q") == "S"
+    pairs = eav_join(df, "e", "q", "v", anchor, other, "key", "status")
+    want = {r.key: r.n for r in pairs.groupBy("key").agg(F.count("status").alias("n")).collect()}
+    got = {r.key: r.n for r in eav_count(df, "e", "v", anchor, other, "key", "n").collect()}
+    assert got == want == {"k1": 2, "k2": 0, None: 0}
+
+
+def test_left_join_skew_safe_keeps_null_keys_once(spark):
+    from tallyframe.operators.joins import left_join_skew_safe
+    left = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (3, "d")], "k int, lv string")
+    right = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z"), (3, None)], "rk int, rv string")
+    got = sorted(map(tuple, left_join_skew_safe(left, right, "k", "rk").select("lv", "rk", "rv").collect()),
+                 key=str)
+    want = sorted(map(tuple, left.join(right, F.col("k") == F.col("rk"), "left")
+                      .select("lv", "rk", "rv").collect()), key=str)
+    assert got == want
