@@ -76,3 +76,39 @@ def plan_summary(df) -> dict:
                                               r"Exchange SinglePartition|Exchange RoundRobin", text))
     count["PushedFilters"] = len(re.findall(r"PushedFilters: \[[^\]]+\]", text))
     return count
+
+
+def main(argv: list[str] | None = None) -> int:
+    """``python -m tallyframe.plans.check SF_DIR [KEY ...]``: run queries against their oracle and
+    print one JSON line per key; exit status 1 when any key differs."""
+    import json
+    import sys
+    import time
+
+    from tallyframe import build_session
+    from tallyframe.plans.oracle import oracle_sql
+    from tallyframe.plans.queries import queries
+
+    args = sys.argv[1:] if argv is None else argv
+    sf_dir, only = args[0], set(args[1:])
+    spark = build_session("local[*]", 8)
+    con = duck_connection(sf_dir)
+    qs, sql = queries(), oracle_sql()
+    failed = 0
+    for key in qs:
+        if only and key not in only:
+            continue
+        t0 = time.perf_counter()
+        try:
+            res = compare(spark, con, key, qs[key], sql[key], sf_dir)
+        except Exception as exc:  # report and continue with the other keys
+            res = {"key": key, "ok": False, "error": str(exc).splitlines()[0][:300]}
+        res["sec"] = round(time.perf_counter() - t0, 2)
+        failed += not res["ok"]
+        print(json.dumps(res), flush=True)
+    print(json.dumps({"failed": failed}))
+    return 1 if failed else 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())
