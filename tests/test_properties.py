@@ -15,12 +15,15 @@ from tallyframe.sources.domain import domain
 
 
 def test_perfect_pairing_rule(spark):
+    codes = ["a", "b", "c", "d", "e"]
+    for n in range(1, 6):
+        left = spark.createDataFrame([(1, b) for b in codes[:n]], "k int, lb string")
+        right = spark.createDataFrame([(1, b) for b in codes[:n]], "rk int, rb string")
+        pairs = add_pair_counts(pair_by_key(left, right, "k", "rk"), ["k"], "lb", "rb")
+        r = pairs.select(is_perfect_pairing("number_matched", "number_mismatched")).distinct().collect()
+        assert [x[0] for x in r] == [True], n
     n = 3
-    left = spark.createDataFrame([(1, b) for b in ["a", "b", "c"][:n]], "k int, lb string")
-    right = spark.createDataFrame([(1, b) for b in ["a", "b", "c"][:n]], "rk int, rb string")
-    pairs = add_pair_counts(pair_by_key(left, right, "k", "rk"), ["k"], "lb", "rb")
-    r = pairs.select(is_perfect_pairing("number_matched", "number_mismatched")).distinct().collect()
-    assert [x[0] for x in r] == [True]
+    left = spark.createDataFrame([(1, b) for b in codes[:n]], "k int, lb string")
     right2 = spark.createDataFrame([(1, "a"), (1, "b"), (1, "x")], "rk int, rb string")
     pairs2 = add_pair_counts(pair_by_key(left, right2, "k", "rk"), ["k"], "lb", "rb")
     assert [x[0] for x in pairs2.select(is_perfect_pairing("number_matched", "number_mismatched"))
