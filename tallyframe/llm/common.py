@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that separate words, as a regular-expression class body (fixed by the contracts).
 SPACE = r"\x20\x09-\x0D"
@@ -69,3 +70,21 @@ def forget(df: DataFrame) -> None:
     for f in {os.path.dirname(f) for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of up to 40 bytes that are sent to every executor at most, about 40 MB.
+FEW_ROWS = 1_000_000
+
+
+def few(narrow: DataFrame) -> DataFrame:
+    """Broadcast a narrow frame of fixed-size columns after counting its rows; leave a larger one to shuffle."""
+    return F.broadcast(narrow) if narrow.count() <= FEW_ROWS else narrow
+
+
+#: Column of row numbers, while an operator needs them.
+ROW = "__row"
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """Add a number for each row, the same whenever the same files are read."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())

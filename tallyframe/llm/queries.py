@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, sentencepieces
-from .common import documents
+from . import exactdedup, packing, quality, sentencepieces, simhash
+from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,21 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_packing, op4_sentencepiece)}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
-ORACLE: dict[str, str] = {}
+
+def op7_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exactdedup.groups(documents(spark, sf_dir))
+    return found.select("doc_id", "keep_id", "group_size", (F.col(exactdedup.ROW) == F.col("keep_row")).alias("kept"), "text_sha256")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op3_packing, op4_sentencepiece, op6_quality, op7_exactdedup, op10_simhash)}
+
+ORACLE: dict[str, str] = {"op7_exactdedup": exactdedup.ORACLE}
