@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, packing, quality, sentencepieces, simhash
+from . import chat, exactdedup, licensescan, packing, quality, secretscan, sentencepieces, simhash
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parse(table(spark, sf_dir, "conversations"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -31,12 +35,20 @@ def op7_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", (F.col(exactdedup.ROW) == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digests(documents(spark, sf_dir))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licensescan.scan(documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_packing, op4_sentencepiece, op6_quality, op7_exactdedup, op10_simhash)}
+    op3_packing, op4_sentencepiece, op5_chat, op6_quality, op7_exactdedup, op8_secrets, op9_licenses, op10_simhash)}
 
 ORACLE: dict[str, str] = {"op7_exactdedup": exactdedup.ORACLE}
