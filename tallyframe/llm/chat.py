@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import runs, ship, written
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Usual speaker names, in lower case, and their roles.
@@ -138,19 +138,6 @@ class Model:
         return out[::-1]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
-    """Rows of each run of equal first ``keys`` columns."""
-    held: list[tuple] = []
-    for b in batches:
-        for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if held and r[:keys] != held[0][:keys]:
-                yield held
-                held = []
-            held.append(r)
-    if held:
-        yield held
-
-
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -180,14 +167,14 @@ def parse(turns: DataFrame, model: Model | None = None, block: int = BLOCK) -> D
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per block its product; the first block's steps start the chain instead of continuing it."""
         out = []
-        for run in _runs(batches, 2):
+        for run in runs(batches, 2):
             obs = np.concatenate([observed(r[3], r[4])[0] for r in run])
             out.append((run[0][0], run[0][1], _entry(model, obs)))
         yield _batch(out, names, kinds)
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for run in _runs(batches, 1):
+        for run in runs(batches, 1):
             out += _ends(run)
         yield _batch(out, ["conv_id", "block", "before", "last"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
@@ -202,7 +189,7 @@ def parse(turns: DataFrame, model: Model | None = None, block: int = BLOCK) -> D
         cols = [c.split()[0] for c in OUT.split(", ")]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
         out = []
-        for run in _runs(batches, 2):
+        for run in runs(batches, 2):
             out += _turns(model, run)
             if len(out) >= 2000:
                 yield _batch(out, cols, types)

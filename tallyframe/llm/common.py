@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +90,16 @@ ROW = "__row"
 def with_row(docs: DataFrame) -> DataFrame:
     """Add a number for each row, the same whenever the same files are read."""
     return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of each run of equal first ``keys`` columns."""
+    held: list[tuple] = []
+    for b in batches:
+        for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if held and r[:keys] != held[0][:keys]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held

@@ -162,7 +162,7 @@ class Model:
             x[i, self._features(tokens)] = 1
         return x, np.array([y for _, y in rows])
 
-    def _fit(self, x, y, x_held, y_held, rounds: int = 200, l1: float = 2e-3) -> None:
+    def _fit(self, x, y, x_held, y_held, rounds: int = 250, l1: float = 5e-4) -> None:
         target = np.eye(len(self.families), dtype=np.float32)[y]
         share = target.mean(axis=0)
         weight = (1 / np.maximum(share, 1e-3) / len(self.families))[y][:, None]

@@ -8,12 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exactdedup, licensescan, packing, quality, secretscan, sentencepieces, simhash
+from . import chat, exactdedup, langid, licensescan, linededup, packing, quality, secretscan, sentencepieces, simhash
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = langid.held_out(F.col("doc_id"))
+    found = langid.predict(docs, langid.train(docs, ~out))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -49,6 +60,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_packing, op4_sentencepiece, op5_chat, op6_quality, op7_exactdedup, op8_secrets, op9_licenses, op10_simhash)}
+    op1_langid, op2_linededup, op3_packing, op4_sentencepiece, op5_chat, op6_quality, op7_exactdedup, op8_secrets, op9_licenses, op10_simhash)}
 
 ORACLE: dict[str, str] = {"op7_exactdedup": exactdedup.ORACLE}
