@@ -182,12 +182,15 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, longest: int = LIST) -> Da
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, longest: int = LIST,
-               keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` (``doc_id`` first), ``fp`` and ``component_id``, the smallest ``doc_id`` reachable."""
+               keep: tuple[str, ...] = ("doc_id",), root: bool = False) -> DataFrame:
+    """The columns ``keep`` (``doc_id`` first), ``fp`` and ``component_id``, the smallest ``doc_id`` reachable.
+
+    With ``root``, also the smallest fingerprint of the component.
+    """
     fps = written(fingerprints(docs, shingle, keep), "simhash-fp")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     roots = connected(links(nodes, max_bits, longest), "simhash-cc")
     of = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(*keep, "fp", "component_id")
+    named = of.join(least, "root").select("fp", "component_id", "root")
+    return fps.join(named, "fp").select(*keep, "fp", "component_id", *["root"][:root])
