@@ -11,9 +11,9 @@ Layout:
     functions/  column expressions (predicates, flags, text, integer/decimal arithmetic)
     operators/  joins, keyed aggregates, reconciliation
     plans/      named datasets, reports, query registry and SQL oracle
-    streaming/  incremental report refresh over a file stream
 """
 
 from tallyframe.session import AS_OF, build_session, checkpoint_dir
+from tallyframe.sources.domain import refresh
 
-__all__ = ["AS_OF", "build_session", "checkpoint_dir"]
+__all__ = ["AS_OF", "build_session", "checkpoint_dir", "refresh"]

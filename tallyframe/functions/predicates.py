@@ -18,7 +18,7 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _ts(as_of: datetime | Column | None) -> Column:
+def instant(as_of: datetime | Column | None) -> Column:
     """The report instant: an explicit timestamp, or the wall clock when ``None``."""
     if as_of is None:
         return F.localtimestamp()
@@ -38,7 +38,7 @@ def active_any(status: ColumnOrName, end: ColumnOrName, as_of=None, current: str
 
     A null end date is unknown, so only the status decides for it.
     """
-    return (_c(status) == current) | (_c(end) > _ts(as_of))
+    return (_c(status) == current) | (_c(end) > instant(as_of))
 
 
 def active_all(status: ColumnOrName, end: ColumnOrName, as_of=None, current: str = "C") -> Column:
@@ -48,7 +48,7 @@ def active_all(status: ColumnOrName, end: ColumnOrName, as_of=None, current: str
 
 def not_ended(end: ColumnOrName, as_of=None) -> Column:
     """Open-ended validity: no end date, or an end date after ``as_of``."""
-    return _c(end).isNull() | (_c(end) > _ts(as_of))
+    return _c(end).isNull() | (_c(end) > instant(as_of))
 
 
 def mismatch_flag(a: ColumnOrName, b: ColumnOrName, default=0) -> Column:
@@ -100,20 +100,39 @@ def m_filter(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def not_contains(text: ColumnOrName, part: ColumnOrName, pattern: bool = False,
+def not_contains(text: ColumnOrName, part: ColumnOrName, pattern: bool = True,
                  case_insensitive: bool = True) -> Column:
     """``text not like '%' + part + '%'``.
 
-    Default: literal containment (``%``/``_`` inside ``part`` are plain characters).  With
-    ``pattern=True`` the part's own ``%`` and ``_`` act as wildcards, as in the source report.
-    Either way a null text or part gives null, which drops the row in a filter.
+    As in the source's LIKE, ``%``, ``_`` and ``[...]`` inside ``part`` are a pattern (see
+    ``like_regex``); parts without them take a plain search.  ``pattern=False`` reads every part as
+    plain characters.  Either way a null text or part gives null, which drops the row in a filter.
     """
     t, p = _c(text), _c(part)
     if case_insensitive:
         t, p = F.lower(t), F.lower(p)
-    if pattern:
-        return ~F.like(t, F.concat(F.lit("%"), p, F.lit("%")))
-    return ~F.contains(t, p)
+    plain = F.contains(t, p)
+    if not pattern:
+        return ~plain
+    return ~F.when(p.rlike(r"[%_\[]"), F.regexp_like(t, F.concat(F.lit("(?s)"), like_regex(p)))).otherwise(plain)
+
+
+def like_regex(part: ColumnOrName) -> Column:
+    """The regular expression of a LIKE pattern without escape character: ``%`` any text, ``_`` any
+    character, ``[set]`` and ``[^set]`` one character of (not of) the set.  A bracket that is never
+    closed, and an empty set, match nothing.  All other characters stand for themselves."""
+    tokens = F.regexp_extract_all(_c(part), F.lit(r"\[[^\]]*\]|[\s\S]"), F.lit(0))
+
+    def one(t: Column) -> Column:
+        negated = F.substring(t, 2, 1) == "^"
+        inner = F.when(negated, F.substr(t, F.lit(3), F.length(t) - 3)).otherwise(F.substr(t, F.lit(2), F.length(t) - 2))
+        inner = F.regexp_replace(inner, r"([\\^\[&])", r"\\$1")
+        some = F.when(inner == "", F.when(negated, ".").otherwise("(?!)")).otherwise(
+            F.concat(F.when(negated, "[^").otherwise("["), inner, F.lit("]")))
+        return (F.when(t == "%", ".*").when(t == "_", ".").when(t == "[", "(?!)")
+                .when(F.length(t) > 1, some).otherwise(F.concat(F.lit("\\Q"), t, F.lit("\\E"))))
+
+    return F.array_join(F.transform(tokens, one), "")
 
 
 def filter_optional(key: ColumnOrName, pred: Column) -> Column:

@@ -1,8 +1,7 @@
 """Join operators of the reconciliation workload.
 
-Physical strategy is left to Catalyst and AQE (broadcast below the size threshold, sort-merge with
-skew splitting above it); the only forced strategy is the band lookup, whose band table is read
-once with a size check and inlined as an expression.
+Physical strategy is left to Catalyst and AQE: broadcast below the size threshold, sort-merge with
+skew splitting above it.
 """
 
 from __future__ import annotations
@@ -10,14 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
-# Largest band table that is inlined into the plan as an expression.
-MAX_INLINE_BANDS = 256
-
 
 def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -29,15 +25,19 @@ def _and(conds: Sequence[Column]) -> Column:
 
 # ----------------------------------------------------------------------------- M style joins
 def nested_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str],
-                expand: Mapping[str, str] | Sequence[str], how: str = "left") -> DataFrame:
+                expand: Mapping[str, str] | Sequence[str], how: str = "left",
+                null_keys: bool = True) -> DataFrame:
     """Join then expand selected right columns (M ``Table.NestedJoin`` + ``ExpandTableColumn``).
 
-    Keys match null to null.  ``expand`` maps right column -> output name (or lists names kept as
+    Keys match null to null.  A side whose keys are never null (a primary key) has nothing to match a
+    null with, so plain equality gives the same rows: ``null_keys=False`` says so, and the join then
+    shares the key's hash partitioning with its neighbours and never gathers null keys.  ``expand`` maps right column -> output name (or lists names kept as
     they are).  ``how="left_semi"`` keeps left rows that have a partner, once each (a nested join
     that is never expanded).
     """
     tmp = [f"__rk_{i}" for i in range(len(right_on))]
-    cond = _and([F.col(lk).eqNullSafe(F.col(t)) for lk, t in zip(left_on, tmp)])
+    cond = _and([F.col(lk).eqNullSafe(F.col(t)) if null_keys else F.col(lk) == F.col(t)
+                 for lk, t in zip(left_on, tmp)])
     if how in ("left_semi", "semi", "left_anti", "anti"):
         r = right.select(*[F.col(rk).alias(t) for rk, t in zip(right_on, tmp)])
         return left.join(r, cond, how)
@@ -118,56 +118,40 @@ def band_lookup(df: DataFrame, bands: DataFrame, value: ColumnOrName, out: str,
     """Add the code of the band holding ``value`` (``lo <= value <= hi``), or null.
 
     ``by=(band_column, row_column)`` adds an equality condition (same calculation method).  More
-    than one matching band is an error, raised at run time for the row that hits it, as a scalar
-    subquery would.
+    than one matching band is an error, raised at run time, as a scalar subquery would.
 
-    The band table is reference data: it is read once with a size check and, when it has at most
-    ``MAX_INLINE_BANDS`` rows, inlined as a CASE expression (no join, no shuffle).  Larger band
-    tables go through a hash join on the ``by`` key with the range as residual condition.
+    One plan for band tables of any size: a band of width up to 2^n is listed under the one to three
+    multiples of 2^n that it touches, and a value is looked up under its own multiple of each 2^n
+    that occurs among the bands (64 at most, one scalar subquery).  That turns the range into an
+    equi-join.  Only the distinct values are looked up, after partial aggregation; their codes are
+    joined back to the rows, which may be skewed: the lookup side is unique per value.
     """
     b = bands.where(band_filter) if band_filter is not None else bands
-    cols = [lo, hi, code] + ([by[0]] if by else [])
-    rows = _band_rows(bands, b, band_filter, cols)
-    v = _c(value)
-    if len(rows) <= MAX_INLINE_BANDS:
-        conds = []
-        for r in rows:
-            cond = (F.lit(r[lo]) <= v) & (v <= F.lit(r[hi]))
-            if by:
-                cond = cond & (_c(by[1]) == F.lit(r[by[0]]))
-            conds.append((F.coalesce(cond, F.lit(False)), r[code]))
-        hits = reduce(lambda a, c: a + c[0].cast("int"), conds, F.lit(0))
-        expr = F.lit(None).cast("string")
-        for cond, c in reversed(conds):
-            expr = F.when(cond, F.lit(c if c is None or not upper else c.upper())).otherwise(expr)
-        guarded = F.when(hits > 1, F.raise_error(F.lit(f"band lookup for {out}: more than one band")))
-        return df.withColumn(out, F.coalesce(guarded.cast("string"), expr))
-    if not by:
-        raise ValueError("band tables above the inline bound need an equality key (by=...)")
-    rb = b.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.col(by[0]).alias("__by"),
-                  (F.upper(code) if upper else F.col(code)).alias(out))
-    rid = "__band_row"
-    keyed = df.withColumn(rid, F.monotonically_increasing_id())
-    joined = keyed.join(rb, (_c(by[1]) == F.col("__by")) & (F.col("__lo") <= v) & (v <= F.col("__hi")),
-                        "left")
-    per_row = Window.partitionBy(rid)
-    return (joined.withColumn("__n", F.count(F.col("__by")).over(per_row))
-            .withColumn(out, F.when(F.col("__n") > 1, F.raise_error(F.lit("more than one band")))
-                        .otherwise(F.col(out)))
-            .drop("__lo", "__hi", "__by", "__n", rid))
-
-
-_BAND_ROWS: dict[tuple, tuple] = {}
-
-
-def _band_rows(bands: DataFrame, filtered: DataFrame, band_filter, cols) -> list:
-    """Rows of a (bounded) band table, read once per band DataFrame and filter."""
-    key = (id(bands), str(band_filter), tuple(cols))
-    hit = _BAND_ROWS.get(key)
-    if hit is None or hit[0] is not bands:
-        hit = (bands, filtered.select(*cols).limit(MAX_INLINE_BANDS + 1).collect())
-        _BAND_ROWS[key] = hit
-    return hit[1]
+    level = F.ceil(F.log2((F.col(hi) - F.col(lo) + 1).cast("double"))).cast("int")
+    listed = b.where(F.col(lo) <= F.col(hi)).select(
+        F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), level.alias("__level"),
+        (F.upper(code) if upper else F.col(code)).alias("__code"),
+        (F.col(by[0]) if by else F.lit(0)).alias("__band_by"))
+    multiple = lambda v: F.floor(v.cast("double") / F.pow(F.lit(2.0), F.col("__level")))
+    listed = listed.withColumn("__multiple", F.explode(F.sequence(multiple(F.col("__lo")), multiple(F.col("__hi")))))
+    levels = listed.agg(F.collect_set("__level")).scalar()
+
+    row_by = _c(by[1]) if by else F.lit(0)
+    wanted = df.select(_c(value).alias("__value"), row_by.alias("__by")).where(F.col("__value").isNotNull()).distinct()
+    wanted = wanted.withColumn("__levels", levels).withColumn("__level", F.explode("__levels")).drop("__levels")
+    wanted = wanted.withColumn("__multiple", multiple(F.col("__value"))).withColumnRenamed("__level", "__own_level")
+    hit = wanted.join(listed.withColumnRenamed("__multiple", "__band_multiple"),
+                      (F.col("__by") == F.col("__band_by")) & (F.col("__own_level") == F.col("__level"))
+                      & (F.col("__multiple") == F.col("__band_multiple"))
+                      & F.col("__value").between(F.col("__lo"), F.col("__hi")))
+    found = hit.groupBy("__value", "__by").agg(F.count(F.lit(1)).alias("__n"), F.min("__code").alias("__code"))
+    found = found.select("__value", "__by", F.when(
+        F.col("__n") > 1, F.raise_error(F.lit(f"band lookup for {out}: more than one band")).cast("string"))
+        .otherwise(F.col("__code")).alias(out))
+    on = _c(value) == F.col("__value")
+    if by:
+        on = on & (row_by == F.col("__by"))
+    return df.join(found, on, "left").drop("__value", "__by")
 
 
 def join_text_key(left: DataFrame, right: DataFrame, text_col: str, key_col: str,
@@ -182,6 +166,22 @@ def missing(left: DataFrame, right: DataFrame, on, col: str) -> DataFrame:
     return left.join(right, on, "left").where(F.col(col).isNull())
 
 
+def no_current(df: DataFrame, facts: DataFrame, key: str, facts_key: str, current: Column,
+               unless: Column | None = None) -> DataFrame:
+    """Rows whose key has no row in ``facts`` that is ``current`` (``unless or not exists (...)``).
+
+    Rows that satisfy ``unless`` stay whatever the facts say; so do rows with a null key, which
+    equals none.  The current facts are reduced to distinct keys before the shuffle, so a fact key
+    with very many rows is one row there, and a hot key on the row side can be split.
+    """
+    keys = facts.where(current).select(F.col(facts_key).alias("__current")).distinct()
+    out = df.join(keys, F.col(key) == F.col("__current"), "left")
+    stays = F.col("__current").isNull()
+    if unless is not None:
+        stays = F.coalesce(unless, F.lit(False)) | stays
+    return out.where(stays).drop("__current")
+
+
 # ----------------------------------------------------------------------------- effective dating
 def latest_effective(df: DataFrame, keys: Sequence[str], eff: str) -> DataFrame:
     """Rows with no later row of the same key (``not exists later``): ties are all kept, rows with

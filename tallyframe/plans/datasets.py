@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import dec_avg, int_avg, int_div, try_int
-from tallyframe.functions.predicates import (active_any, m_eq, m_filter, m_ne, not_ended, starts,
-                                             ts_lit)
-from tallyframe.functions.text import concat_lines, rate_bin_type, rate_frequency
+from tallyframe.functions.predicates import (active_any, instant, m_eq, m_filter, m_ne, not_ended,
+                                             starts)
+from tallyframe.functions.text import concat_lines, decode_rate_type
 from tallyframe.operators.aggregates import count_over
 from tallyframe.operators.joins import (band_lookup, branch_parents, eav_count, join_text_key,
-                                        latest_effective, nested_join)
+                                        latest_effective, leaf_parents, left_join_skew_safe,
+                                        nested_join)
 from tallyframe.sources.domain import Domain
 
 def _memo(fn):
@@ -51,10 +52,8 @@ def current_rates(d: Domain, as_of, category: str = "DWM", with_assessment: bool
     rt = d.rate_type.where((F.col("is_current_period") == "Y") & (F.col("category_code") == category))
     if exclude_special:
         rt = rt.where(F.col("ratetype") != "N0000UA")
-    rates = (d.rate_type_facts.where(not_ended("suspended_date", as_of))
-             .join(rt, "ratetype_key")
-             .withColumns({"rate_bin_type": rate_bin_type("ratetype"),
-                           "rate_frequency": rate_frequency("ratetype")}))
+    rates = decode_rate_type(d.rate_type_facts.where(not_ended("suspended_date", as_of))
+                             .join(rt, "ratetype_key"))
     if with_assessment:
         rates = rates.join(d.rate_assessment, "assessment_key")
     return rates
@@ -168,7 +167,8 @@ def shared_volume(d: Domain, as_of) -> DataFrame:
     """Parents x rated children with the per-child volume (integer division) and its band."""
     parents = shared_parents(d, as_of)
     rates = shared_child_rates(d, as_of)
-    j = parents.join(rates, F.col("parent_key") == F.col("parent_property_key"), "left")
+    # one parent may hold a large share of all rated children
+    j = left_join_skew_safe(parents, rates, "parent_key", "parent_property_key")
     j = j.withColumn("avg_bin_size", int_div("total_volume", "eligible_properties"))
     return band_lookup(j, d.reg_bband_bin_bands, "avg_bin_size", "service_bin_type",
                        band_filter=starts("c_calculation_method", "SHA"))
@@ -276,10 +276,10 @@ def m_active_services(d: Domain, as_of, exclude_special: bool = False) -> DataFr
     """Active bin-stream services with their code's ``is_active`` (M two-valued logic)."""
     c = F.left(F.col("service_code"), F.lit(1))
     psf = m_services_facts(d).where(m_filter(
-        (m_eq("status", "C") | (F.col("removal_date") > ts_lit(as_of)))
+        (m_eq("status", "C") | (F.col("removal_date") > instant(as_of)))
         & (m_eq(c, "R") | m_eq(c, "G") | m_eq(c, "N"))))
     j = nested_join(psf, d.property_service_codes_custom, ["service_code"], ["service_code"],
-                    {"is_active": "is_active"})
+                    {"is_active": "is_active"}, null_keys=False)
     j = j.where(m_filter(m_stream_filter("service_code", "is_active")))
     if exclude_special:
         j = j.where(m_filter(m_ne("service_code", "N0000UA")))
@@ -304,7 +304,7 @@ def m_service_summary(d: Domain, as_of, exclude_special: bool, labels: dict) ->
 
 @_memo
 def m_property_services(d: Domain, as_of) -> DataFrame:
-    return m_service_summary(d, as_of, False, {"missing": "Missing service", "zero": "Zero service",
+    return m_service_summary(d, as_of, False, {"missing": "Missing service", "zero": "Zero service",  # fixed values
                                                "has": "Has service"})
 
 
@@ -328,10 +328,10 @@ def m_property_rates(d: Domain, as_of) -> DataFrame:
     """Per property: number of current DWM rates and their unit total (``PropertyRates``)."""
     rtf = d.rate_type_facts
     j = nested_join(rtf, m_current_rate_types(d), ["ratetype_key"], ["ratetype_key"],
-                    ["is_current_period", "category_code"], how="inner")
+                    ["is_current_period", "category_code"], how="inner", null_keys=False)
     j = j.where(m_filter(m_eq("is_current_period", "Y") & m_eq("category_code", "DWM")
                          & (F.col("suspended_date").isNull()
-                            | (F.col("suspended_date") > ts_lit(as_of)))))
+                            | (F.col("suspended_date") > instant(as_of)))))
     return j.groupBy("property_key").agg(F.count(F.lit(1)).alias("number_of_rates"),
                                          F.sum("units").alias("rate_units"))
 
@@ -341,7 +341,7 @@ def m_child_rates_totals(d: Domain, as_of) -> DataFrame:
     """Per parent: children's current rate units and rates (nulls as 0) and child count."""
     cp = m_child_properties(d)
     j = nested_join(cp, m_property_rates(d, as_of), ["property_key"], ["property_key"],
-                    ["rate_units", "number_of_rates"])
+                    ["rate_units", "number_of_rates"], null_keys=False)
     j = j.fillna(0, subset=["rate_units", "number_of_rates"])
     g = j.groupBy("parent_property_key").agg(F.sum("rate_units").alias("total_child_rate_units"),
                                              F.sum("number_of_rates").alias("total_child_rates"),
@@ -349,32 +349,34 @@ def m_child_rates_totals(d: Domain, as_of) -> DataFrame:
     return g.withColumnRenamed("parent_property_key", "property_key")
 
 
-def m_rates_with_assessment(d: Domain, as_of, rate_types: DataFrame) -> DataFrame:
+@_memo
+def m_rates_with_assessment(d: Domain, as_of) -> DataFrame:
+    """Current DWM rates other than N0000UA with their assessment, shared by the three audits."""
     rtf = d.rate_type_facts
-    j = nested_join(rtf, rate_types, ["ratetype_key"], ["ratetype_key"],
-                    ["is_current_period", "category_code", "ratetype"], how="inner")
+    j = nested_join(rtf, m_current_rate_types(d), ["ratetype_key"], ["ratetype_key"],
+                    ["is_current_period", "category_code", "ratetype"], how="inner", null_keys=False)
     j = j.where(m_filter(m_eq("is_current_period", "Y") & m_eq("category_code", "DWM")
                          & m_ne("ratetype", "N0000UA")
                          & (F.col("suspended_date").isNull()
-                            | (F.col("suspended_date") > ts_lit(as_of)))))
+                            | (F.col("suspended_date") > instant(as_of)))))
     return nested_join(j, d.rate_assessment, ["assessment_key"], ["assessment_key"],
                        {"assessment": "assessment", "vgnumber": "vgnumber",
-                        "ratepayer_address_1": "ratepayer"}, how="inner")
+                        "ratepayer_address_1": "ratepayer"}, how="inner", null_keys=False)
 
 
 @_memo
 def m_sud_rates(d: Domain, as_of) -> DataFrame:
-    return m_rates_with_assessment(d, as_of, d.rate_type).select(
+    return m_rates_with_assessment(d, as_of).select(
         "property_key", "ratetype", "assessment", "vgnumber", "ratepayer")
 
 
 @_memo
 def m_child_rates(d: Domain, as_of) -> DataFrame:
-    j = m_rates_with_assessment(d, as_of, m_current_rate_types(d))
+    j = m_rates_with_assessment(d, as_of)
     j = nested_join(j, m_child_properties(d), ["property_key"], ["property_key"],
                     {"parent_property_key": "parent_property_key", "tpklpaprop": "child_tpklpaprop",
                      "formatted_address": "child_formatted_address", "suburb": "child_suburb"},
-                    how="inner")
+                    how="inner", null_keys=False)
     return j.select("property_key", "parent_property_key", "child_tpklpaprop",
                     "child_formatted_address", "child_suburb", "ratetype", "assessment", "vgnumber",
                     "ratepayer")
@@ -383,8 +385,10 @@ def m_child_rates(d: Domain, as_of) -> DataFrame:
 @_memo
 def m_sud_properties(d: Domain) -> DataFrame:
     """Parents without children (single dwellings)."""
-    return nested_join(m_parent_properties(d), m_property(d), ["property_key"],
-                       ["parent_property_key"], [], how="left_anti")
+    # the parents themselves are rows with a null parent key, which M matches to a null key: a parent
+    # without a key is never childless, and rows without a parent need not be looked at
+    keyed = m_parent_properties(d).where(F.col("property_key").isNotNull())
+    return leaf_parents(keyed, m_property(d))
 
 
 @_memo
@@ -396,9 +400,9 @@ def m_mud_parent_properties(d: Domain) -> DataFrame:
 
 @_memo
 def m_parent_rates(d: Domain, as_of) -> DataFrame:
-    j = m_rates_with_assessment(d, as_of, m_current_rate_types(d))
+    j = m_rates_with_assessment(d, as_of)
     j = nested_join(j, m_mud_parent_properties(d), ["property_key"], ["property_key"], [],
-                    how="left_semi")
+                    how="left_semi", null_keys=False)
     return j.select("property_key", "ratetype", "assessment", "vgnumber", "ratepayer")
 
 
@@ -413,7 +417,7 @@ def _side_summary(services: DataFrame, key: str, as_of, prefix: str) -> DataFram
     act = F.col(f"{prefix}_is_active")
     ok = code.isNull() | (
         ((F.col(f"{prefix}_status") == "C") | (F.col(f"{prefix}_removal_date")
-                                               > ts_lit(as_of)))
+                                               > instant(as_of)))
         & (m_eq(F.left(code, F.lit(1)), "R") | (m_eq(F.left(code, F.lit(1)), "G") & m_eq(act, "No"))
            | m_eq(F.left(code, F.lit(1)), "N")))
     s = services.where(m_filter(ok))
@@ -447,14 +451,14 @@ def m_parent_child_service_aggregation(d: Domain, as_of) -> DataFrame:
         j = nested_join(owner_keys, psf, [key], ["property_key"],
                         {"service_code": f"{prefix}_service_code",
                          "number_of_services": f"{prefix}_number_of_services",
-                         "status": f"{prefix}_status", "removal_date": f"{prefix}_removal_date"})
+                         "status": f"{prefix}_status", "removal_date": f"{prefix}_removal_date"}, null_keys=False)
         j = nested_join(j, codes, [f"{prefix}_service_code"], ["service_code"],
-                        {"is_active": f"{prefix}_is_active"})
+                        {"is_active": f"{prefix}_is_active"}, null_keys=False)
         return _side_summary(j, key, as_of, prefix)
 
     p_side = side(parents.select("property_key"), "property_key", "parent")
     children = nested_join(parents.select("property_key"), m_child_properties(d), ["property_key"],
-                           ["parent_property_key"], {"property_key": "child_property_key"})
+                           ["parent_property_key"], {"property_key": "child_property_key"}, null_keys=False)
     c_side = side(children.select("child_property_key").distinct(), "child_property_key", "child")
     c_side = c_side.withColumnRenamed("child_property_key", "__ck")
     combo = children.join(c_side, F.col("child_property_key").eqNullSafe(F.col("__ck"))).drop("__ck")
@@ -487,6 +491,12 @@ def m_parent_child_service_aggregation(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ finance
+@_memo
+def m_assessment_info(d: Domain) -> DataFrame:
+    """M ``AssessmentInfo``: the assessment number and valuation group of a register id."""
+    return d.rate_assessment.select("tfklpaprop", "assessment", "vgnumber")
+
+
 @_memo
 def effective_address(d: Domain) -> DataFrame:
     """Latest address link(s) per identity (ties kept), with the address text."""

@@ -7,6 +7,7 @@ so that its name matches the SQL oracle in ``tallyframe.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,18 +18,18 @@ from tallyframe.functions.predicates import (active_all, active_any, code_flag,
                                              m_ne, mismatch_flag, not_contains, not_ended, ts_lit)
 from tallyframe.functions.text import (concat_lines, rate_bin_type, rate_class, rate_frequency,
                                        trim_end)
-from tallyframe.operators.aggregates import (count_over, flag_any_over, over_keys,
-                                             service_category, sum_if, sum_over)
+from tallyframe.operators.aggregates import (count_over, flag_any_over, min_flag, over_keys,
+                                             service_category, sum_if, sum_if_over, sum_over)
 from tallyframe.operators.joins import (band_lookup, branch_parents, eav_join, join_text_key,
                                         join_where, latest_effective, leaf_parents, missing,
-                                        nested_join, with_children, with_parent)
-from tallyframe.operators.reconcile import (is_perfect_pairing, reconcile, reconcile_matches,
+                                        nested_join, no_current, with_children, with_parent)
+from tallyframe.operators.reconcile import (is_perfect_pairing, pair_by_key, reconcile, reconcile_matches,
                                             reconcile_nonmatches)
 from tallyframe.plans import datasets as ds
 from tallyframe.plans import reports as R
-from tallyframe.session import AS_OF
+from tallyframe.session import AS_OF, checkpoint_dir
 from tallyframe.sources.domain import Domain, domain
-from tallyframe.sources.tables import load, normalise_codes
+from tallyframe.sources.tables import load, normalise_codes, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -49,11 +50,7 @@ def _t(spark, sf, name):
 
 
 def _d(spark, sf) -> Domain:
-    d = domain(spark, sf)
-    if not d.__dict__.get("_materialised"):
-        d.materialise_all()
-        d._materialised = True
-    return d
+    return domain(spark, sf)
 
 
 def _end():
@@ -61,10 +58,11 @@ def _end():
     return F.when(F.col("l_linestatus") == "F", F.col("l_shipdate"))
 
 
-def _orders_1998(spark, sf):
-    return _t(spark, sf, "orders").where(
-        (F.col("o_orderdate") >= ts_lit("1998-01-01 00:00:00"))
-        & (F.col("o_orderdate") < ts_lit("1999-01-01 00:00:00")))
+def _orders_keyed(spark, sf):
+    """All orders; the key of every fifth customer's orders is null, so that those customers have no
+    partner and those orders match nobody."""
+    return _t(spark, sf, "orders").withColumn(
+        "o_custkey", F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")))
 
 
 # ============================================================================ 2.A sources
@@ -128,16 +126,16 @@ def q_try_cast_int(spark, sf):
 
 @register("fill_nulls")
 def q_fill_nulls(spark, sf):
-    o = _orders_1998(spark, sf).groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("n_orders_1998"), F.max("o_orderstatus").alias("last_status"))
+    o = _orders_keyed(spark, sf).groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.max("o_orderstatus").alias("last_status"))
     j = _t(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return j.select("c_custkey", "n_orders_1998", "last_status").fillna(
-        {"n_orders_1998": 0, "last_status": "none"})
+    return j.select("c_custkey", "n_orders", "last_status").fillna(
+        {"n_orders": 0, "last_status": "none"})
 
 
 @register("coalesce_default")
 def q_coalesce_default(spark, sf):
-    o = _orders_1998(spark, sf).groupBy("o_custkey").agg(F.max("o_orderpriority").alias("prio"))
+    o = _orders_keyed(spark, sf).groupBy("o_custkey").agg(F.max("o_orderpriority").alias("prio"))
     j = _t(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
     return j.select("c_custkey", F.coalesce("prio", F.lit("0")).alias("prio_or_zero"))
 
@@ -166,15 +164,20 @@ def q_filter_not_prefix(spark, sf):
 
 @register("filter_null")
 def q_filter_null(spark, sf):
-    o = _orders_1998(spark, sf).select("o_custkey", "o_orderkey")
+    o = _orders_keyed(spark, sf).select("o_custkey", "o_orderkey")
     j = _t(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
     return j.where(F.col("o_orderkey").isNull()).select("c_custkey")
 
 
 @register("filter_not_contains")
 def q_filter_not_contains(spark, sf):
-    return _t(spark, sf, "part").where(not_contains("p_name", "p_type")).select(
-        "p_partkey", "p_name", "p_type")
+    name = F.col("p_name")
+    part = (F.when(F.col("p_partkey") % 4 == 0, F.concat(F.substring(name, 1, 1), F.lit("%"), F.right(name, F.lit(1))))
+            .when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("_"), F.substring(name, 2, 3)))
+            .when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("[a-m]"), F.substring(name, 2, 3)))
+            .otherwise(F.col("p_type")))
+    return _t(spark, sf, "part").select("p_partkey", "p_name", part.alias("pattern")).where(
+        not_contains("p_name", "pattern"))
 
 
 @register("filter_not_compound")
@@ -294,7 +297,7 @@ def q_join_inner(spark, sf):
 
 @register("join_left")
 def q_join_left(spark, sf):
-    o = _orders_1998(spark, sf).select("o_custkey", "o_orderkey")
+    o = _orders_keyed(spark, sf).select("o_custkey", "o_orderkey")
     return _t(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select(
         "c_custkey", "o_orderkey")
 
@@ -404,7 +407,7 @@ def q_join_text_key(spark, sf):
 
 @register("join_left_null_test")
 def q_join_left_null_test(spark, sf):
-    o = _orders_1998(spark, sf).select(
+    o = _orders_keyed(spark, sf).select(
         "o_custkey", "o_orderkey",
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("prio"))
     j = missing(_t(spark, sf, "customer"), o, F.col("c_custkey") == F.col("o_custkey"), "prio")
@@ -413,13 +416,10 @@ def q_join_left_null_test(spark, sf):
 
 @register("not_exists_or")
 def q_not_exists_or(spark, sf):
-    orders = _t(spark, sf, "orders")
-    o = _orders_1998(spark, sf).select("o_custkey", "o_orderkey")
-    has_open = (orders.where(F.col("o_orderstatus") == "O").select(F.col("o_custkey").alias("__open"))
-                .distinct())
-    j = (_t(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-         .join(has_open, F.col("o_custkey") == F.col("__open"), "left"))
-    return j.where(F.col("o_orderkey").isNull() | F.col("__open").isNull()).select("c_custkey", "o_orderkey")
+    o = _orders_keyed(spark, sf).select("o_custkey", "o_orderkey")
+    j = _t(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return no_current(j, _t(spark, sf, "orders"), "o_custkey", "o_custkey", F.col("o_orderstatus") == "O",
+                      unless=F.col("o_orderkey").isNull()).select("c_custkey", "o_orderkey")
 
 
 @register("latest_effective")
@@ -438,7 +438,7 @@ def q_join_pairing(spark, sf):
     d = _d(spark, sf)
     s = ds.single_property_services(d, AS_OF)
     r = ds.rates_with_counts(d, AS_OF)
-    return s.join(r, F.col("property_key") == F.col("rate_property_key"), "left").select(
+    return pair_by_key(s, r, "property_key", "rate_property_key").select(
         "property_key", "service_bin_type", "service_frequency", "rate_type_key", "rate_bin_type")
 
 
@@ -493,7 +493,7 @@ def q_agg_sum_if(spark, sf):
 def q_agg_min_text(spark, sf):
     o = _t(spark, sf, "orders")
     return o.groupBy("o_custkey").agg(
-        F.min(F.when(F.col("o_orderstatus") == "F", "No").when(F.col("o_orderstatus") == "O", "Yes"))
+        min_flag(F.when(F.col("o_orderstatus") == "F", "No").when(F.col("o_orderstatus") == "O", "Yes"))
         .alias("all_open"))
 
 
@@ -534,7 +534,7 @@ def q_window_sum(spark, sf):
 @register("window_sum_if")
 def q_window_sum_if(spark, sf):
     li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    return over_keys(li, ["l_orderkey"], {"n_red": sum_if(F.col("l_returnflag") == "R")})
+    return sum_if_over(li, F.col("l_returnflag") == "R", ["l_orderkey"], "n_red")
 
 
 @register("window_over_group")
@@ -553,8 +553,8 @@ def q_window_flag(spark, sf):
 
 @register("window_over_union")
 def q_window_over_union(spark, sf):
-    a = _t(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(
-        F.col("o_custkey").alias("k"), F.lit(1).alias("n"))
+    a = _t(spark, sf, "orders").select(
+        F.col("o_custkey").alias("k"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("n"))
     b = _t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.lit(2).alias("n"))
     return sum_over(a.union(b), "n", ["k"], "total_n")
 
@@ -801,6 +801,31 @@ def q_dataset_mud_special(spark, sf):
     return R.m_mud_special(_d(spark, sf), AS_OF)
 
 
+_SINGLE_SOURCE = {
+    "dataset_parent_properties": lambda d: ds.m_parent_properties(d),
+    "dataset_child_properties": lambda d: ds.m_child_properties(d),
+    "dataset_rate_assessment": lambda d: d.rate_assessment,
+    "dataset_assessment_info": lambda d: ds.m_assessment_info(d),
+    "dataset_property_services_facts": lambda d: ds.m_services_facts(d),
+    "dataset_property_service_codes_custom": lambda d: d.property_service_codes_custom,
+    "dataset_bin_services": lambda d: d.reg_bserv_bin_services,
+    "dataset_rate_type_facts": lambda d: d.rate_type_facts,
+    "dataset_rate_type": lambda d: d.rate_type,
+    "dataset_current_rate_types": lambda d: ds.m_current_rate_types(d),
+}
+for _key, _build in _SINGLE_SOURCE.items():
+    register(_key)(lambda spark, sf, build=_build: build(_d(spark, sf)))
+
+
+@register("write_report")
+def q_write_report(spark, sf):
+    """J7 through the sink, with display headings, read back."""
+    path = f"{checkpoint_dir(spark)}/tallyframe-reports/{uuid.uuid4().hex}"
+    write_report(R.historic_services(_d(spark, sf), AS_OF), path,
+                 headings={"tpklpaprop": "TPK", "number_of_services": "Number of services"})
+    return spark.read.parquet(path)
+
+
 # ============================================================================ 2.J reports
 @register("report_single_nonmatch")
 def q_report_single_nonmatch(spark, sf):

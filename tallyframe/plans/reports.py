@@ -6,8 +6,7 @@ J5 rates without services (SQL form)  J6 services without rates (SQL form)
 J7 historic properties with services  J8 assessment mailing-address audit
 J9 services without rates (M form)    J10 rates without services (M form)
 
-Result order is applied by ``sorted_report``; the query registry returns unsorted frames so that
-callers who write or aggregate the result do not pay for a global sort.
+J1-J7 come in the order of the source, ascending with nulls first; J8-J10 have none.
 """
 
 from __future__ import annotations
@@ -15,12 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.numeric import int_div
-from tallyframe.functions.predicates import (active_all, active_any, code_flag, m_eq, m_filter,
-                                             m_ne, mismatch_flag, not_contains, starts)
+from tallyframe.functions.predicates import (active_all, active_any, code_flag, filter_optional, m_eq,
+                                             m_filter, m_ne, mismatch_flag, not_contains)
 from tallyframe.functions.text import trim_end
 from tallyframe.operators.aggregates import over_keys, service_category
-from tallyframe.operators.joins import band_lookup, left_join_skew_safe, nested_join
+from tallyframe.operators.joins import left_join_skew_safe, nested_join, no_current, with_children
 from tallyframe.operators.reconcile import (add_flags, add_pair_counts, pair_by_key,
                                             reconcile_matches, reconcile_nonmatches)
 from tallyframe.plans import datasets as ds
@@ -86,32 +84,28 @@ def single_nonmatches(d: Domain, as_of, dedupe_owners: bool = False) -> DataFram
     out = reconcile_nonmatches(pairs, SINGLE_FLAGS, lead_flag="bin_type_mismatch",
                                n_left="number_service_records", n_right="number_rate_records",
                                matched="number_bin_matched", mismatched="number_bin_mismatched")
-    return out.select(*SINGLE_SERVICE_COLS, "assessment_key", *SINGLE_TAIL, "ratepayer_address",
-                      "ratepayer_email", *SINGLE_FLAGS, "number_bin_matched",
-                      "number_bin_mismatched", "number_bin_requests", "number_rates_impact",
-                      "number_cw_impact")
+    out = out.select(*SINGLE_SERVICE_COLS, "assessment_key", *SINGLE_TAIL, "ratepayer_address",
+                     "ratepayer_email", *SINGLE_FLAGS, "number_bin_matched",
+                     "number_bin_mismatched", "number_bin_requests", "number_rates_impact",
+                     "number_cw_impact")
+    return sorted_report(out, "tpklpaprop")
 
 
 @ds._memo
 def single_matches(d: Domain, as_of) -> DataFrame:
     """J2: single-dwelling pairs where every compared attribute agrees."""
     pairs = _single_pairs(d, as_of, contacts=False)
-    return reconcile_matches(pairs, SINGLE_FLAGS).select(
+    out = reconcile_matches(pairs, SINGLE_FLAGS).select(
         *SINGLE_SERVICE_COLS, *SINGLE_TAIL, *SINGLE_FLAGS, "number_bin_matched",
         "number_bin_mismatched")
+    return sorted_report(out, "tpklpaprop")
 
 
 # ============================================================================ J3 / J4
 @ds._memo
 def _shared_rows(d: Domain, as_of, crm: bool) -> DataFrame:
-    parents = ds.shared_parents(d, as_of)
-    rates = ds.shared_child_rates(d, as_of)
     pbr = d.reg_bserv_bin_services.select("c_audit_date", "property_key_link_to_property")
-    j = (parents.join(pbr, F.col("property_key_link_to_property") == F.col("parent_key"), "left")
-         .join(rates, F.col("parent_key") == F.col("parent_property_key"), "left"))
-    j = j.withColumn("avg_bin_size", int_div("total_volume", "eligible_properties"))
-    j = band_lookup(j, d.reg_bband_bin_bands, "avg_bin_size", "service_bin_type",
-                    band_filter=starts("c_calculation_method", "SHA"))
+    j = ds.shared_volume(d, as_of).join(pbr, F.col("property_key_link_to_property") == F.col("parent_key"), "left")
     if crm:
         j = ds.attach_crm_counts(j, d, "parent_property_tpklpaprop")
     j = j.withColumns({
@@ -146,17 +140,19 @@ SHARED_REG_COLS = ["c_audit_date", "property_key_link_to_property"]
 def shared_nonmatches(d: Domain, as_of) -> DataFrame:
     """J3: shared-dwelling parent volume band vs each rated child's rate, where they disagree."""
     j = _shared_rows(d, as_of, crm=True).where(_shared_disagree())
-    return j.select(*SHARED_PARENT_COLS, *SHARED_RATE_COLS, *SHARED_REG_COLS, "avg_bin_size",
-                    "service_bin_type", "number_bin_requests", "number_rates_impact",
-                    "number_cw_impact", *SHARED_FLAGS, "formatted_address", "suburb")
+    j = j.select(*SHARED_PARENT_COLS, *SHARED_RATE_COLS, *SHARED_REG_COLS, "avg_bin_size",
+                 "service_bin_type", "number_bin_requests", "number_rates_impact",
+                 "number_cw_impact", *SHARED_FLAGS, "formatted_address", "suburb")
+    return sorted_report(j, "parent_tpklpaprop", "tpklpaprop")
 
 
 @ds._memo
 def shared_matches(d: Domain, as_of) -> DataFrame:
     """J4: shared-dwelling rows where band, frequency and class all agree (unknown excluded)."""
     j = _shared_rows(d, as_of, crm=False).where(~_shared_disagree())
-    return j.select(*SHARED_PARENT_COLS, *SHARED_REG_COLS, *SHARED_RATE_COLS, "avg_bin_size",
-                    "service_bin_type", *SHARED_FLAGS, "formatted_address", "suburb")
+    j = j.select(*SHARED_PARENT_COLS, *SHARED_REG_COLS, *SHARED_RATE_COLS, "avg_bin_size",
+                 "service_bin_type", *SHARED_FLAGS, "formatted_address", "suburb")
+    return sorted_report(j, "parent_tpklpaprop", "tpklpaprop")
 
 
 # ============================================================================ J5
@@ -223,13 +219,11 @@ def _br_child_side(d: Domain, as_of) -> DataFrame:
 def _br_branches(d: Domain, as_of) -> DataFrame:
     """Both service branches of J5, unioned, with the per-register-id totals attached."""
     ps = _br_parent_side(d, as_of)
-    children = d.property.where(F.col("parent_property_key").isNotNull()).select(
-        F.col("parent_property_key").alias("__parent"), F.col("property_key").alias("cp_key"),
-        F.col("tpklpaprop").alias("cp_tpk"), F.col("formatted_address").alias("cp_addr"),
-        F.col("suburb").alias("cp_suburb"), F.col("status").alias("cp_status"))
     # parent x (current children, or none): a parent whose children are all historic drops out
-    fam = (left_join_skew_safe(ps, children, "property_key", "__parent")
-           .where(F.col("cp_status").isNull() | (F.col("cp_status") == "C")))
+    fam = with_children(ps, d.property, cols={
+        "property_key": "cp_key", "tpklpaprop": "cp_tpk", "formatted_address": "cp_addr",
+        "suburb": "cp_suburb", "status": "cp_status"})
+    fam = fam.where(filter_optional("cp_status", F.col("cp_status") == "C"))
     fam = fam.join(_br_child_side(d, as_of), "cp_key", "left")
     n = F.col("ps_rows")
     m = F.coalesce(F.col("cps_rows"), F.lit(1))
@@ -286,18 +280,14 @@ def _br_special(d: Domain, as_of) -> DataFrame:
     reg = d.reg_bserv_bin_services
     rates = ds.current_rates(d, as_of)
     par_svc = psf.groupBy(F.col("property_key").alias("pk")).agg(
-        F.max(F.col("service_code").isNull().cast("int")).alias("has_null_code"),
-        F.max((F.col("status") == "C").cast("int")).alias("has_current"))
+        F.max(F.col("service_code").isNull().cast("int")).alias("has_null_code"))
     par_rate = rates.groupBy(F.col("property_key").alias("rk")).agg(
         F.max(F.col("ratetype").isNull().cast("int")).alias("has_null_rate"))
     par_reg = reg.groupBy(F.col("property_key_link_to_property").alias("gk")).agg(
         F.max(F.col("c_calculation_method").isNull().cast("int")).alias("has_null_method"))
-    parent_ok = (
-        # some parent-service row (or the empty one) passes, and a null rate row exists for it
-        (F.col("pk").isNull()
-         | (((F.col("has_null_code") == 1) | (F.coalesce(F.col("has_current"), F.lit(0)) == 0))
-            & (F.col("rk").isNull() | (F.col("has_null_rate") == 1))))
-        & (F.col("gk").isNull() | (F.col("has_null_method") == 1)))
+    # a rate is looked up through a parent service row: without one there is none
+    no_rate = F.col("pk").isNull() | F.col("rk").isNull() | (F.col("has_null_rate") == 1)
+    no_method = F.col("gk").isNull() | (F.col("has_null_method") == 1)
     child = d.property.where((F.col("status") == "C") & F.col("parent_property_key").isNotNull()).select(
         "property_key", "parent_property_key", "parent_property_tpklpaprop", "tpklpaprop",
         "formatted_address", "suburb")
@@ -312,7 +302,9 @@ def _br_special(d: Domain, as_of) -> DataFrame:
          .join(par_svc, F.col("parent_property_key") == F.col("pk"), "left")
          .join(par_rate, F.col("parent_property_key") == F.col("rk"), "left")
          .join(par_reg, F.col("parent_property_key") == F.col("gk"), "left")
-         .where(parent_ok))
+         .where(no_rate & no_method))
+    j = no_current(j, psf, "pk", "property_key", F.col("status") == "C",
+                   unless=F.col("has_null_code") == 1)
     return j.select(F.col("parent_property_tpklpaprop").alias("parent_tpklpaprop"), "tpklpaprop",
                     "formatted_address", "suburb", "assessment", "vgnumber", "ratetype", "ratepayer",
                     "audit_date", F.lit("Child Has Service").alias("service_category"),
@@ -333,7 +325,7 @@ def rates_without_services(d: Domain, as_of) -> DataFrame:
                       | (F.col("service_category") == "Old Service Code"))
                    & (F.col("is_terrace_title") == "No"))
             .select(*RWS_COLS))
-    return main.unionByName(_br_special(d, as_of)).distinct()
+    return sorted_report(main.unionByName(_br_special(d, as_of)).distinct(), "tpklpaprop")
 
 
 # ============================================================================ J6
@@ -375,17 +367,11 @@ def services_without_rates(d: Domain, as_of) -> DataFrame:
     asm = d.rate_assessment.select(F.col("tfklpaprop").alias("__a_tpk"),
                                    F.col("assessment").alias("parent_assessment"),
                                    F.col("vgnumber").alias("parent_vgnumber"))
-    children = d.property.where(F.col("parent_property_key").isNotNull()).select(
-        F.col("parent_property_key").alias("__parent"),
-        F.col("property_key").alias("child_property_key"), F.col("tpklpaprop").alias("child_tpklpaprop"),
-        F.col("formatted_address").alias("child_formatted_address"),
-        F.col("suburb").alias("child_suburb"), F.col("status").alias("__cp_status"))
-    fam = (p.select(F.col("property_key").alias("parent_property_key"),
-                    F.col("tpklpaprop").alias("parent_tpklpaprop"),
-                    F.col("formatted_address").alias("parent_formatted_address"),
-                    F.col("suburb").alias("parent_suburb"))
-           .transform(lambda df: left_join_skew_safe(df, children, "parent_property_key", "__parent"))
-           .where(F.col("__cp_status").isNull() | (F.col("__cp_status") == "C"))
+    parents = p.select(*[F.col(c).alias(f"parent_{c}") for c in p.columns])
+    fam = (with_children(parents, d.property, key="parent_property_key", parent_key="parent_property_key", cols={
+               "property_key": "child_property_key", "tpklpaprop": "child_tpklpaprop",
+               "formatted_address": "child_formatted_address", "suburb": "child_suburb", "status": "__cp_status"})
+           .where(filter_optional("__cp_status", F.col("__cp_status") == "C"))
            .join(own, F.col("parent_property_key") == F.col("property_key"))
            .join(bsx, F.col("parent_property_key") == F.col("__bs_key"), "left")
            .join(asm, F.col("parent_tpklpaprop") == F.col("__a_tpk"), "left"))
@@ -397,9 +383,24 @@ def services_without_rates(d: Domain, as_of) -> DataFrame:
               F.sum("ps_red").alias("number_of_red_services")))
     not_parking = (~F.col("child_formatted_address").like("Car Space%")
                    & ~F.col("child_formatted_address").like("Storage%"))
-    g = over_keys(g, ["parent_property_key"], {
-        "number_of_all_child_properties": F.count("child_property_key"),
-        "number_of_child_properties": F.sum(F.when(not_parking, 1).otherwise(0))}, null_safe=False)
+    # every family total hangs on the parent alone: one aggregate over the families, with the rates
+    # of a property as one row (its n rate rows carry n each), joined back once
+    own_rates = rates.groupBy(F.col("rates_property_key").alias("__total_key")).agg(
+        F.sum("rate_units").alias("__units"), F.sum("number_of_rates").alias("__rates"))
+    records = d.rate_assessment.groupBy(F.col("tfklpaprop").alias("__record_tpk")).agg(F.count(F.lit(1)).alias("__records"))
+    times = F.coalesce(F.col("__records"), F.lit(1))
+    totals = (g.withColumns({"__own": F.coalesce("child_property_key", "parent_property_key"),
+                             "__own_tpk": F.coalesce("child_tpklpaprop", "parent_tpklpaprop")})
+              .join(own_rates, F.col("__own") == F.col("__total_key"), "left")
+              .join(records, F.col("__own_tpk") == F.col("__record_tpk"), "left")
+              .groupBy(F.col("parent_property_key").alias("__family"))
+              .agg(F.count("child_property_key").alias("number_of_all_child_properties"),
+                   F.sum(F.when(not_parking, 1).otherwise(0)).alias("number_of_child_properties"),
+                   F.coalesce(F.sum(F.col("__units") * times), F.lit(0)).alias("total_child_rate_units"),
+                   F.coalesce(F.sum(F.col("__rates") * times), F.lit(0)).alias("total_child_rates")))
+    # families with any rate unit are not reported
+    totals = totals.where(F.col("total_child_rate_units") == 0)
+    g = g.join(totals, F.col("parent_property_key") == F.col("__family")).drop("__family")
     g = g.select(
         F.coalesce("child_property_key", "parent_property_key").alias("property_key"),
         F.coalesce("child_tpklpaprop", "parent_tpklpaprop").alias("tpklpaprop"),
@@ -412,18 +413,13 @@ def services_without_rates(d: Domain, as_of) -> DataFrame:
         "parent_vgnumber", "number_of_services", "number_of_red_services",
         service_category("sc_active", "number_of_services").alias("service_category"),
         F.coalesce(F.left(F.col("c_calculation_method"), F.lit(4)), F.lit("None"))
-        .alias("calculation_method"))
+        .alias("calculation_method"), "total_child_rate_units", "total_child_rates")
+    g = g.where((F.col("number_of_services") > 0) & ~F.col("formatted_address").like("Car Space%")
+                & ~F.col("formatted_address").like("Storage%"))
     asm2 = d.rate_assessment.select("tfklpaprop", "assessment", "vgnumber")
-    out = (g.join(asm2, F.col("tpklpaprop") == F.col("tfklpaprop"), "left")
-           .join(rates, F.col("property_key") == F.col("rates_property_key"), "left"))
-    out = over_keys(out, ["parent_property_key"], {"total_child_rate_units": F.sum("rate_units"),
-                                                   "total_child_rates": F.sum("number_of_rates")},
-                    null_safe=False)
-    out = out.withColumns({"total_child_rate_units": F.coalesce("total_child_rate_units", F.lit(0)),
-                           "total_child_rates": F.coalesce("total_child_rates", F.lit(0))})
-    return out.where((F.col("number_of_services") > 0) & (F.col("total_child_rate_units") == 0)
-                     & ~F.col("formatted_address").like("Car Space%")
-                     & ~F.col("formatted_address").like("Storage%"))
+    out = left_join_skew_safe(g.join(asm2, F.col("tpklpaprop") == F.col("tfklpaprop"), "left"),
+                              rates, "property_key", "rates_property_key")
+    return sorted_report(out, "parent_tpklpaprop", "child_tpklpaprop")
 
 
 # ============================================================================ J7
@@ -433,9 +429,10 @@ def historic_services(d: Domain, as_of) -> DataFrame:
     p = d.property.where(F.col("status") == "H")
     ps = d.property_services_facts.where(active_all("status", "removal_date", as_of)).select(
         F.col("property_key").alias("__ps_key"), "service_code", "number_of_services")
-    return (p.join(ps, F.col("property_key") == F.col("__ps_key"))
-            .groupBy("property_key", "tpklpaprop", "formatted_address", "suburb", "service_code")
-            .agg(F.sum("number_of_services").alias("number_of_services")))
+    out = (p.join(ps, F.col("property_key") == F.col("__ps_key"))
+           .groupBy("property_key", "tpklpaprop", "formatted_address", "suburb", "service_code")
+           .agg(F.sum("number_of_services").alias("number_of_services")))
+    return sorted_report(out, "tpklpaprop")
 
 
 # ============================================================================ J8
@@ -489,6 +486,7 @@ def mailing_audit(d: Domain, register: int = 84) -> DataFrame:
 
 
 # ============================================================================ J9 / J10
+# Display headings of J9.
 J9_HEADINGS = {"formatted_address": "Formatted address", "tpklpaprop": "TPK",
                "formatted_owner_name": "Owner(s)", "service_category": "Service category",
                "calculation_method": "Calculation method"}
@@ -497,17 +495,16 @@ J9_HEADINGS = {"formatted_address": "Formatted address", "tpklpaprop": "TPK",
 @ds._memo
 def services_without_rates_m(d: Domain, as_of) -> DataFrame:
     """J9 (M form): parent properties with services but no own rates and no child rate units."""
-    assessment_info = d.rate_assessment.select("tfklpaprop", "assessment", "vgnumber")
-    j = nested_join(ds.m_parent_properties(d), assessment_info, ["tpklpaprop"], ["tfklpaprop"],
-                    ["vgnumber"])
+    j = nested_join(ds.m_parent_properties(d), ds.m_assessment_info(d), ["tpklpaprop"], ["tfklpaprop"],
+                    ["vgnumber"], null_keys=False)
     j = nested_join(j, ds.m_property_services(d, as_of), ["property_key"], ["property_key"],
-                    ["number_of_services", "number_of_red_services", "service_category"])
+                    ["number_of_services", "number_of_red_services", "service_category"], null_keys=False)
     j = nested_join(j, ds.m_bin_services_info(d), ["property_key"], ["property_key"],
-                    ["calculation_method"])
+                    ["calculation_method"], null_keys=False)
     j = nested_join(j, ds.m_property_rates(d, as_of), ["property_key"], ["property_key"],
-                    ["number_of_rates", "rate_units"])
+                    ["number_of_rates", "rate_units"], null_keys=False)
     j = nested_join(j, ds.m_child_rates_totals(d, as_of), ["property_key"], ["property_key"],
-                    ["total_child_rates", "total_child_rate_units", "total_child_props"])
+                    ["total_child_rates", "total_child_rate_units", "total_child_props"], null_keys=False)
     j = j.fillna(0, subset=["number_of_services", "number_of_red_services", "number_of_rates",
                             "rate_units", "total_child_rates", "total_child_rate_units",
                             "total_child_props"])
@@ -522,11 +519,11 @@ def services_without_rates_m(d: Domain, as_of) -> DataFrame:
 def m_sud_audit(d: Domain, as_of) -> DataFrame:
     j = nested_join(ds.m_sud_properties(d), ds.m_sud_services(d, as_of), ["property_key"],
                     ["property_key"], ["number_of_services", "number_of_red_services",
-                                       "service_category"])
+                                       "service_category"], null_keys=False)
     j = nested_join(j, ds.m_sud_rates(d, as_of), ["property_key"], ["property_key"],
-                    ["ratetype", "vgnumber", "ratepayer"], how="inner")
+                    ["ratetype", "vgnumber", "ratepayer"], how="inner", null_keys=False)
     j = nested_join(j, d.reg_bserv_bin_services, ["property_key"], ["property_key_link_to_property"],
-                    {"c_audit_date": "audit_date"})
+                    {"c_audit_date": "audit_date"}, null_keys=False)
     j = (j.fillna(0, subset=["number_of_services", "number_of_red_services"])
          .fillna("Missing Service", subset=["service_category"])
          .withColumns({"parent_tpklpaprop": F.col("tpklpaprop"), "has_n0000ua": F.lit("No")}))
@@ -539,11 +536,11 @@ def m_mud_audit(d: Domain, as_of) -> DataFrame:
     j = nested_join(ds.m_child_rates(d, as_of), ds.m_mud_parent_properties(d), ["parent_property_key"],
                     ["property_key"], {"tpklpaprop": "parent_tpklpaprop",
                                        "formatted_address": "parent_formatted_address",
-                                       "suburb": "parent_suburb"}, how="inner")
+                                       "suburb": "parent_suburb"}, how="inner", null_keys=False)
     j = nested_join(j, ds.m_parent_child_service_aggregation(d, as_of), ["parent_property_key"],
-                    ["property_key"], ["total_number_of_services", "service_category", "has_n0000ua"])
+                    ["property_key"], ["total_number_of_services", "service_category", "has_n0000ua"], null_keys=False)
     j = nested_join(j, d.reg_bserv_bin_services, ["property_key"], ["property_key_link_to_property"],
-                    {"c_audit_date": "audit_date"})
+                    {"c_audit_date": "audit_date"}, null_keys=False)
     j = (j.fillna(0, subset=["total_number_of_services"])
          .fillna("Missing Service", subset=["service_category"])
          .fillna("No", subset=["has_n0000ua"]))
@@ -561,39 +558,36 @@ def m_mud_special(d: Domain, as_of) -> DataFrame:
     reg = d.reg_bserv_bin_services
     j = ds.m_child_properties(d).where(m_filter(m_eq("status", "C")))
     j = nested_join(j, ds.m_mud_parent_properties(d), ["parent_property_key"], ["property_key"],
-                    {"tpklpaprop": "parent_tpklpaprop"}, how="inner")
+                    {"tpklpaprop": "parent_tpklpaprop"}, how="inner", null_keys=False)
     j = nested_join(j, psf, ["property_key"], ["property_key"],
-                    {"service_code": "service_code", "status": "service_status"}, how="inner")
+                    {"service_code": "service_code", "status": "service_status"}, how="inner", null_keys=False)
     j = j.where(m_filter(m_eq("service_code", "N0000UA") & m_eq("service_status", "C")))
     j = nested_join(j, ds.m_child_rates(d, as_of), ["property_key"], ["property_key"],
-                    ["vgnumber", "ratepayer", "ratetype"], how="inner")
+                    ["vgnumber", "ratepayer", "ratetype"], how="inner", null_keys=False)
     j = nested_join(j, reg, ["property_key"], ["property_key_link_to_property"],
                     {"c_calculation_method": "child_calc_method", "c_audit_date": "audit_date"},
-                    how="inner")
+                    how="inner", null_keys=False)
     j = j.where(m_filter(m_eq(F.left(F.col("child_calc_method"), F.lit(3)), "MAN")))
-    # "no parent service": left join to the parent's (status C) services, keep rows whose code is
-    # null or status is not C.  Only null-code rows pass, so the literal result has one row per
-    # null-code parent service, or one row when the parent has no service at all.  That count is
-    # taken per parent (partial aggregation) and the rows are repeated by it: no row product.
-    per_parent = psf.groupBy(F.col("property_key").alias("__pp")).agg(
-        F.count(F.lit(1)).alias("__n_any"),
-        F.count(F.when(~m_filter(m_ne("status", "C")) & F.col("service_code").isNotNull(), 1))
-        .alias("__n_fail"))
-    j = (j.join(per_parent, F.col("parent_property_key").eqNullSafe(F.col("__pp")), "left")
-         .withColumn("__copies", F.when(F.col("__n_any").isNull(), F.lit(1))
-                     .otherwise(F.col("__n_any") - F.col("__n_fail")))
-         .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))))
-         .drop("__pp", "__n_any", "__n_fail", "__copies", "__copy"))
+    # "no parent service": left join to the parent's (status C) services, keep rows whose code is null
+    # or status is not C.  Only such service rows are joined; a parent that has services, but none of
+    # them, is dropped through its key among the distinct service keys.
+    passing = psf.where(F.col("service_code").isNull() | m_filter(m_ne("status", "C"))).select(
+        F.col("property_key").alias("__passing"))
+    any_key = psf.select(F.col("property_key").alias("__any")).distinct()
+    j = left_join_skew_safe(j, passing, "parent_property_key", "__passing")
+    j = (j.join(any_key, F.col("parent_property_key") == F.col("__any"), "left")
+         .where(F.col("__passing").isNotNull() | F.col("__any").isNull()).drop("__passing", "__any"))
     j = nested_join(j, reg, ["parent_property_key"], ["property_key_link_to_property"],
-                    {"c_calculation_method": "parent_calc_method"})
+                    {"c_calculation_method": "parent_calc_method"}, null_keys=False)
     j = j.where(F.col("parent_calc_method").isNull())
     j = nested_join(j, ds.m_parent_rates(d, as_of), ["parent_property_key"], ["property_key"],
-                    {"ratetype": "parent_ratetype"})
+                    {"ratetype": "parent_ratetype"}, null_keys=False)
     j = j.where(F.col("parent_ratetype").isNull())
     j = j.withColumns({"service_category": F.lit("Child Has Service"), "has_n0000ua": F.lit("Yes")})
     return j.select(*RWS_COLS)
 
 
+# Display headings of J10.
 J10_HEADINGS = {"parent_tpklpaprop": "parent tpk", "tpklpaprop": "tpk", "formatted_address": "address",
                 "ratetype": "rate type", "ratepayer": "rate payer", "audit_date": "audit date",
                 "service_category": "service category", "has_n0000ua": "has n0000ua?"}

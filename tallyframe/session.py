@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from datetime import datetime
 
@@ -21,8 +22,8 @@ def build_session(
     """Session tuned for the reconciliation workload.
 
     * AQE on: coalesces small shuffle partitions, splits skewed join partitions (one property key
-      may hold a large share of the service rows), and switches joins to broadcast at run time
-      when a side turns out small.
+      may hold a large share of the service rows) even where a later join then has to shuffle
+      again, and switches joins to broadcast at run time when a side turns out small.
     * Broadcast threshold left at a fixed byte bound, so only sides with a checked size broadcast.
     * UI off: no web server in batch jobs.
     """
@@ -36,10 +37,11 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "4g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if shuffle_partitions is not None:
@@ -53,26 +55,28 @@ def build_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` when set.
+    """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a fresh scratch folder created and registered.
+    A local session without the setting (as in tests) gets a fresh scratch folder.  Any other session
+    must name one: a folder on one machine would leave each executor's files on its own disk.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # a remote (Spark Connect) session has no SparkContext
-        current = spark.conf.get("spark.checkpoint.dir", None)
-        if not current:
-            current = _LOCAL_SCRATCH.setdefault(app_id(spark), tempfile.mkdtemp(prefix="tallyframe-ckpt-"))
-        return current
+        if current := spark.conf.get("spark.checkpoint.dir", None):
+            return current
+        raise RuntimeError(_NO_FOLDER) from None
     current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError(_NO_FOLDER)
         current = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
 
 
-_LOCAL_SCRATCH: dict[str, str] = {}
+_NO_FOLDER = "set spark.checkpoint.dir to a folder that the driver and all executors share"
 
 
 def app_id(spark: SparkSession) -> str:

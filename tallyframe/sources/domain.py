@@ -12,7 +12,13 @@ Conventions (``k`` = ``c_custkey``, ``s`` = ``s_suppkey``):
   ``k - k % 10``; a key ending in 0 is a shared-dwelling parent.
 * register ids: ``tpklpaprop = 1000000 + k``, ``assessment_key = 500000 + k``,
   ``assessment = 700000 + k``.
-* finance agents use negative ids (``-1 - s``) so they never collide with customer ids.
+* finance agents use negative ids (``-1 - s``) so they never collide with customer ids;
+* notice group of an assessment: ``k // 15`` (the driver tables hold 15 customers a supplier), so
+  groups grow with the suppliers and none grows with the data.
+
+Every order line is a service record and every order a rate record; which of them are current
+shows in their status and dates.  Every event is a request and a task; which are open bin requests
+or open charge tasks shows in questionnaire and status.
 
 Fixed-width codes (property type, rate type) are stored blank padded to 10 characters, as in the
 source system; ``normalise_codes`` trims them when a report loads them.
@@ -20,13 +26,14 @@ source system; ``normalise_codes`` trims them when a report loads them.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.sources.tables import load, normalise_codes
+from tallyframe.sources.tables import forget, load, normalise_codes
 
 # Bin bands (code, minimum, maximum, calculation method).
 BIN_BANDS = [
@@ -51,6 +58,7 @@ QUESTIONNAIRES = ["New bin", "Remove bin", "Repair or replace bin", "Upsize or d
 CASE_STATUSES = ["Submitted", "Approved", "Closed"]
 
 AUDIT_DATE = "1998-03-31 00:00:00"
+LAST_END = "1998-01-01 00:00:00"
 
 
 def _pick(index: Column, values: list[str]) -> Column:
@@ -85,17 +93,19 @@ class Domain:
             if name not in self._views:
                 df = getattr(self, f"build_{name}")()
                 if self.store and name not in self.LITERAL_VIEWS:
-                    path = os.path.join(self.store, name)
+                    path = f"{self.store}/{name}"
                     df.write.mode("overwrite").parquet(path)
                     df = self.spark.read.parquet(path)
                 self._views[name] = df
             return self._views[name]
 
-    def materialise_all(self, parallel: int = 8) -> None:
-        """Write every derived view; the independent write jobs run concurrently."""
-        from concurrent.futures import ThreadPoolExecutor
-        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-            list(pool.map(self.view, VIEW_NAMES))
+    def drop(self) -> None:
+        """Delete the written views (frames built on them can no longer be read)."""
+        self._views.clear()
+        self.__dict__.pop("_dataset_memo", None)
+        if self.store:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.store)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def _t(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
@@ -110,6 +120,11 @@ class Domain:
         k = cls._k()
         return (k >= 10) & ((k % 10) >= 1) & ((k % 10) <= 4)
 
+    @classmethod
+    def _group(cls) -> Column:
+        """Notice group of a customer's assessment."""
+        return F.floor(cls._k() / 15)
+
     def _literal(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
 
@@ -168,8 +183,9 @@ class Domain:
         return self._literal(SERVICE_CODES, "service_code string, is_active string")
 
     def build_property_services_facts(self) -> DataFrame:
-        """Base service per property (not for households nor unit kinds 2/4), plus one extra
-        service per bulk order line (quantity >= 49)."""
+        """Base service per property (not for households nor unit kinds 2/4), plus one service
+        record per order line: current for open bulk lines (quantity >= 49), else removed when the
+        line shipped (by ``LAST_END`` at the latest, but for lines of 48)."""
         k = self._k()
         child = self._is_child()
         base = (self._t("customer")
@@ -185,7 +201,9 @@ class Domain:
                     F.when(k % 17 == 0, "H").otherwise("C").alias("status"),
                     F.lit(None).cast("timestamp_ntz").alias("removal_date"),
                 ))
-        lines = (self._t("lineitem").where(F.col("l_quantity") >= 49)
+        ended = F.lit(LAST_END).cast("timestamp_ntz")
+        current = (F.col("l_linestatus") == "O") & (F.col("l_quantity") >= 49)
+        lines = (self._t("lineitem")
                  .join(self._t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
                  .select(
                      F.col("o_custkey").alias("property_key"),
@@ -196,9 +214,9 @@ class Domain:
                      _pick(F.col("l_partkey") % 4, ["80", "120", "240", "BULK"]).alias("container_type"),
                      (1 + F.col("l_partkey") % 2).cast("int").alias("number_of_collections"),
                      (F.col("l_quantity").cast("int") % 3).alias("number_of_services"),
-                     F.when(F.col("l_linestatus") == "O", "C").when(F.col("l_linestatus") == "F", "H")
-                     .alias("status"),
-                     F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("removal_date"),
+                     F.when(current, "C").otherwise("H").alias("status"),
+                     F.when(~current, F.when(F.col("l_quantity") == 48, F.col("l_shipdate"))
+                            .otherwise(F.least("l_shipdate", ended))).alias("removal_date"),
                  ))
         return base.unionByName(lines)
 
@@ -211,7 +229,8 @@ class Domain:
 
     def build_rate_type_facts(self) -> DataFrame:
         """Base rate per property (not automobile accounts, not shared-dwelling parents), plus one
-        rate per urgent order (except for household-segment shared-dwelling parents)."""
+        rate per order: open-ended for urgent orders that are not finished, else suspended at the
+        order date (by ``LAST_END`` at the latest); of another category for household-segment shared-dwelling parents."""
         k = self._k()
         child = self._is_child()
         cls = F.when(((k % 10) >= 5) | (k < 10), 0).otherwise(6)
@@ -230,18 +249,20 @@ class Domain:
                 ))
         household = self._t("customer").where(F.col("c_mktsegment") == "HOUSEHOLD").select(
             F.col("c_custkey").alias("__household_key"))
-        urgent = (self._t("orders").where(F.col("o_orderpriority") == "1-URGENT")
-                  .join(household, (F.col("o_custkey") == F.col("__household_key"))
-                        & ((F.col("o_custkey") % 10) == 0), "left_anti")
+        ended = F.lit(LAST_END).cast("timestamp_ntz")
+        open_ended = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") != "F")
+        general = F.col("__household_key").isNotNull() & ((F.col("o_custkey") % 10) == 0)
+        orders = (self._t("orders")
+                  .join(household, F.col("o_custkey") == F.col("__household_key"), "left")
                   .select(
                       F.col("o_custkey").alias("property_key"),
                       (-1 - F.col("o_orderkey")).alias("rate_type_key"),
                       F.lit(1).alias("units"),
-                      (4 + F.col("o_orderkey") % 11).alias("ratetype_key"),
+                      F.when(general, 14).otherwise(4 + F.col("o_orderkey") % 11).alias("ratetype_key"),
                       (F.col("o_custkey") + 500000).alias("assessment_key"),
-                      F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("suspended_date"),
+                      F.when(~open_ended, F.least("o_orderdate", ended)).alias("suspended_date"),
                   ))
-        return base.unionByName(urgent)
+        return base.unionByName(orders)
 
     def build_rate_assessment(self) -> DataFrame:
         k = self._k()
@@ -285,7 +306,8 @@ class Domain:
 
     # ---------------------------------------------------------------- CRM
     def build_onecrm_request_questions(self) -> DataFrame:
-        """Two question rows per click / view event: the property asked about and the case status."""
+        """Two question rows per event: the property asked about and the case status.  Click and view
+        events ask about bins, the others about something else."""
         e = F.col("event_id")
         qa = F.array(
             F.struct(F.lit("PropertyKey").alias("question"),
@@ -293,16 +315,16 @@ class Domain:
             F.struct(F.lit("CaseStatus").alias("question"),
                      _pick(e % 3, CASE_STATUSES).alias("answer")),
         )
-        return (self._t("events").where(F.col("event_type").isin("click", "view"))
-                .select(e.alias("request_facts_key"),
-                        _pick(e % 5, QUESTIONNAIRES).alias("questionnaire"),
-                        F.inline(qa)))
+        about = F.when(F.col("event_type").isin("click", "view"), _pick(e % 5, QUESTIONNAIRES))
+        return self._t("events").select(e.alias("request_facts_key"),
+                                        about.otherwise("Other").alias("questionnaire"), F.inline(qa))
 
     def build_onecrm_task_information(self) -> DataFrame:
         e = F.col("event_id")
-        return (self._t("events").where(F.col("event_type") == "purchase")
+        open_ = (F.col("event_type") == "purchase") & (e % 3 != 0)
+        return (self._t("events")
                 .select((F.col("user_id") + 1000000).alias("propertykey"),
-                        F.when(e % 3 == 0, "Closed").otherwise("In Progress").alias("taskstatus"),
+                        F.when(open_, "In Progress").otherwise("Closed").alias("taskstatus"),
                         F.when(e % 2 == 0, "DW Charge Impact").otherwise("DW Charge Impact possible")
                         .alias("tasktype")))
 
@@ -345,16 +367,17 @@ class Domain:
         return agents.unionByName(people)
 
     def build_cnaaddr(self) -> DataFrame:
-        """Agent addresses ('Level 1 <supplier>'); per customer an old address (2k) and a current
-        one (2k+1) which, for k % 3 = 0, is care of the agent of supplier k % 10."""
-        k = self._k()
+        """Agent addresses ('Level 1 <supplier>', some with characters that LIKE reads as a pattern);
+        per customer an old address (2k) and a current one (2k+1) which, for k % 3 = 0, is care of
+        the agent of its notice group."""
+        k, s = self._k(), F.col("s_suppkey")
+        level = (F.when(s % 7 == 3, "Level _ ").when(s % 7 == 4, "Level [0-3] ").when(s % 7 == 5, "L%1 ")
+                 .when(s % 7 == 6, "Level [^1] ").otherwise("LEVEL 1 "))
         agents = self._t("supplier").select(
-            self._agent_id().alias("tpkcnaaddr"),
-            F.concat(F.lit("Level 1 "), F.col("s_name")).alias("formataddr"))
+            self._agent_id().alias("tpkcnaaddr"), F.concat(level, F.col("s_name")).alias("formataddr"))
         sup = self._t("supplier").select(F.col("s_suppkey").alias("agent_no"),
                                          F.col("s_name").alias("agent_name"))
-        cust = (self._t("customer").withColumn("agent_no", k % 10)
-                .join(F.broadcast(sup.where(F.col("agent_no") < 10)), "agent_no", "left"))
+        cust = self._t("customer").withColumn("agent_no", self._group()).join(sup, "agent_no", "left")
         rows = F.array(
             F.struct((2 * k).alias("tpkcnaaddr"),
                      F.concat(F.lit("old "), F.col("c_name")).alias("formataddr")),
@@ -387,7 +410,7 @@ class Domain:
     def build_lraassm(self) -> DataFrame:
         k = self._k()
         return self._t("customer").select(
-            k.alias("tpklraassm"), (k % 10).alias("tfklrantgp"), k.cast("string").alias("assmnumber"),
+            k.alias("tpklraassm"), self._group().alias("tfklrantgp"), k.cast("string").alias("assmnumber"),
             F.when(k % 13 == 0, "h").otherwise("c").alias("status"))
 
     def build_cnarole(self) -> DataFrame:
@@ -423,20 +446,37 @@ def domain(spark: SparkSession, sf_dir: str, normalise: bool = True,
            materialise: bool = True) -> Domain:
     """Session-wide register views over one folder of driver tables.
 
-    With ``materialise`` (default) each derived view is written once per session to a folder under
-    the session's checkpoint directory (the cluster's shared ``spark.checkpoint.dir``).
+    With ``materialise`` (default) each derived view is written on its first use, once per session,
+    to a folder of its input under the cluster's shared ``spark.checkpoint.dir``.  The views stay
+    as they are until ``refresh`` is called.
     """
     from tallyframe.session import app_id, checkpoint_dir
-    app = app_id(spark)
-    key = (app, os.path.abspath(sf_dir), normalise, materialise)
+    app, source = app_id(spark), _full(sf_dir)
+    key = (app, source, normalise, materialise)
     with _DOMAINS_LOCK:
         if key not in _DOMAINS:
             store = None
             if materialise:
-                tag = os.path.basename(os.path.abspath(sf_dir)) + ("" if normalise else "-raw")
-                store = os.path.join(checkpoint_dir(spark), "tallyframe-domain", app, tag)
+                tag = hashlib.sha256(source.encode()).hexdigest()[:24] + ("" if normalise else "-raw")
+                store = f"{checkpoint_dir(spark)}/tallyframe-domain/{app}/{tag}"
             _DOMAINS[key] = Domain(spark, sf_dir, normalise, store)
         return _DOMAINS[key]
 
 
-__all__ = ["Domain", "domain", "BIN_BANDS", "SERVICE_CODES", "RATE_TYPES", "VIEW_NAMES"]
+def _full(source: str) -> str:
+    """The whole path of a folder; a URI stays as it is."""
+    return source.rstrip("/") if ":/" in source else os.path.abspath(source)
+
+
+def refresh(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Forget what the session keeps of ``sf_dir`` (of every folder without it): file lists, register
+    views and their written tables, dataset plans.  Later queries read the folder anew."""
+    from tallyframe.session import app_id
+    app = app_id(spark)
+    with _DOMAINS_LOCK:
+        for key in [k for k in _DOMAINS if k[0] == app and (sf_dir is None or k[1] == _full(sf_dir))]:
+            _DOMAINS.pop(key).drop()
+    forget(spark, sf_dir)
+
+
+__all__ = ["Domain", "domain", "BIN_BANDS", "SERVICE_CODES", "RATE_TYPES", "VIEW_NAMES", "refresh"]

@@ -21,6 +21,9 @@ def load(spark: SparkSession, source: str, name: str, fmt: str = "parquet",
     ``source`` is a folder holding ``<name>.parquet`` (or ``<name>`` for other file formats), or a
     JDBC URL (``jdbc:...``), in which case ``name`` is the ``schema.table`` to read.  Column pruning
     and filters are pushed to the scan by Catalyst, so callers select what they need afterwards.
+
+    The frame is kept for the session (its file list is not read again); ``tallyframe.refresh`` drops
+    it, so that files added later are seen.
     """
     opts = dict(options or {})
     from tallyframe.session import app_id
@@ -36,6 +39,14 @@ def load(spark: SparkSession, source: str, name: str, fmt: str = "parquet",
 _LOADED: dict[tuple, DataFrame] = {}
 
 
+def forget(spark: SparkSession, source: str | None = None) -> None:
+    """Drop the kept frames of ``source`` (of all sources without it)."""
+    from tallyframe.session import app_id
+    app = app_id(spark)
+    for key in [k for k in _LOADED if k[0] == app and source in (None, k[1])]:
+        _LOADED.pop(key).unpersist()
+
+
 def _load(spark: SparkSession, source: str, name: str, fmt: str, opts: dict) -> DataFrame:
     if source.startswith("jdbc:"):
         return spark.read.format("jdbc").options(url=source, dbtable=name, **opts).load()
@@ -44,12 +55,6 @@ def _load(spark: SparkSession, source: str, name: str, fmt: str, opts: dict) ->
     return spark.read.format(fmt).options(**opts).load(os.path.join(source, name))
 
 
-def register_tables(spark: SparkSession, source: str, names: Iterable[str] = DRIVER_TABLES) -> None:
-    """Expose base tables as temp views so that SQL users can query them by name."""
-    for name in names:
-        load(spark, source, name).createOrReplaceTempView(name)
-
-
 def rtrim_blanks(col: Column | str) -> Column:
     """T-SQL ``rtrim``: strip trailing blanks only (not tabs or line breaks)."""
     return F.rtrim(F.col(col) if isinstance(col, str) else col)

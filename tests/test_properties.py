@@ -2,13 +2,17 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyframe import AS_OF
+from tallyframe import AS_OF, refresh
+from tallyframe.functions.predicates import not_contains
 from tallyframe.operators.aggregates import over_keys, sum_if
+from tallyframe.operators.joins import band_lookup, no_current
 from tallyframe.operators.reconcile import (add_pair_counts, is_perfect_pairing, pair_by_key,
                                             reconcile, reconcile_matches, reconcile_nonmatches)
+from tallyframe.plans import datasets as ds
 from tallyframe.plans import reports as R
 from tallyframe.plans.queries import REGISTRY
 from tallyframe.sources.domain import domain
@@ -160,8 +164,8 @@ def test_filters_and_columns_reach_the_scan(spark, sf_small):
 
 
 def test_scale_plans_at_sf01(spark):
-    """J1 and J10 at sf0.1: no Cartesian product or nested-loop join, band lookup inlined (no
-    join to the band table), per-key totals without Window operators."""
+    """J1 and J10 at sf0.1: no Cartesian product or nested-loop join, per-key totals without Window
+    operators."""
     sf = "/root/testdata/sf0.1"
     for key in ["report_single_nonmatch", "report_rates_without_services_v2"]:
         df = REGISTRY[key](spark, sf)
@@ -169,6 +173,185 @@ def test_scale_plans_at_sf01(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, key
         assert "Window" not in plan, key
-    j1 = REGISTRY["report_single_nonmatch"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
-    assert "c_minimum_value" not in j1          # the band table is not joined
-    assert "more than one band" in j1           # the inlined lookup carries its row check
+
+
+BANDS = "c_code string, c_minimum_value int, c_maximum_value int, c_calculation_method string"
+
+
+def _bands(n, methods):
+    """n bands of widths 1, 2, 3 ... 40, 1, ... side by side, with a gap after every seventh."""
+    out, at = [], -50
+    for i in range(n):
+        out.append((f"b{i}", at, at + i % 40, methods[i % len(methods)]))
+        at += i % 40 + 1 + (i % 7 == 6)
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 4, 300, 10_000])
+@pytest.mark.parametrize("keyed", [False, True])
+def test_band_lookup_is_one_plan_at_any_size(spark, n, keyed):
+    bands = _bands(n, ["X1", "Y2"])
+    rnd = random.Random(n)
+    top = max([100, *[b[2] for b in bands]])
+    rows = [(i, rnd.choice([None, 7, rnd.randint(-60, top + 20)]), rnd.choice(["X1", "Y2", "Z", None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, v int, m string")
+    got = band_lookup(df, spark.createDataFrame(bands, BANDS), "v", "band", by=("c_calculation_method", "m") if keyed else None)
+    at = {(v, m): c.upper() for c, lo, hi, m in bands for v in range(lo, hi + 1)}
+    any_at = {v: c for (v, _), c in at.items()}
+    want = [(i, v, m, at.get((v, m)) if keyed else any_at.get(v)) for i, v, m in rows]
+    assert sorted(map(tuple, got.collect())) == sorted(want, key=lambda r: r[0])
+
+
+@pytest.mark.parametrize("n", [2, 10_000])
+def test_two_bands_are_an_error(spark, n):
+    bands = spark.createDataFrame([*_bands(n, ["X1"]), ("twice", 5000000, 5000100, "X1"), ("again", 5000050, 5000060, "X1")], BANDS)
+    ok = spark.createDataFrame([(5000010,), (None,)], "v int")
+    assert [r.band for r in band_lookup(ok, bands, "v", "band").orderBy("v").collect()] == [None, "TWICE"]
+    bad = spark.createDataFrame([(5000055,)], "v int")
+    for by in (None, ("c_calculation_method", F.lit("X1"))):
+        with pytest.raises(Exception, match="more than one band"):
+            band_lookup(bad, bands, "v", "band", by=by).collect()
+
+
+def test_reports_are_ordered(spark, sf_small):
+    for key, by in {"report_single_nonmatch": ["tpklpaprop"], "report_single_match": ["tpklpaprop"],
+                    "report_shared_nonmatch": ["parent_tpklpaprop", "tpklpaprop"],
+                    "report_shared_match": ["parent_tpklpaprop", "tpklpaprop"],
+                    "report_rates_without_services": ["tpklpaprop"],
+                    "report_services_without_rates": ["parent_tpklpaprop", "child_tpklpaprop"],
+                    "report_historic_services": ["tpklpaprop"]}.items():
+        rows = [tuple((v is not None, v) for v in r) for r in REGISTRY[key](spark, sf_small).select(*by).collect()]
+        assert rows == sorted(rows) and rows, key
+
+
+def _small_folder(spark, sf_small, path, customers):
+    for t in ("customer", "nation", "orders", "lineitem", "events", "supplier"):
+        df = spark.read.parquet(f"{sf_small}/{t}.parquet")
+        (df.where(F.col("c_custkey") < customers) if t == "customer" else df).write.parquet(f"{path}/{t}.parquet")
+    return str(path)
+
+
+def test_folders_of_the_same_name_do_not_share_registers(spark, sf_small, tmp_path):
+    a, b = (_small_folder(spark, sf_small, tmp_path / x / "sfx", n) for x, n in (("a", 20), ("b", 30)))
+    assert domain(spark, a).property.count() == 20 and domain(spark, b).property.count() == 30
+    assert domain(spark, a).property.count() == 20
+
+
+def test_registers_are_written_on_first_use_and_refreshed(spark, sf_small, tmp_path):
+    import os
+    path = _small_folder(spark, sf_small, tmp_path / "sf", 20)
+    REGISTRY["hierarchy_parent"](spark, path).collect()
+    store = domain(spark, path).store.removeprefix("file:")
+    assert os.listdir(store) == ["property"]
+    spark.read.parquet(f"{sf_small}/customer.parquet").where("c_custkey >= 20").write.mode("append").parquet(f"{path}/customer.parquet")
+    assert domain(spark, path).property.count() == 20
+    refresh(spark, path)
+    assert not os.path.exists(store)
+    assert domain(spark, path).property.count() == spark.read.parquet(f"{sf_small}/customer.parquet").count()
+    refresh(spark, path)
+
+
+def test_no_folder_no_cluster_run():
+    from types import SimpleNamespace as N
+    from tallyframe.session import checkpoint_dir
+    conf = N(get=lambda *a: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(N(sparkContext=N(getConf=lambda: conf, getCheckpointDir=lambda: None, master="yarn")))
+
+
+def test_wall_clock_means_the_same_everywhere(spark):
+    """``as_of=None``: an end date in the future keeps a rate or service in SQL and M datasets alike."""
+    from datetime import datetime, timedelta
+
+    from tests_fixture import build
+    future, past = datetime.now() + timedelta(days=900), datetime(1999, 1, 1)
+    d = build(spark, 1)
+    for end, n in ((future, 1), (past, 0)):
+        d.__dict__.pop("_dataset_memo", None)
+        d._views["rate_type_facts"] = spark.createDataFrame([(1, 1, 2, 0, 501, end)], d._views["rate_type_facts"].schema)
+        assert ds.m_property_rates(d, None).count() == ds.current_rates(d, None).count() == n
+        assert ds.m_sud_rates(d, None).count() == n
+
+
+HOT = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+       "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+       "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+       "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+       "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+@pytest.fixture()
+def hot_conf(spark):
+    old = {k: spark.conf.get(k, None) for k in HOT}
+    for k, v in HOT.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _hot_registers(spark):
+    """A third of all children and rates hang on one parent."""
+    from tests_fixture import SCHEMAS, build
+    d = build(spark, 2)
+    day = None
+    p = spark.range(200, 3200).selectExpr("id", "if(id % 3 = 0, 41, 100 + id % 97) parent").selectExpr(
+        "id property_key", "1000 + id tpklpaprop", "cast(parent as bigint) parent_property_key", "1000 + parent parent_property_tpklpaprop",
+        "'C' status", "'RESIDENCE' property_type", *[f"concat('{c} ', id) {c}" for c in ("formatted_address", "address", "suburb", "street",
+        "parent_property_address", "formatted_owner_name")], *[f"cast(null as string) owners_na_slab_{i}" for i in range(1, 6)],
+        "500 + id assessment_key", "700 + id assessment")
+    r = spark.range(200, 3200).selectExpr("id property_key", "id rate_type_key", "1 units", "cast(9 as bigint) ratetype_key",
+                                          "500 + id assessment_key", "cast(null as timestamp_ntz) suspended_date")
+    a = spark.range(200, 3200).selectExpr("500 + id assessment_key", "700 + id assessment", "string(id) vgnumber", "1000 + id tfklpaprop",
+                                          *[f"'line' ratepayer_address_{i}" for i in range(1, 6)])
+    d._views["property"] = d._views["property"].unionByName(p.select(*d._views["property"].columns))
+    d._views["rate_type_facts"] = d._views["rate_type_facts"].unionByName(r)
+    d._views["rate_assessment"] = d._views["rate_assessment"].unionByName(a)
+    d.__dict__.pop("_dataset_memo", None)
+    assert SCHEMAS and day is None
+    return d
+
+
+@pytest.mark.parametrize("case", ["shared", "sud"])
+def test_hot_parents_are_split(spark, hot_conf, case):
+    """J3 and the single-dwelling properties with a third of all children under one parent: the final
+    plan splits the hot key or leaves it out, and the rows equal the plain form's."""
+    d = _hot_registers(spark)
+    if case == "shared":
+        got = ds.shared_volume(d, AS_OF)
+        parents, rates = ds.shared_parents(d, AS_OF), ds.shared_child_rates(d, AS_OF)
+        want = parents.join(rates, F.col("parent_key") == F.col("parent_property_key"), "left")
+        cols = ["parent_key", "property_key", "rate_type_key"]
+    else:
+        got = ds.m_sud_properties(d)
+        kids = {r[0] for r in ds.m_property(d).select("parent_property_key").collect()}
+        want = ds.m_parent_properties(d).where(~F.col("property_key").isin([k for k in kids if k is not None]))
+        cols = ["property_key"]
+    rows = sorted(map(tuple, got.select(*cols).collect()), key=str)
+    assert rows == sorted(map(tuple, want.select(*cols).collect()), key=str) and rows
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    if case == "shared":
+        assert "skew=true" in final
+    else:  # children without a parent, more than half of the register, are not dealt out at all
+        assert "coalesce(parent_property_key" not in final and "isnotnull(parent_property_key" in final
+
+
+def test_no_current_matches_not_exists(spark):
+    left = spark.createDataFrame([(1, None), (2, "x"), (3, None), (None, "y"), (4, "z")], "k int, code string")
+    facts = spark.createDataFrame([(2, "C"), (2, "C"), (3, "C"), (4, "H"), (4, None), (None, "C")], "fk int, status string")
+    plain = no_current(left, facts, "k", "fk", F.col("status") == "C")
+    assert sorted((r.k is None, r.k) for r in plain.collect()) == [(False, 1), (False, 4), (True, None)]
+    unless = no_current(left, facts, "k", "fk", F.col("status") == "C", unless=F.col("code").isNull())
+    assert {r.k for r in unless.collect()} == {1, 3, 4, None}
+
+
+def test_like_patterns(spark):
+    cases = [("Level 1 North", "LEVEL 1", True), ("Level 1", "L%1", True), ("Level 1", "Level _", True), ("Level", "Level_", False),
+             ("a[b", "[", False), ("a[b", "[[]b", True), ("a]b", "]b", True), ("abc", "[^b]c", False), ("axc", "[^b]c", True),
+             ("a5", "a[0-9]", True), ("a^", "a[x^]", True), ("a.b", "a.b", True), ("axb", "a.b", False), ("a\\b", "\\b", True),
+             ("a\nb", "a%b", True), ("(x)", "(x)", True), ("a$", "$", True), ("ab", "[]", False), ("a&&b", "a[&]", True), ("abc", "", True)]
+    df = spark.createDataFrame(cases, "t string, p string, hit boolean")
+    for r in df.withColumn("no", not_contains("t", "p")).collect():
+        assert r.no == (not r.hit), r
+    assert df.select(not_contains(F.lit("50% off"), F.lit("0% o"), pattern=False)).first()[0] is False
