@@ -7,8 +7,8 @@ line is the role that speaks.  Observed are
   ("User:", "### Assistant", "<|system|>" ...), both mapped to roles by a table of usual names;
 * line features: whether the line opens a row, its length class, and how it ends.
 
-Start, transition and emission probabilities are counted, with add-one smoothing, over the rows of a
-bounded sample of conversations whose declared role is a known name.  Markers are trusted to
+Start, transition and emission probabilities are counted, with add-one smoothing, over the first
+rows of a bounded sample of conversations, where the declared role is a known name.  Markers are trusted to
 ``TRUST``, not blindly: a misplaced or missing name yields to the sequence.  The best path is found by
 Viterbi, and each row is rendered as one canonical turn per run of lines of one role.
 
@@ -47,8 +47,8 @@ NAMES = {
 }
 TRUST = 0.97
 BLOCK = 4096
-#: Training bound: conversations whose rows are counted, and rows counted of them.
-TRAIN_CONVERSATIONS, TRAIN_ROWS = 2000, 50_000
+#: Training bound: about so many conversations, and of each the rows before this turn, are counted.
+TRAIN_CONVERSATIONS, TRAIN_TURNS = 2000, 32
 
 _MARKER = re.compile(r"\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*)?\s*([A-Za-z]{1,12})\s*(?:\|>|\]|:\*\*|\*\*:|\*\*|:)\s*")
 _K, _LENGTHS, _ENDS = len(ROLES), 6, 4
@@ -144,10 +144,12 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 
 def train(turns: DataFrame) -> Model:
-    """Count the chain over at most ``TRAIN_CONVERSATIONS`` conversations chosen by hash."""
-    convs = turns.where("conv_id is not null").select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(TRAIN_CONVERSATIONS)
-    rows = turns.join(F.broadcast(convs), "conv_id").orderBy(F.xxhash64("conv_id"), "conv_id", "turn", "role", "text").limit(TRAIN_ROWS)
-    return Model([(r["conv_id"], r["role"], r["text"]) for r in rows.select("conv_id", "role", "text").collect()])
+    """Count the chain over a bounded share of the conversations, chosen by hash."""
+    known = turns.where(F.col("conv_id").isNotNull() & F.col("turn").between(0, TRAIN_TURNS - 1)).select("conv_id", "turn", "role", "text")
+    share = min(1.0, TRAIN_CONVERSATIONS / max(1, known.agg(F.approx_count_distinct("conv_id")).first()[0]))
+    rows = known.where(F.shiftrightunsigned(F.xxhash64("conv_id"), 11) / float(1 << 53) < share).distinct()
+    order = lambda r: (r["conv_id"], r["turn"], r["role"] or "", r["text"] or "")
+    return Model([(r["conv_id"], r["role"], r["text"]) for r in sorted(rows.collect(), key=order)])
 
 
 def parse(turns: DataFrame, model: Model | None = None, block: int = BLOCK) -> DataFrame:
