@@ -126,3 +126,48 @@ def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     numbered = with_row(docs)
     good = judged(numbered, labels, also=(ROW,), **options).where("kept").select(ROW)
     return numbered.join(good, ROW, "left_semi").drop(ROW)
+
+
+def _oracle(risk: float = RISK, delta: float = DELTA) -> str:
+    """DuckDB SQL for :func:`judged` over ``documents`` and ``labels``, with lgamma for the binomial terms."""
+    cuts = ", ".join(f"('{r}', {i}, {c!r}::DOUBLE)" for r, (_, cs) in RULES.items() for i, c in enumerate(cs))
+    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {v}" for r, (v, _) in RULES.items()) + " END"
+    term = (f"exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({risk!r}::DOUBLE) "
+            f"+ (n_good - i) * ln(1 - {risk!r}::DOUBLE))")
+    broken = ", ".join(f"CASE WHEN {v} > (SELECT cutoff FROM chosen c WHERE c.rule = '{r}' AND c.stratum IS NOT DISTINCT FROM m.lang) "
+                       f"THEN '{r}' END" for r, (v, _) in RULES.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[{SPACE}]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS l FROM d),
+windows AS (
+  SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM parts, range(1, len(w) - 3) AS q(i)),
+again AS (
+  SELECT r, unnest(range(i, i + 5)) AS place FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS n FROM windows) x WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT place) AS n FROM again GROUP BY r),
+m AS (
+  SELECT doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+  FROM parts LEFT JOIN repeats USING (r)),
+held AS (SELECT * FROM m WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+strata AS (SELECT lang AS stratum, count(*) AS n_good FROM held GROUP BY lang),
+cuts AS (SELECT * FROM (VALUES {cuts}) AS c(rule, step, cutoff)),
+counted AS (
+  SELECT s.stratum, n_good, rule, step, cutoff, count(*) FILTER (WHERE {value} > cutoff) AS k
+  FROM cuts, strata s JOIN held h ON h.lang IS NOT DISTINCT FROM s.stratum GROUP BY ALL),
+tested AS (
+  SELECT *, k <= n_good * {risk!r} AND (SELECT sum({term}) FROM range(0, k + 1) AS q(i))
+    <= {delta!r} / ({len(RULES)} * (SELECT count(*) FROM strata)) AS ok FROM counted),
+chosen AS (
+  SELECT stratum, rule, max_by(cutoff, step) AS cutoff FROM tested t
+  WHERE NOT EXISTS (SELECT 1 FROM tested x WHERE x.rule = t.rule AND x.stratum IS NOT DISTINCT FROM t.stratum AND x.step <= t.step AND NOT x.ok)
+  GROUP BY stratum, rule)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed = '' AS kept, failed
+FROM (SELECT *, array_to_string(list_filter([{broken}, CASE WHEN base_failed THEN 'base' END], lambda x: x IS NOT NULL), ',') AS failed FROM m) x
+"""
+
+
+ORACLE = _oracle()

@@ -62,4 +62,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_langid, op2_linededup, op3_packing, op4_sentencepiece, op5_chat, op6_quality, op7_exactdedup, op8_secrets, op9_licenses, op10_simhash)}
 
-ORACLE: dict[str, str] = {"op7_exactdedup": exactdedup.ORACLE}
+ORACLE: dict[str, str] = {"op6_quality": quality.ORACLE, "op7_exactdedup": exactdedup.ORACLE}
