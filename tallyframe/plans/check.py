@@ -67,7 +67,9 @@ def plan_summary(df) -> dict:
     import re
     qe = df._jdf.queryExecution()
     qe.toRdd().count()                      # run this very plan (JVM side) so AQE finalises it
-    text = qe.executedPlan().toString().split("== Initial Plan ==")[0]
+    plan = qe.executedPlan()
+    text = (plan.executedPlan() if "Adaptive" in plan.nodeName() else plan).toString()
+    text = re.sub(r"== Initial Plan ==.*?(?=\n\S|\Z)", "", text, flags=re.S)   # of subqueries
     ops = ["ShuffleExchange", "BroadcastExchange", "SortMergeJoin", "BroadcastHashJoin",
            "ShuffledHashJoin", "HashAggregate", "Window", "CartesianProduct", "BroadcastNestedLoopJoin",
            "FileScan", "ReusedExchange"]

@@ -7,6 +7,8 @@ dataset used by several reports is not a materialisation barrier.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +22,19 @@ from tallyframe.operators.joins import (band_lookup, branch_parents, eav_count,
                                         nested_join)
 from tallyframe.sources.domain import Domain
 
-def _memo(fn):
+def _memo(fn, keep: bool = False):
     """Memoise a dataset per (register views, arguments): DataFrames are immutable plans, so a
     dataset used by several reports (or several times in one report) is built once, and Spark sees
-    identical subtrees whose shuffles it can reuse."""
+    identical subtrees whose shuffles it can reuse.  ``tallyframe.refresh`` forgets it."""
     def wrapper(d: Domain, *args, **kwargs):
         cache = d.__dict__.setdefault("_dataset_memo", {})
         key = (fn.__module__, fn.__name__, *[str(a) for a in args],
                *[f"{k}={v}" for k, v in sorted(kwargs.items())])
         if key not in cache:
-            cache[key] = fn(d, *args, **kwargs)
+            df = fn(d, *args, **kwargs)
+            if keep:
+                df = d.keep(f"{fn.__name__}-{hashlib.sha256(repr(key).encode()).hexdigest()[:12]}", df)
+            cache[key] = df
         return cache[key]
     wrapper.__name__ = fn.__name__
     wrapper.__doc__ = fn.__doc__
@@ -37,6 +42,13 @@ def _memo(fn):
     return wrapper
 
 
+def _kept(fn):
+    """Memoise, and write the dataset to the domain's store on first use: for datasets that a report
+    reads more than once (per-key totals, skew-safe joins) or that several reports share.  Their joins
+    then run once, a lost executor reads the written table again, and plans stay small."""
+    return _memo(fn, keep=True)
+
+
 # CRM filters.
 BIN_QUESTIONNAIRES = ["New bin", "Remove bin", "Repair or replace bin", "Upsize or downsize bin"]
 OPEN_CASE_STATUSES = ["Submitted", "Under Review", "No Review Required", "Approved"]
@@ -59,7 +71,7 @@ def current_rates(d: Domain, as_of, category: str = "DWM", with_assessment: bool
     return rates
 
 
-@_memo
+@_kept
 def rates_with_counts(d: Domain, as_of) -> DataFrame:
     """Single-dwelling rate side: one row per current rate with its property's rate count."""
     r = current_rates(d, as_of).select(
@@ -103,6 +115,12 @@ def single_service_groups(d: Domain, as_of, method_prefix: str = "SNG") -> DataF
 
 def single_property_services(d: Domain, as_of, with_assessment_key: bool = True) -> DataFrame:
     """Current properties with their single-dwelling service groups and service-group count."""
+    out = _single_property_services(d, as_of)
+    return out if with_assessment_key else out.drop("assessment_key")
+
+
+@_kept
+def _single_property_services(d: Domain, as_of) -> DataFrame:
     psg = single_service_groups(d, as_of).select(
         F.col("property_key").alias("__svc_key"), F.col("bin_type").alias("service_bin_type"),
         F.col("c_calculation_method").alias("__method"),
@@ -110,9 +128,7 @@ def single_property_services(d: Domain, as_of, with_assessment_key: bool = True)
     pbr = d.reg_bserv_bin_services.select(F.col("property_key_link_to_property").alias("__reg_key"),
                                           "c_audit_date")
     p = d.property.where(F.col("status") == "C")
-    cols = ["property_key", "tpklpaprop", "formatted_address", "suburb", "property_type"]
-    if with_assessment_key:
-        cols.append("assessment_key")
+    cols = ["property_key", "tpklpaprop", "formatted_address", "suburb", "property_type", "assessment_key"]
     out = (p.join(psg, F.col("property_key") == F.col("__svc_key"))
            .join(pbr, F.col("property_key") == F.col("__reg_key"), "left")
            .select(*cols, "service_bin_type", "service_frequency", "service_units", "avg_bin_size",
@@ -123,7 +139,7 @@ def single_property_services(d: Domain, as_of, with_assessment_key: bool = True)
                       "avg_bin_size", "calculation_method", "number_service_records", "c_audit_date")
 
 
-@_memo
+@_kept
 def shared_parents(d: Domain, as_of) -> DataFrame:
     """Shared-dwelling parents: total container volume (size x collections x services) and the
     average collection frequency of their active red services."""
@@ -143,7 +159,7 @@ def shared_parents(d: Domain, as_of) -> DataFrame:
                  dec_avg("number_of_collections").alias("avg_frequency")))
 
 
-@_memo
+@_kept
 def shared_child_rates(d: Domain, as_of) -> DataFrame:
     """Child properties with their current DWM rates and the number of rated children per parent."""
     cp = d.property.select("parent_property_key", "property_key", "parent_property_tpklpaprop",
@@ -175,7 +191,7 @@ def shared_volume(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ CRM
-@_memo
+@_kept
 def request_counts(d: Domain) -> DataFrame:
     """Open bin requests per property: each request row naming the property is paired with the
     open-status rows of the same request (attribute-value rows), counted per property key text."""
@@ -208,7 +224,7 @@ def attach_crm_counts(df: DataFrame, d: Domain, key: str) -> DataFrame:
 
 
 # ============================================================================ contacts
-@_memo
+@_kept
 def ratepayer_contact(d: Domain) -> DataFrame:
     """Per (register id, assessment key): the ratepayer's address lines and e-mail.  Joined to a
     report with a left join; the multi-line address is assembled after that join, so a property
@@ -323,7 +339,7 @@ def m_bin_services_info(d: Domain) -> DataFrame:
                     .alias("calculation_method"))
 
 
-@_memo
+@_kept
 def m_property_rates(d: Domain, as_of) -> DataFrame:
     """Per property: number of current DWM rates and their unit total (``PropertyRates``)."""
     rtf = d.rate_type_facts
@@ -349,7 +365,7 @@ def m_child_rates_totals(d: Domain, as_of) -> DataFrame:
     return g.withColumnRenamed("parent_property_key", "property_key")
 
 
-@_memo
+@_kept
 def m_rates_with_assessment(d: Domain, as_of) -> DataFrame:
     """Current DWM rates other than N0000UA with their assessment, shared by the three audits."""
     rtf = d.rate_type_facts
@@ -370,7 +386,7 @@ def m_sud_rates(d: Domain, as_of) -> DataFrame:
         "property_key", "ratetype", "assessment", "vgnumber", "ratepayer")
 
 
-@_memo
+@_kept
 def m_child_rates(d: Domain, as_of) -> DataFrame:
     j = m_rates_with_assessment(d, as_of)
     j = nested_join(j, m_child_properties(d), ["property_key"], ["property_key"],
@@ -391,14 +407,14 @@ def m_sud_properties(d: Domain) -> DataFrame:
     return leaf_parents(keyed, m_property(d))
 
 
-@_memo
+@_kept
 def m_mud_parent_properties(d: Domain) -> DataFrame:
     """Distinct parents that have children (multi dwellings)."""
     return branch_parents(m_parent_properties(d), m_child_properties(d),
                           cols=["property_key", "tpklpaprop", "formatted_address", "suburb", "status"])
 
 
-@_memo
+@_kept
 def m_parent_rates(d: Domain, as_of) -> DataFrame:
     j = m_rates_with_assessment(d, as_of)
     j = nested_join(j, m_mud_parent_properties(d), ["property_key"], ["property_key"], [],
@@ -433,7 +449,7 @@ def _side_summary(services: DataFrame, key: str, as_of, prefix: str) -> DataFram
     )
 
 
-@_memo
+@_kept
 def m_parent_child_service_aggregation(d: Domain, as_of) -> DataFrame:
     """Per multi-dwelling parent: parent and child service totals over the parent x child service
     combinations, the category and the N0000UA flag (``ParentChildServiceAggregation``).
@@ -497,7 +513,7 @@ def m_assessment_info(d: Domain) -> DataFrame:
     return d.rate_assessment.select("tfklpaprop", "assessment", "vgnumber")
 
 
-@_memo
+@_kept
 def effective_address(d: Domain) -> DataFrame:
     """Latest address link(s) per identity (ties kept), with the address text."""
     links = latest_effective(d.cnaidta, ["tfkcnaidty"], "dateeffect")

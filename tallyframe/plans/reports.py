@@ -33,11 +33,15 @@ def sorted_report(df: DataFrame, *keys: str) -> DataFrame:
 
 
 # ============================================================================ J1 / J2
+@ds._kept
+def _service_rate_pairs(d: Domain, as_of) -> DataFrame:
+    return pair_by_key(ds.single_property_services(d, as_of), ds.rates_with_counts(d, as_of),
+                       "property_key", "rate_property_key")
+
+
 @ds._memo
 def _single_pairs(d: Domain, as_of, contacts: bool, dedupe_owners: bool = False) -> DataFrame:
-    services = ds.single_property_services(d, as_of, with_assessment_key=contacts)
-    rates = ds.rates_with_counts(d, as_of)
-    pairs = pair_by_key(services, rates, "property_key", "rate_property_key")
+    pairs = _service_rate_pairs(d, as_of)
 
     def flags_and_counts(df: DataFrame) -> DataFrame:
         df = add_flags(df,
@@ -160,7 +164,7 @@ def _sum0(x: Column) -> Column:
     return F.coalesce(F.sum(x), F.lit(0))
 
 
-@ds._memo
+@ds._kept
 def _br_parent_side(d: Domain, as_of) -> DataFrame:
     """Per parentless current property and own-code activity: own service rows that pass the
     stream filter, summarised (count, active non-N0000UA, red, active, N0000UA).  A property
@@ -191,7 +195,7 @@ def _br_parent_side(d: Domain, as_of) -> DataFrame:
                  .alias("ps_ua")))
 
 
-@ds._memo
+@ds._kept
 def _br_child_side(d: Domain, as_of) -> DataFrame:
     """Per child property and code activity: all its service rows, summarised."""
     cp = d.property.where(F.col("parent_property_key").isNotNull()).select(
@@ -215,9 +219,9 @@ def _br_child_side(d: Domain, as_of) -> DataFrame:
                  .alias("cps_ua")))
 
 
-@ds._memo
-def _br_branches(d: Domain, as_of) -> DataFrame:
-    """Both service branches of J5, unioned, with the per-register-id totals attached."""
+@ds._kept
+def _br_rows(d: Domain, as_of) -> DataFrame:
+    """Both service branches of J5, unioned."""
     ps = _br_parent_side(d, as_of)
     # parent x (current children, or none): a parent whose children are all historic drops out
     fam = with_children(ps, d.property, cols={
@@ -249,8 +253,13 @@ def _br_branches(d: Domain, as_of) -> DataFrame:
         F.col("ps_red").alias("number_of_red_services"),
         service_category("sc_active", "ps_act").alias("service_category"),
         F.col("ps_ua").alias("number_of_n0000ua"), F.lit("No").alias("is_terrace_title"))
-    both = branch1.unionByName(branch2)
-    both = over_keys(both, ["tpklpaprop"], {"total_number_of_services": F.sum("number_of_services"),
+    return branch1.unionByName(branch2)
+
+
+@ds._memo
+def _br_branches(d: Domain, as_of) -> DataFrame:
+    """The rows of both branches with the per-register-id totals attached."""
+    both = over_keys(_br_rows(d, as_of), ["tpklpaprop"], {"total_number_of_services": F.sum("number_of_services"),
                                             "__ua_total": F.sum("number_of_n0000ua")},
                      null_safe=False)
     return both.withColumn("has_n0000ua", F.when(F.col("__ua_total") > 0, "Yes").otherwise("No")) \
@@ -261,7 +270,7 @@ RWS_COLS = ["parent_tpklpaprop", "tpklpaprop", "formatted_address", "suburb", "a
             "vgnumber", "ratetype", "ratepayer", "audit_date", "service_category", "has_n0000ua"]
 
 
-@ds._memo
+@ds._kept
 def _rates_payer(d: Domain, as_of) -> DataFrame:
     return ds.current_rates(d, as_of).select(
         F.col("property_key").alias("r_key"), "assessment", "vgnumber", "ratetype",
@@ -329,16 +338,22 @@ def rates_without_services(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ J6
-@ds._memo
-def services_without_rates(d: Domain, as_of) -> DataFrame:
-    """J6: parentless properties (and children) with services but no own or family rates."""
+@ds._kept
+def _counted_rates(d: Domain, as_of) -> DataFrame:
+    """Current rates with the number of rates of their property."""
     rates = ds.current_rates(d, as_of, with_assessment=False)
     rates = over_keys(rates, ["property_key"], {"number_of_rates": F.count("property_key")},
                       null_safe=False)
-    rates = rates.select(F.col("property_key").alias("rates_property_key"), "rate_type_key",
-                         F.col("units").alias("rate_units"),
-                         F.coalesce(F.col("number_of_rates"), F.lit(0)).alias("number_of_rates"),
-                         "ratetype_key", "ratetype", "rate_bin_type", "rate_frequency")
+    return rates.select(F.col("property_key").alias("rates_property_key"), "rate_type_key",
+                        F.col("units").alias("rate_units"),
+                        F.coalesce(F.col("number_of_rates"), F.lit(0)).alias("number_of_rates"),
+                        "ratetype_key", "ratetype", "rate_bin_type", "rate_frequency")
+
+
+@ds._kept
+def _unrated_families(d: Domain, as_of) -> DataFrame:
+    """Heads without a current rate with their services, alone or with each child."""
+    rates = _counted_rates(d, as_of)
     # A parent with any current rate fails "parent_number_of_rates = 0" on every row of its
     # family, and every per-family total is partitioned by the parent: drop such parents first.
     p = (d.property.where(F.col("parent_property_key").isNull() & (F.col("status") == "C"))
@@ -375,12 +390,19 @@ def services_without_rates(d: Domain, as_of) -> DataFrame:
            .join(own, F.col("parent_property_key") == F.col("property_key"))
            .join(bsx, F.col("parent_property_key") == F.col("__bs_key"), "left")
            .join(asm, F.col("parent_tpklpaprop") == F.col("__a_tpk"), "left"))
-    g = (fam.groupBy("parent_property_key", "child_property_key", "parent_tpklpaprop",
-                     "child_tpklpaprop", "parent_formatted_address", "child_formatted_address",
-                     "parent_suburb", "child_suburb", "sc_active", "c_calculation_method",
-                     "parent_assessment", "parent_vgnumber")
-         .agg(F.coalesce(F.sum("ps_sum"), F.lit(0)).alias("number_of_services"),
-              F.sum("ps_red").alias("number_of_red_services")))
+    return (fam.groupBy("parent_property_key", "child_property_key", "parent_tpklpaprop",
+                        "child_tpklpaprop", "parent_formatted_address", "child_formatted_address",
+                        "parent_suburb", "child_suburb", "sc_active", "c_calculation_method",
+                        "parent_assessment", "parent_vgnumber")
+            .agg(F.coalesce(F.sum("ps_sum"), F.lit(0)).alias("number_of_services"),
+                 F.sum("ps_red").alias("number_of_red_services")))
+
+
+@ds._memo
+def services_without_rates(d: Domain, as_of) -> DataFrame:
+    """J6: parentless properties (and children) with services but no own or family rates."""
+    rates = _counted_rates(d, as_of)
+    g = _unrated_families(d, as_of)
     not_parking = (~F.col("child_formatted_address").like("Car Space%")
                    & ~F.col("child_formatted_address").like("Storage%"))
     # every family total hangs on the parent alone: one aggregate over the families, with the rates

@@ -99,6 +99,15 @@ class Domain:
                 self._views[name] = df
             return self._views[name]
 
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a dataset that several reports (or several parts of one) read to the store and read it
+        back; without a store it stays a plan."""
+        if not self.store:
+            return df
+        path = f"{self.store}/datasets/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def drop(self) -> None:
         """Delete the written views (frames built on them can no longer be read)."""
         self._views.clear()
