@@ -162,3 +162,16 @@ def test_exact_groups(docs, odd):
         assert exactdedup.deduplicated(frame).count() == len(groups)
         assert exactdedup.deduplicated(frame).columns == frame.columns
     assert exactdedup.groups(docs([])).count() == 0
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    import os
+
+    from tallyframe.llm import common
+    kept = common.written(spark.range(3), "a-table")
+    folder = common._own_dir(spark).removeprefix("file:")
+    assert kept.count() == 3 and any(n.startswith("a-table") for n in os.listdir(folder))
+    common.forget(kept)
+    assert not any(n.startswith("a-table") for n in os.listdir(folder))
+    common.clear(spark)
+    assert not os.path.exists(folder)
