@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -100,10 +101,24 @@ ROW = "__row"
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    """Add a number for each row, the same whenever the same files are read."""
+    """Add a number for each row, the same each time the frame is read within the application.
+
+    Numbers follow the input splits.  Their size would follow the cores that are there when a read is
+    planned, and so change when an executor is lost; it is therefore pinned for the session (only
+    if nobody has set it).  A frame that is more than a scan with columns and filters is written first.
+    """
+    spark = docs.sparkSession
+    if spark.conf.get(_MIN_SPLITS, None) is None:
+        spark.conf.set(_MIN_SPLITS, str(spark.sparkContext.defaultParallelism))
+    plan = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    if not all(re.match(r"[\s:+-]*(Relation|LocalRelation|Project|Filter)\b", line) for line in plan):
+        docs = written(docs, "numbered")
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
+_MIN_SPLITS = "spark.sql.files.minPartitionNum"
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Rows of each run of equal first ``keys`` columns."""
     held: list[tuple] = []

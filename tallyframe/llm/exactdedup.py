@@ -32,8 +32,9 @@ def normalised(text: str) -> str:
 
 
 def groups(docs: DataFrame, first: int = FIRST, wider: int = WIDER) -> DataFrame:
-    """``doc_id``, the row number, ``text_sha256, keep_id, keep_row, group_size`` for every row of ``docs``."""
-    rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    """``doc_id``, the row number (that of ``docs``, if it has one), ``text_sha256, keep_id, keep_row, group_size`` for every row of ``docs``."""
+    numbered = docs if ROW in docs.columns else with_row(docs)
+    rows = numbered.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     text = normalised("text")
     raw = text.cast("binary")
     heads = written(rows.select(ROW, "doc_id", F.octet_length(text).alias("size"), F.substring(raw, 1, first).alias("head"),
@@ -72,8 +73,9 @@ def _sql() -> str:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay."""
-    kept = groups(docs).where(F.col(ROW) == F.col("keep_row")).select(ROW)
-    return with_row(docs).join(kept, ROW, "left_semi").drop(ROW)
+    numbered = with_row(docs)
+    kept = groups(numbered).where(F.col(ROW) == F.col("keep_row")).select(ROW)
+    return numbered.join(kept, ROW, "left_semi").drop(ROW)
 
 
 ORACLE = r"""

@@ -175,3 +175,12 @@ def test_scratch_tables_can_be_cleared(spark):
     assert not any(n.startswith("a-table") for n in os.listdir(folder))
     common.clear(spark)
     assert not os.path.exists(folder)
+
+
+def test_rows_are_numbered_alike_whenever_read(spark, sf_small, docs):
+    from tallyframe.llm.common import ROW, with_row
+    scan = with_row(spark.read.parquet(f"{sf_small}/documents.parquet").where("n_chars > 0"))
+    assert scan.select(ROW, "doc_id").exceptAll(scan.select("text", ROW, "doc_id").select(ROW, "doc_id")).count() == 0
+    assert spark.conf.get("spark.sql.files.minPartitionNum")
+    dealt = with_row(docs([(i, f"t{i}") for i in range(50)], parts=7))
+    assert all("numbered" in f for f in dealt.inputFiles()) and dealt.count() == 50
