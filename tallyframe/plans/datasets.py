@@ -71,7 +71,7 @@ def current_rates(d: Domain, as_of, category: str = "DWM", with_assessment: bool
     return rates
 
 
-@_kept
+@_memo
 def rates_with_counts(d: Domain, as_of) -> DataFrame:
     """Single-dwelling rate side: one row per current rate with its property's rate count."""
     r = current_rates(d, as_of).select(
@@ -119,7 +119,7 @@ def single_property_services(d: Domain, as_of, with_assessment_key: bool = True)
     return out if with_assessment_key else out.drop("assessment_key")
 
 
-@_kept
+@_memo
 def _single_property_services(d: Domain, as_of) -> DataFrame:
     psg = single_service_groups(d, as_of).select(
         F.col("property_key").alias("__svc_key"), F.col("bin_type").alias("service_bin_type"),
@@ -139,7 +139,7 @@ def _single_property_services(d: Domain, as_of) -> DataFrame:
                       "avg_bin_size", "calculation_method", "number_service_records", "c_audit_date")
 
 
-@_kept
+@_memo
 def shared_parents(d: Domain, as_of) -> DataFrame:
     """Shared-dwelling parents: total container volume (size x collections x services) and the
     average collection frequency of their active red services."""
@@ -191,7 +191,7 @@ def shared_volume(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ CRM
-@_kept
+@_memo
 def request_counts(d: Domain) -> DataFrame:
     """Open bin requests per property: each request row naming the property is paired with the
     open-status rows of the same request (attribute-value rows), counted per property key text."""
@@ -224,7 +224,7 @@ def attach_crm_counts(df: DataFrame, d: Domain, key: str) -> DataFrame:
 
 
 # ============================================================================ contacts
-@_kept
+@_memo
 def ratepayer_contact(d: Domain) -> DataFrame:
     """Per (register id, assessment key): the ratepayer's address lines and e-mail.  Joined to a
     report with a left join; the multi-line address is assembled after that join, so a property
@@ -339,7 +339,7 @@ def m_bin_services_info(d: Domain) -> DataFrame:
                     .alias("calculation_method"))
 
 
-@_kept
+@_memo
 def m_property_rates(d: Domain, as_of) -> DataFrame:
     """Per property: number of current DWM rates and their unit total (``PropertyRates``)."""
     rtf = d.rate_type_facts
@@ -386,7 +386,7 @@ def m_sud_rates(d: Domain, as_of) -> DataFrame:
         "property_key", "ratetype", "assessment", "vgnumber", "ratepayer")
 
 
-@_kept
+@_memo
 def m_child_rates(d: Domain, as_of) -> DataFrame:
     j = m_rates_with_assessment(d, as_of)
     j = nested_join(j, m_child_properties(d), ["property_key"], ["property_key"],
@@ -414,7 +414,7 @@ def m_mud_parent_properties(d: Domain) -> DataFrame:
                           cols=["property_key", "tpklpaprop", "formatted_address", "suburb", "status"])
 
 
-@_kept
+@_memo
 def m_parent_rates(d: Domain, as_of) -> DataFrame:
     j = m_rates_with_assessment(d, as_of)
     j = nested_join(j, m_mud_parent_properties(d), ["property_key"], ["property_key"], [],
@@ -449,7 +449,7 @@ def _side_summary(services: DataFrame, key: str, as_of, prefix: str) -> DataFram
     )
 
 
-@_kept
+@_memo
 def m_parent_child_service_aggregation(d: Domain, as_of) -> DataFrame:
     """Per multi-dwelling parent: parent and child service totals over the parent x child service
     combinations, the category and the N0000UA flag (``ParentChildServiceAggregation``).
@@ -513,7 +513,7 @@ def m_assessment_info(d: Domain) -> DataFrame:
     return d.rate_assessment.select("tfklpaprop", "assessment", "vgnumber")
 
 
-@_kept
+@_memo
 def effective_address(d: Domain) -> DataFrame:
     """Latest address link(s) per identity (ties kept), with the address text."""
     links = latest_effective(d.cnaidta, ["tfkcnaidty"], "dateeffect")

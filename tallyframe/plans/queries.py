@@ -53,6 +53,13 @@ def _d(spark, sf) -> Domain:
     return domain(spark, sf)
 
 
+def _report(spark, sf, name: str, build: Callable[[Domain], DataFrame]) -> DataFrame:
+    """A report over the register views, which are written several at a time if it is their first use."""
+    d = _d(spark, sf)
+    d.prepare(name, build)
+    return build(d)
+
+
 def _end():
     """Line end date, open (null) while the line status is O."""
     return F.when(F.col("l_linestatus") == "F", F.col("l_shipdate"))
@@ -829,52 +836,52 @@ def q_write_report(spark, sf):
 # ============================================================================ 2.J reports
 @register("report_single_nonmatch")
 def q_report_single_nonmatch(spark, sf):
-    return R.single_nonmatches(_d(spark, sf), AS_OF)
+    return _report(spark, sf, "report_single_nonmatch", lambda d: R.single_nonmatches(d, AS_OF))
 
 
 @register("report_single_match")
 def q_report_single_match(spark, sf):
-    return R.single_matches(_d(spark, sf), AS_OF)
+    return _report(spark, sf, "report_single_match", lambda d: R.single_matches(d, AS_OF))
 
 
 @register("report_shared_nonmatch")
 def q_report_shared_nonmatch(spark, sf):
-    return R.shared_nonmatches(_d(spark, sf), AS_OF)
+    return _report(spark, sf, "report_shared_nonmatch", lambda d: R.shared_nonmatches(d, AS_OF))
 
 
 @register("report_shared_match")
 def q_report_shared_match(spark, sf):
-    return R.shared_matches(_d(spark, sf), AS_OF)
+    return _report(spark, sf, "report_shared_match", lambda d: R.shared_matches(d, AS_OF))
 
 
 @register("report_rates_without_services")
 def q_report_rates_without_services(spark, sf):
-    return R.rates_without_services(_d(spark, sf), AS_OF)
+    return _report(spark, sf, "report_rates_without_services", lambda d: R.rates_without_services(d, AS_OF))
 
 
 @register("report_services_without_rates")
 def q_report_services_without_rates(spark, sf):
-    return R.services_without_rates(_d(spark, sf), AS_OF)
+    return _report(spark, sf, "report_services_without_rates", lambda d: R.services_without_rates(d, AS_OF))
 
 
 @register("report_historic_services")
 def q_report_historic_services(spark, sf):
-    return R.historic_services(_d(spark, sf), AS_OF)
+    return _report(spark, sf, "report_historic_services", lambda d: R.historic_services(d, AS_OF))
 
 
 @register("report_mailing_audit")
 def q_report_mailing_audit(spark, sf):
-    return R.mailing_audit(_d(spark, sf))
+    return _report(spark, sf, "report_mailing_audit", lambda d: R.mailing_audit(d))
 
 
 @register("report_services_without_rates_v2")
 def q_report_services_without_rates_v2(spark, sf):
-    return R.services_without_rates_m(_d(spark, sf), AS_OF)
+    return _report(spark, sf, "report_services_without_rates_v2", lambda d: R.services_without_rates_m(d, AS_OF))
 
 
 @register("report_rates_without_services_v2")
 def q_report_rates_without_services_v2(spark, sf):
-    return R.rates_without_services_m(_d(spark, sf), AS_OF)
+    return _report(spark, sf, "report_rates_without_services_v2", lambda d: R.rates_without_services_m(d, AS_OF))
 
 
 def queries() -> dict[str, Query]:

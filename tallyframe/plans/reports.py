@@ -164,7 +164,7 @@ def _sum0(x: Column) -> Column:
     return F.coalesce(F.sum(x), F.lit(0))
 
 
-@ds._kept
+@ds._memo
 def _br_parent_side(d: Domain, as_of) -> DataFrame:
     """Per parentless current property and own-code activity: own service rows that pass the
     stream filter, summarised (count, active non-N0000UA, red, active, N0000UA).  A property
@@ -195,7 +195,7 @@ def _br_parent_side(d: Domain, as_of) -> DataFrame:
                  .alias("ps_ua")))
 
 
-@ds._kept
+@ds._memo
 def _br_child_side(d: Domain, as_of) -> DataFrame:
     """Per child property and code activity: all its service rows, summarised."""
     cp = d.property.where(F.col("parent_property_key").isNotNull()).select(
@@ -270,7 +270,7 @@ RWS_COLS = ["parent_tpklpaprop", "tpklpaprop", "formatted_address", "suburb", "a
             "vgnumber", "ratetype", "ratepayer", "audit_date", "service_category", "has_n0000ua"]
 
 
-@ds._kept
+@ds._memo
 def _rates_payer(d: Domain, as_of) -> DataFrame:
     return ds.current_rates(d, as_of).select(
         F.col("property_key").alias("r_key"), "assessment", "vgnumber", "ratetype",

@@ -29,6 +29,8 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,7 @@ class Domain:
         self.normalise = normalise
         self.store = store
         self._views: dict[str, DataFrame] = {}
+        self._prepared: set[str] = set()
         self._locks = {name: threading.Lock() for name in VIEW_NAMES}
 
     def view(self, name: str) -> DataFrame:
@@ -99,6 +102,20 @@ class Domain:
                 self._views[name] = df
             return self._views[name]
 
+    def prepare(self, name: str, build: Callable[[Domain], object], parallel: int = 8) -> None:
+        """Write the views that ``build`` (known by ``name``) will ask for, several at a time, once.
+
+        Which ones these are is found by building once on views that are derived in place, which
+        plans but runs nothing.
+        """
+        if not self.store or name in self._prepared:
+            return
+        self._prepared.add(name)
+        trial = Domain(self.spark, self.sf_dir, self.normalise)
+        build(trial)
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            list(pool.map(self.view, [v for v in trial._views if v not in self._views]))
+
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         """Write a dataset that several reports (or several parts of one) read to the store and read it
         back; without a store it stays a plan."""
@@ -111,6 +128,7 @@ class Domain:
     def drop(self) -> None:
         """Delete the written views (frames built on them can no longer be read)."""
         self._views.clear()
+        self._prepared.clear()
         self.__dict__.pop("_dataset_memo", None)
         if self.store:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.store)
