@@ -386,7 +386,7 @@ def m_sud_rates(d: Domain, as_of) -> DataFrame:
         "property_key", "ratetype", "assessment", "vgnumber", "ratepayer")
 
 
-@_memo
+@_kept
 def m_child_rates(d: Domain, as_of) -> DataFrame:
     j = m_rates_with_assessment(d, as_of)
     j = nested_join(j, m_child_properties(d), ["property_key"], ["property_key"],
@@ -449,7 +449,7 @@ def _side_summary(services: DataFrame, key: str, as_of, prefix: str) -> DataFram
     )
 
 
-@_memo
+@_kept
 def m_parent_child_service_aggregation(d: Domain, as_of) -> DataFrame:
     """Per multi-dwelling parent: parent and child service totals over the parent x child service
     combinations, the category and the N0000UA flag (``ParentChildServiceAggregation``).

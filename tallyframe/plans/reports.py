@@ -270,7 +270,7 @@ RWS_COLS = ["parent_tpklpaprop", "tpklpaprop", "formatted_address", "suburb", "a
             "vgnumber", "ratetype", "ratepayer", "audit_date", "service_category", "has_n0000ua"]
 
 
-@ds._memo
+@ds._kept
 def _rates_payer(d: Domain, as_of) -> DataFrame:
     return ds.current_rates(d, as_of).select(
         F.col("property_key").alias("r_key"), "assessment", "vgnumber", "ratetype",
