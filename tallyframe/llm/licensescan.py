@@ -1,17 +1,23 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison.
 
-A paragraph is a line.  Its features are the word 1- to 3-grams of the licence templates that it
-contains (a sparse 0/1 vector; other words do not dilute it).  A multinomial logistic regression with
+A paragraph is a run of lines that are not blank; comment prefixes do not count, so a line of nothing
+else is blank.  A template is looked for in all words of a paragraph, so that hard-wrapped notices are
+found: ``MIN_COVER`` or more of its words, in order (longest common subsequence), within one window.
+Of matches that overlap, the one with the largest cover (of equal ones, with the most words) that the
+classifier agrees with stays.  A match is reported with the lines that it lies in.
+
+The classifier's features are the word 1- to 3-grams of the licence templates that the words of the
+match, or the lines that it lies in, contain (a sparse 0/1 vector; other words do not dilute it).  A multinomial logistic regression with
 an L1 penalty, so that most weights are zero, gives scores of the families and of ``unknown``.  It is
 trained on pieces and variants of the templates and, for ``unknown``, on paragraphs of at most
 ``NEGATIVE_DOCS`` documents and on shuffled template words.  Scores are calibrated by a temperature
 fitted on the variants left out of training; a family is predicted if its probability is ``MIN_P``
-or more, else the paragraph is ``unknown``.  A prediction is confirmed if a template of the family
-lies in the paragraph: ``MIN_COVER`` or more of its words, in order (longest common subsequence),
-within one window.  Only confirmed families are reported.
+or more, else ``unknown``.  A paragraph that speaks of a licence (``LIKELY``) but in which no family is
+confirmed comes out as ``unknown``, with the probability of that and cover 0; it names no licence and is
+not counted in ``n_paragraphs``.
 
 Weights bound the scores from above: a paragraph without any of a few telling words (chosen from the
-model so that this holds) cannot reach ``MIN_P``, so its features are not looked at.
+model so that this holds) cannot reach ``MIN_P``, so its words are not compared.
 
 Defined cases: null and empty texts have no licence.  Rows are scanned one by one, so null, tied or
 repeated ``doc_id`` values do not matter.  An empty table gives no rows (the model then trains on
@@ -23,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -104,7 +111,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 PLAIN = frozenset("a along also an and any are be by can could either for from general have if in is it later may not of on one only or "
                   "other person should that the this to under use used was with without work you your".split())
 
+#: A paragraph with one of these speaks of a licence.
+LIKELY = ("license", "licence", "copyright", "spdx", "public domain", "redistribut", "permission is")
+
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_PREFIX = re.compile(r"\s*(?:(?://+|/?\*+/?|#+|;+|--+|%+|<!--+|>+|(?:dnl|rem)\b)\s*)*", re.I)
 SCHEMA = "doc_id long, licences string, n_paragraphs long, found string"
 
 
@@ -112,6 +123,21 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def paragraphs(text: str) -> Iterator[list[tuple[int, str]]]:
+    """Runs of lines that are not blank: (offset, line) of each line, comment prefixes made blank."""
+    run, at = [], 0
+    for line in text.split("\n"):
+        n = _PREFIX.match(line).end()
+        if n < len(line):
+            run.append((at, " " * n + line[n:]))
+        elif run:
+            yield run
+            run = []
+        at += len(line) + 1
+    if run:
+        yield run
+
+
 def grams(tokens: list[str]) -> set[str]:
     return {" ".join(tokens[i:i + n]) for n in (1, 2, 3) for i in range(len(tokens) - n + 1)}
 
@@ -205,60 +231,93 @@ class Model:
         short = "|".join(sorted(re.escape(w) for w in chosen if len(w) <= 4))
         self.short = re.compile(rf"(?<![a-z0-9])(?:{short})(?![a-z0-9])") if short else re.compile(r"(?!)")
 
-    def predict(self, tokens: list[str]) -> tuple[str, float]:
+    def _score(self, tokens: list[str]) -> np.ndarray:
         score = self.bias.copy()
         for i in self._features(tokens):
             if i in self.weights:
                 score += self.weights[i]
-        p = _softmax(score[None])[0]
+        return score
+
+    def predict(self, tokens: list[str]) -> tuple[str, float]:
+        p = _softmax(self._score(tokens)[None])[0]
         k = int(p.argmax())
         return (self.families[k], float(p[k])) if k < len(p) - 1 and p[k] >= MIN_P else (UNKNOWN, float(p[-1]))
 
-    def confirm(self, family: str, tokens: list[str]) -> tuple[int, float]:
-        """The best template of the family and the share of its words found in order in one window."""
-        best = (-1, 0.0)
-        for n, t in enumerate(self.templates[family]):
-            present = set(t)
-            at = [i for i, w in enumerate(tokens) if w in present]
-            size = len(t) + len(t) // 4 + 2
-            seen = -1
-            for a in at:
-                if a <= seen:
+    def matches(self, tokens: list[str]) -> list[tuple[float, int, str, int, int, int]]:
+        """(cover, words, family, template, first, last token) of windows that hold ``MIN_COVER`` of a template, best first."""
+        found, here = [], set(tokens)
+        for family, ts in self.templates.items():
+            for n, t in enumerate(ts):
+                need = MIN_COVER * len(t) - 1e-9
+                if sum(w in here for w in t) < need:
                     continue
-                window = [w for w in tokens[a:a + size] if w in present]
-                if len(window) / len(t) > best[1]:
-                    cover = _common(t, window) / len(t)
-                    if cover > best[1]:
-                        best = (n, cover)
-                    if cover == 1:
-                        return best
-        return best
+                present = set(t)
+                at = [i for i, w in enumerate(tokens) if w in present]
+                size = len(t) + len(t) // 4 + 2
+                i = 0
+                while i < len(at):
+                    j = bisect_left(at, at[i] + size, i)
+                    if j - i >= need:
+                        window = [tokens[k] for k in at[i:j]]
+                        common, last = _common(t, window)
+                        if common >= need:
+                            _, first = _common(t[::-1], window[last::-1])
+                            found.append((common / len(t), common, family, n, at[i + last - first], at[i + last]))
+                            if common == len(t):
+                                i += last
+                    i += 1
+        return sorted(set(found), key=lambda f: (-f[0], -f[1], *f[2:]))
 
     def scan(self, text: str) -> list[tuple[str, int, int, float, int, float]]:
-        """(family, start, end, probability, template, cover) of each confirmed paragraph, in code points."""
+        """(family, start, end, probability, template, cover) of each confirmed notice or unknown paragraph, in code points."""
         low = text.lower()
-        if not any(w in low for w in self.long) and not self.short.search(low):
+        if not any(w in low for w in LIKELY) and not any(w in low for w in self.long) and not self.short.search(low):
             return []
-        out, at = [], 0
-        for line in text.split("\n"):
-            tokens = words(line)
-            if not self.telling.isdisjoint(tokens):
-                family, p = self.predict(tokens)
-                if family != UNKNOWN:
-                    template, cover = self.confirm(family, tokens)
-                    if cover >= MIN_COVER:
-                        out.append((family, at, at + len(line), p, template, cover))
-            at += len(line) + 1
+        out = []
+        for lines in paragraphs(text):
+            own = [words(line) for _, line in lines]
+            tokens = [w for ws in own for w in ws]
+            notices = [] if self.telling.isdisjoint(tokens) else self._notices(lines, own, tokens)
+            if not notices and any(w in " ".join(line for _, line in lines).lower() for w in LIKELY):
+                notices = [(UNKNOWN, lines[0][0], lines[-1][0] + len(lines[-1][1]), self._unknown(tokens), -1, 0.0)]
+            out += notices
         return out
 
+    def _notices(self, lines: list[tuple[int, str]], own: list[list[str]], tokens: list[str]) -> list[tuple[str, int, int, float, int, float]]:
+        firsts = [0]
+        for ws in own:
+            firsts.append(firsts[-1] + len(ws))
+        taken: list[tuple[int, int]] = []
+        notices = []
+        for cover, _, family, template, a, b in self.matches(tokens):
+            if any(a <= d and c <= b for c, d in taken):
+                continue
+            x, y = bisect_right(firsts, a) - 1, bisect_right(firsts, b) - 1
+            p = max((q for f, q in (self.predict(tokens[firsts[x]:firsts[y + 1]]), self.predict(tokens[a:b + 1])) if f == family), default=0.0)
+            if p:
+                taken.append((a, b))
+                notices.append([family, x, y, p, template, cover])
+        merged: list[list] = []
+        for one in sorted(notices, key=lambda f: (f[0], f[1], f[2])):  # notices of a family that share a line are one
+            if merged and merged[-1][0] == one[0] and one[1] <= merged[-1][2]:
+                best = max(merged[-1], one, key=lambda f: f[5])
+                merged[-1] = [one[0], merged[-1][1], max(merged[-1][2], one[2]), max(merged[-1][3], one[3]), *best[4:]]
+            else:
+                merged.append(one)
+        return [(f, lines[x][0], lines[y][0] + len(lines[y][1]), p, t, c) for f, x, y, p, t, c in sorted(merged, key=lambda f: (f[1], f[2], f[0]))]
+
+    def _unknown(self, tokens: list[str]) -> float:
+        """Probability of ``unknown``."""
+        return float(_softmax(self._score(tokens)[None])[0, -1])
+
 
 def _softmax(s: np.ndarray) -> np.ndarray:
     e = np.exp(s - s.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
+def _common(a: list[str], b: list[str]) -> tuple[int, int]:
+    """Length of the longest common subsequence, and where in ``b`` the shortest beginning that has one ends."""
     row = [0] * (len(b) + 1)
     for x in a:
         left = 0
@@ -266,7 +325,11 @@ def _common(a: list[str], b: list[str]) -> int:
             up = row[j + 1]
             row[j + 1] = left + 1 if x == y else max(up, row[j])
             left = up
-    return row[-1]
+    return row[-1], row.index(row[-1]) - 1
+
+
+def _fours(tokens: list[str]) -> set[str]:
+    return {" ".join(tokens[i:i + 4]) for i in range(len(tokens) - 3)}
 
 
 def train(docs: DataFrame) -> Model:
@@ -276,9 +339,10 @@ def train(docs: DataFrame) -> Model:
     share = min(1.0, 2 * NEGATIVE_DOCS / max(1, some.count()))
     taken = some.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < share).dropDuplicates(["h"]).collect()
     texts = [r["text"] for r in sorted(taken, key=lambda r: r["h"])][:NEGATIVE_DOCS]
-    lines = sorted({line for t in texts for line in t.split("\n")}, key=lambda s: hashlib.md5(s.encode()).digest())
-    likely = re.compile(r"licen[cs]e|copyright|spdx|public domain|redistribut|permission is", re.I)
-    return Model([w for line in lines if not likely.search(line) and (w := words(line))][:1500])
+    lines = sorted({line for t in texts for p in paragraphs(t) for _, line in p}, key=lambda s: hashlib.md5(s.encode()).digest())
+    # a line of a wrapped notice need not name a licence, but shares a few words in a row with a template
+    part = {g for ts in TEMPLATES.values() for t in ts for g in _fours(words(t))}
+    return Model([w for line in lines if not any(x in line.lower() for x in LIKELY) and (w := words(line)) and part.isdisjoint(_fours(w))][:1500])
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -291,7 +355,8 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
             rows = []
             for t in batch.column(1).to_pylist():
                 found = model.scan(t or "")
-                rows.append((",".join(sorted({f[0] for f in found})), len(found), ",".join(f"{f[0]}:{f[1]}:{f[2]}:{f[3]:.3f}:{f[5]:.3f}" for f in found)))
+                known = [f for f in found if f[0] != UNKNOWN]
+                rows.append((",".join(sorted({f[0] for f in known})), len(known), ",".join(f"{f[0]}:{f[1]}:{f[2]}:{f[3]:.3f}:{f[5]:.3f}" for f in found)))
             cols = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())],
                                              ["doc_id", "licences", "n_paragraphs", "found"])

@@ -220,6 +220,41 @@ def test_licences(docs, odd, texts):
     assert licensescan.scan(docs([])).count() == 0
 
 
+WRAPPED = {
+    "MIT": ("MIT License", "", "Copyright (c) 2020 A. Person", "", "Permission is hereby granted, free of charge, to any person obtaining a copy",
+            "of this software and associated documentation files (the \"Software\"), to deal", "in the Software without restriction, including without limitation the rights",
+            "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"),
+    "BSD": ("Copyright (c) 2020, A. Person", "All rights reserved.", "", "Redistribution and use in source and binary forms, with or without",
+            "modification, are permitted provided that the following conditions are met:", "", "1. Redistributions of source code must retain the above copyright notice"),
+    "GPL": ("This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+            "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."),
+    "LGPL": ("This library is free software; you can redistribute it and/or", "modify it under the terms of the GNU Lesser General Public",
+             "License as published by the Free Software Foundation; either", "version 2.1 of the License, or (at your option) any later version."),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License.",
+                   "You may obtain a copy of the License at", "", "    http://www.apache.org/licenses/LICENSE-2.0")}
+
+
+def test_licences_in_wrapped_paragraphs(spark, docs, sf_small):
+    model = licensescan.train(spark.read.parquet(f"{sf_small}/documents.parquet"))
+    rows, truth = [], {}
+    for family, lines in WRAPPED.items():
+        for prefix, before, after in (("", "", ""), ("# ", "", ""), (" * ", "/*\n", "\n */"), ("// ", "", "\nint main() { return 0; }"), ("", "some words before it\n" * 400, "\nand some after it")):
+            rows.append((len(rows), before + "\n".join(prefix + x for x in lines) + after))
+            truth[len(rows) - 1] = family
+    both = "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0"  # two notices in one paragraph
+    rows += [(100, both), (101, "This is under the Acme house license,\nask the owner.\n\nNothing here."), (102, "\n\n".join(["one", "\n".join(WRAPPED["GPL"]), "two"]))]
+    got = {r["doc_id"]: r for r in licensescan.scan(docs(rows), model).collect()}
+    for d, family in truth.items():
+        assert got[d]["licences"] == family, (rows[d], got[d])
+        named = [f.split(":") for f in got[d]["found"].split(",") if not f.startswith("unknown")]
+        assert len(named) == got[d]["n_paragraphs"] >= 1
+        a, b = map(int, named[0][1:3])
+        assert rows[d][1][a:b].strip("#/* ").startswith(("Permission", "Redistribution", "This", "Licensed")) and "\n" in rows[d][1][a:b]
+    assert got[100]["licences"] == "Apache-2.0,MIT" and got[100]["n_paragraphs"] == 2
+    assert (got[101]["licences"], got[101]["n_paragraphs"]) == ("", 0) and got[101]["found"].startswith("unknown:0:52:")
+    assert got[102]["licences"] == "GPL" and got[102]["found"].startswith("GPL:5:")
+
+
 def test_licence_prefilter_loses_nothing(texts):
     model = licensescan.Model([licensescan.words(t)[:50] for _, t in texts[:50]])
     common = sorted({w for ts in licensescan.TEMPLATES.values() for t in ts for w in licensescan.words(t)} - model.telling)
