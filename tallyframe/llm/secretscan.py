@@ -3,7 +3,8 @@
 Strong parts stand on their own: ``assign`` (a password, secret, token or key being assigned),
 ``access`` (an access key id) and ``hex`` (a long hexadecimal run).  Weak parts are too common to
 report alone: an ``identifier`` (a user, client or account name being assigned), a ``secret`` (a long
-bare token of mixed characters) and an ``endpoint`` (a URL, or a host being assigned).
+token of mixed characters, bare or after ``=``, of any length) and an ``endpoint`` (a URL, or a host
+being assigned).  Names being assigned may follow an underscore, as in ``DB_USER=``.
 
 Linking is an interval join within scopes.  A scope is a section of the text between blank lines.
 Each part is an interval; two parts of complementary roles join if they lie in the same scope and at
@@ -50,10 +51,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_IDENTIFIER = re.compile(r"(?ai:\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key_?id))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})")
+# names may follow an underscore (DB_USER); a token may follow '=' and be of any length
+_IDENTIFIER = re.compile(r"(?ai:(?<![a-z0-9])(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key_?id))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})")
 _IDENTIFIER_WORDS = ("user", "login", "client", "account", "access")
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"(?ai:[a-z][a-z0-9+.-]*://[^\s\"'<>]+|\b(?:end_?point|host(?:_?name)?|server)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9.-]+(?::\d{1,5})?)")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+_ENDPOINT = re.compile(r"(?ai:[a-z][a-z0-9+.-]*://[^\s\"'<>]+|(?<![a-z0-9])(?:end_?point|host(?:_?name)?|server)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9.-]+(?::\d{1,5})?)")
 _ENDPOINT_WORDS = ("://", "endpoint", "end_point", "host", "server")
 _SECTION = re.compile(r"\n[^\S\n]*\n\s*")
 
