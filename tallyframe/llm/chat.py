@@ -12,14 +12,16 @@ rows of a bounded sample of conversations, where the declared role is a known na
 ``TRUST``, not blindly: a misplaced or missing name yields to the sequence.  The best path is found by
 Viterbi, and each row is rendered as one canonical turn per run of lines of one role.
 
-A conversation can be of any length.  Its rows are dealt to blocks of ``BLOCK`` turns.  A first pass
+A conversation can be of any length.  Its rows are dealt to blocks of at most ``BLOCK`` rows: ranges of
+``BLOCK`` turns, and a range with more rows (repeated or tied turns) is sorted by all tasks together and
+cut by position, within a turn too; of equal rows any order gives the same result.  A first pass
 turns each block into the (max, +) product of its steps, a small matrix; the matrices of a
 conversation are chained to give the best state at every block's ends; a second pass solves each
 block between its two known ends.  This is the exact best path, while no task holds more than a block
 of rows, and only matrices are gathered by conversation.
 
 Defined cases: null roles and unknown names are no marker; a null text is one empty line.  Rows with
-the same turn are ordered by role and text; null turns come last, in that order, in blocks by hash.
+the same turn are ordered by role and text; null turns come last, in that order.
 Rows with a null ``conv_id`` form a conversation.  Repeated rows are turns of their own.  An empty
 table gives no rows, as does a table without any row to learn from, which falls back on uniform
 features.  Other columns are not read.
@@ -32,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, ship, written
+from .common import few, runs, ship, written
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Usual speaker names, in lower case, and their roles.
@@ -47,8 +49,11 @@ NAMES = {
 }
 TRUST = 0.97
 BLOCK = 4096
-#: Training bound: about so many conversations, and of each the rows before this turn, are counted.
-TRAIN_CONVERSATIONS, TRAIN_TURNS = 2000, 32
+#: Block of the null turns.
+LAST = (1 << 63) - 1
+#: Training bound: about so many conversations, and of each the rows before this turn, are counted; of
+#: a conversation with more than ``TRAIN_ROWS`` of them (distinct), about so many, chosen by hash.
+TRAIN_CONVERSATIONS, TRAIN_TURNS, TRAIN_ROWS = 2000, 32, 64
 
 _MARKER = re.compile(r"\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*)?\s*([A-Za-z]{1,12})\s*(?:\|>|\]|:\*\*|\*\*:|\*\*|:)\s*")
 _K, _LENGTHS, _ENDS = len(ROLES), 6, 4
@@ -144,12 +149,47 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 
 def train(turns: DataFrame) -> Model:
-    """Count the chain over a bounded share of the conversations, chosen by hash."""
+    """Count the chain over a bounded share of the conversations, and of the rows of long ones, chosen by hash."""
+    rows = sampled(turns).collect()
+    order = lambda r: (r["conv_id"], r["turn"], r["role"] or "", r["text"] or "")
+    return Model([(r["conv_id"], r["role"], r["text"]) for r in sorted(rows, key=order)])
+
+
+def sampled(turns: DataFrame) -> DataFrame:
+    """The distinct rows to train on."""
+    part = lambda h: F.shiftrightunsigned(h, 11) / float(1 << 53)
     known = turns.where(F.col("conv_id").isNotNull() & F.col("turn").between(0, TRAIN_TURNS - 1)).select("conv_id", "turn", "role", "text")
     share = min(1.0, TRAIN_CONVERSATIONS / max(1, known.agg(F.approx_count_distinct("conv_id")).first()[0]))
-    rows = known.where(F.shiftrightunsigned(F.xxhash64("conv_id"), 11) / float(1 << 53) < share).distinct()
-    order = lambda r: (r["conv_id"], r["turn"], r["role"] or "", r["text"] or "")
-    return Model([(r["conv_id"], r["role"], r["text"]) for r in sorted(rows.collect(), key=order)])
+    rows = known.where(part(F.xxhash64("conv_id")) < share)
+    own = F.xxhash64("turn", "role", "text")
+    long = rows.groupBy(F.col("conv_id").alias("of")).agg(F.approx_count_distinct(own).alias("n")).where(F.col("n") > TRAIN_ROWS)
+    both = rows.join(F.broadcast(long), rows["conv_id"] == F.col("of"), "left")  # about TRAIN_CONVERSATIONS rows at most
+    return both.where(F.col("n").isNull() | (part(own) < TRAIN_ROWS / F.col("n"))).select(*known.columns).distinct()
+
+
+def dealt(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``block, sub``, which rise along a conversation and of which at most ``block`` rows are
+    alike; and the conversations (``of``) that have several."""
+    at = F.coalesce(F.floor(F.col("turn") / block).cast("long"), F.lit(LAST))
+    rows = rows.select("conv_id", at.alias("block"), "turn", "role", "text")
+    count = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n")).groupBy(F.col("conv_id").alias("of"))
+    size = count.agg(F.count("*").alias("blocks"), F.collect_list(F.when(F.col("n") > block, F.col("block"))).alias("full"))
+    size = written(size.where((F.col("blocks") > 1) | (F.size("full") > 0)), "chat-long")
+    many, full = size.select("of"), size.select("of", F.explode("full").alias("at"))
+    if full.isEmpty():
+        return rows.withColumn("sub", F.lit(0).cast("long")), many
+    here = rows["conv_id"].eqNullSafe(full["of"]) & (rows["block"] == full["at"])
+    full = few(full)
+    order = [F.col("conv_id").asc_nulls_first(), *_order(), F.col("__n").asc()]
+    tied = rows.join(full, here, "left_semi").withColumn("__n", F.monotonically_increasing_id())  # splits equal rows
+    tied = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("__n")
+    # numbers rise within a partition, and leave a gap of more than a block to the next
+    cut = tied.withColumn("sub", F.floor(F.monotonically_increasing_id() / block).cast("long"))
+    return rows.join(full, here, "left_anti").withColumn("sub", F.lit(0).cast("long")).unionByName(written(cut, "chat-full")), many
+
+
+def _order() -> list[Column]:
+    return [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
 
 
 def parse(turns: DataFrame, model: Model | None = None, block: int = BLOCK) -> DataFrame:
@@ -158,47 +198,44 @@ def parse(turns: DataFrame, model: Model | None = None, block: int = BLOCK) -> D
     conv = F.col("conv_id").cast("long").alias("conv_id")
     rows = turns.select(conv, F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     model = model or train(rows)
-    tie = F.xxhash64("role", "text")
-    of = F.coalesce(F.floor(F.col("turn") / block), F.lit(1 << 53) + F.shiftrightunsigned(tie, 52))
-    rows = rows.select("conv_id", of.cast("long").alias("block"), "turn", "role", "text")
-    order = [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    names, kinds = ["conv_id", "block", "matrix"], [pa.int64(), pa.int64(), pa.list_(pa.float64())]
-    single = rows.groupBy("conv_id").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
-    many = written(single.where("lo <> hi").select(F.col("conv_id").alias("of")), "chat-long")
+    rows, many = dealt(rows, block)
+    keys = ["conv_id", "block", "sub"]
+    rows = rows.select(*keys, "turn", "role", "text")
+    names, kinds = [*keys, "matrix"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per block its product; the first block's steps start the chain instead of continuing it."""
         out = []
-        for run in runs(batches, 2):
-            obs = np.concatenate([observed(r[3], r[4])[0] for r in run])
-            out.append((run[0][0], run[0][1], _entry(model, obs)))
+        for run in runs(batches, 3):
+            obs = np.concatenate([observed(r[4], r[5])[0] for r in run])
+            out.append((*run[0][:3], _entry(model, obs)))
         yield _batch(out, names, kinds)
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for run in runs(batches, 1):
             out += _ends(run)
-        yield _batch(out, ["conv_id", "block", "before", "last"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+        yield _batch(out, [*keys, "before", "last"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
-    long = rows.join(many, rows["conv_id"].eqNullSafe(many["of"]), "left_semi")
-    matrices = long.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", *order).mapInArrow(starts, "conv_id long, block long, matrix array<double>")
-    ends = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(chain, "conv_id long, block long, before int, last int")
-    ends = written(ends, "chat-ends").select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "before", "last")
-    known = rows.join(ends, rows["conv_id"].eqNullSafe(ends["c"]) & (rows["block"] == ends["b"]), "left").drop("c", "b")
-    dealt = known.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", *order)
+    long = rows.join(few(many), rows["conv_id"].eqNullSafe(many["of"]), "left_semi")
+    matrices = long.repartition(*keys).sortWithinPartitions(*keys, *_order()).mapInArrow(starts, "conv_id long, block long, sub long, matrix array<double>")
+    ends = matrices.repartition("conv_id").sortWithinPartitions(*keys).mapInArrow(chain, "conv_id long, block long, sub long, before int, last int")
+    ends = written(ends, "chat-ends").withColumnsRenamed({"conv_id": "c", "block": "b", "sub": "s"})
+    known = rows.join(ends, rows["conv_id"].eqNullSafe(ends["c"]) & (rows["block"] == ends["b"]) & (rows["sub"] == ends["s"]), "left").drop("c", "b", "s")
+    dealt_ = known.repartition(*keys).sortWithinPartitions(*keys, *_order())
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [c.split()[0] for c in OUT.split(", ")]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
         out = []
-        for run in runs(batches, 2):
+        for run in runs(batches, 3):
             out += _turns(model, run)
             if len(out) >= 2000:
                 yield _batch(out, cols, types)
                 out = []
         yield _batch(out, cols, types)
 
-    return dealt.mapInArrow(solve, OUT)
+    return dealt_.mapInArrow(solve, OUT)
 
 
 def _entry(model: Model, obs: np.ndarray) -> list[float]:
@@ -213,8 +250,8 @@ def _entry(model: Model, obs: np.ndarray) -> list[float]:
 
 def _ends(run: list[tuple]) -> list[tuple]:
     """The best states at the ends of the blocks of one conversation."""
-    score, back = np.array(run[0][2][_K * _K:]), []
-    for _, _, flat in run[1:]:
+    score, back = np.array(run[0][3][_K * _K:]), []
+    for *_, flat in run[1:]:
         every = score[:, None] + np.array(flat[:_K * _K]).reshape(_K, _K)
         back.append(every.argmax(axis=0))
         score = every.max(axis=0)
@@ -222,14 +259,14 @@ def _ends(run: list[tuple]) -> list[tuple]:
     for b in reversed(back):
         last.append(int(b[last[-1]]))
     last.reverse()
-    return [(r[0], r[1], last[i - 1] if i else None, last[i]) for i, r in enumerate(run)]
+    return [(*r[:3], last[i - 1] if i else None, last[i]) for i, r in enumerate(run)]
 
 
 def _turns(model: Model, run: list[tuple]) -> list[tuple]:
-    seen = [observed(r[3], r[4]) for r in run]
-    states = model.path(np.concatenate([s[0] for s in seen]), run[0][5], run[0][6])
+    seen = [observed(r[4], r[5]) for r in run]
+    states = model.path(np.concatenate([s[0] for s in seen]), run[0][6], run[0][7])
     out, at = [], 0
-    for (conv, _, turn, *_), (obs, skip, lines) in zip(run, seen, strict=True):
+    for (conv, _, _, turn, *_), (obs, skip, lines) in zip(run, seen, strict=True):
         own = states[at:at + len(lines)]
         at += len(lines)
         first, part = 0, 0

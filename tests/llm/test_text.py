@@ -331,3 +331,28 @@ def test_chat_roles_and_odd_rows(spark):
     out = chat.parse(odd).collect()
     assert len(out) == 7 and [r["role"] for r in sorted((r for r in out if r["conv_id"] == 2), key=lambda r: r["part"])] == ["user", "assistant"]
     assert chat.parse(turns(spark, [])).count() == 0
+
+
+def test_chat_blocks_hold_few_rows(spark):
+    rng = random.Random(14)
+    said = ["hello there", "why?", "User: hi\nAssistant: yes, indeed.", "", "a\nb", None]
+    rows = [(rng.choice([None, None, 5, 5, n]), rng.choice([None, *range(4)]), rng.choice(["user", "assistant", None]), rng.choice([*said, f"row {n}"])) for n in range(900)]
+    rows += [(7, 3, "user", "same")] * 300  # equal rows are split too
+    frame = turns(spark, rows)
+    model = chat.train(frame)
+    for block in (20, 128):
+        found, many = chat.dealt(frame, block)
+        assert found.count() == len(rows) and found.groupBy("conv_id", "block", "sub").count().agg({"count": "max"}).first()[0] <= block
+        assert {r["of"] for r in many.collect()} >= {None, 5, 7}
+        ranks = sorted((r for r in found.collect() if r["conv_id"] is None), key=lambda r: (r["block"], r["sub"]))
+        assert [r["turn"] is None for r in ranks] == sorted(r["turn"] is None for r in ranks)
+    whole = chat.parse(frame, model, block=10_000)
+    for block in (1, 20, 128):
+        got = chat.parse(frame, model, block=block)
+        assert got.count() == whole.count() and got.exceptAll(whole).count() == 0
+
+
+def test_chat_trains_on_few_rows(spark):
+    rows = [(1, n % 32, "user", f"row {n}") for n in range(20_000)] + [(2, n, "user", "x") for n in range(40)]
+    got = Counter(r["conv_id"] for r in chat.sampled(turns(spark, rows)).collect())
+    assert got[2] == 32 and 20 <= got[1] <= 3 * chat.TRAIN_ROWS
