@@ -6,8 +6,9 @@ character 1- to 4-grams of the lower-cased letters, with word ends, as relative
 whole text, scaled by the root of their mean frequency.  All models are linear in them, so a text is
 scored in one pass over its characters, whatever its length.
 
-The models learn from a bounded sample: about ``PER_LANGUAGE`` labelled documents of each language, of
-at most ``MAX_CHARS`` characters, chosen by hash.  Nothing but text and language is used.  Margins of
+The models learn from a bounded sample: about ``PER_LANGUAGE`` distinct labelled texts of each language,
+chosen by hash; of a text of more than ``MAX_CHARS`` characters, so many from a place given by the hash.
+Nothing but text and language is used.  Margins of
 the support vector machines become probabilities by Platt's sigmoid, fitted on a fifth of the
 sample that they did not learn from.  The score is P(family) x the mean pairwise P(language).
 
@@ -239,14 +240,18 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, may_learn: Column | None = None, per_language: int = PER_LANGUAGE) -> Model:
     """Fit the models on labelled rows that satisfy ``may_learn``."""
     rows = docs if may_learn is None else docs.where(may_learn)
-    rows = rows.where("lang is not null").where(F.length("text").between(1, MAX_CHARS)).select("text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    rows = rows.where("lang is not null").where(F.length("text") > 0).select("text", F.col("lang").cast("string").alias("lang"))
+    h = F.xxhash64("text", "lang")
+    rows = rows.select("text", "lang", h.alias("h"))
+    # distinct texts, so that copies do not lessen the share; one row a language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return Model([], [])
     # twice what is needed on the average, so that the sample rarely falls short of its size
-    limit = F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, min(1.0, 2 * per_language / n))])
-    h = F.xxhash64("text", "lang")
-    some = rows.where(F.shiftrightunsigned(h, 11) / float(1 << 53) < limit[F.col("lang")]).select("text", "lang", h.alias("h"))
+    limit = F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, min(1.0, 2 * per_language / max(1, n)))])
+    over = F.length("text") - MAX_CHARS
+    part = F.when(over > 0, F.col("text").substr((F.pmod("h", over + 1) + 1).cast("int"), F.lit(MAX_CHARS))).otherwise(F.col("text"))
+    some = rows.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < limit[F.col("lang")]).select(part.alias("text"), "lang", "h")
     got = sorted(some.dropDuplicates(["h"]).collect(), key=lambda r: r["h"] ^ 0x5DEECE66D)
     taken: dict[str, list] = {}
     for r in got:

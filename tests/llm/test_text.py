@@ -88,6 +88,18 @@ def test_language(spark, docs, odd):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.train(docs([(1, "a b c", "en")]))).collect()} == {"und", "en"}
 
 
+def test_language_learns_from_copies_and_long_texts(docs, monkeypatch):
+    monkeypatch.setattr(langid, "Model", lambda texts, langs: (texts, langs))
+    long = ["".join(f"wort{(i * 7 + j) % 991} " for j in range(4000)) for i in range(5)]
+    rows = [(i, f"the text number {i}", "en") for i in range(400)] + [(1000 + i, "copied all over", "en") for i in range(8000)]
+    rows += [(10_000 + i, t, "de") for i, t in enumerate(long)] + [(20_000, "", "fr")]
+    texts, langs = langid.train(docs(rows))
+    learned = Counter(langs)
+    assert learned["en"] == langid.PER_LANGUAGE and len(set(texts)) == len(texts) and learned["de"] == 5 and set(learned) == {"en", "de"}
+    own = [t for t, c in zip(texts, langs, strict=True) if c == "de"]
+    assert all(len(t) == langid.MAX_CHARS and any(t in x for x in long) for t in own) and sum(x.startswith(t) for t, x in zip(sorted(own), sorted(long), strict=True)) < 5
+
+
 def base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
