@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exactdedup, infilling, langid, licensescan, linededup, packing, quality, secretscan, sentencepieces, simhash, suffixdedup
+from . import (
+    alignment, chat, exactdedup, infilling, langid, licensescan, linededup, packing, quality, secretscan, sentencepieces, simhash, suffixdedup)
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,8 +68,12 @@ def op12_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(documents(spark, sf_dir))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_langid, op2_linededup, op3_packing, op4_sentencepiece, op5_chat, op6_quality, op7_exactdedup, op8_secrets, op9_licenses, op10_simhash,
-    op11_infilling, op12_suffixdedup)}
+    op11_infilling, op12_suffixdedup, op13_alignment)}
 
 ORACLE: dict[str, str] = {"op6_quality": quality.ORACLE, "op7_exactdedup": exactdedup.ORACLE, "op11_infilling": infilling.ORACLE}

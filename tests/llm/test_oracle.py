@@ -21,7 +21,8 @@ COLUMNS = {
     "op8_secrets": "doc_id n_assign n_access n_hex base_sha256 spans n_linked", "op9_licenses": "doc_id licences n_paragraphs found",
     "op10_simhash": "doc_id fingerprint component_id",
     "op11_infilling": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
-    "op12_suffixdedup": "doc_id n_bytes n_removed n_spans kept_sha256"}
+    "op12_suffixdedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op13_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256"}
 
 
 @pytest.mark.parametrize("key", sorted(COLUMNS))
