@@ -11,8 +11,8 @@ same result.  A text over ``LONG`` bytes is cut into ranges of that size, anywhe
 and groups; the ranges go to different tasks with the bytes of the segments that they cut through, and are
 reduced ``FAN`` at a time, in rounds of shuffles, until one fragment is left.
 
-Tokens are made by the libraries, for the distinct segments (see :mod:`segments`) of a block of an
-Arrow batch; one whole text per block is checked against the libraries.
+Tokens are made by the libraries, for the distinct segments (see :mod:`segments`) that a worker has not
+met lately; one whole text per block is checked against the libraries.
 
 A pair of ids counts once per document that links it.  Counts and each A id's highest one are
 aggregated over all documents; see :func:`scored`.
@@ -25,7 +25,6 @@ are not read, whatever their names.
 
 from __future__ import annotations
 
-import os
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -35,55 +34,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytelevel import ByteLevel, ids_of
 from .common import ROW, few, runs, ship, with_row, written
-from .segments import Segmented, blocks_of, cuts, flat, gathered, text_buffer
+from .segments import Segmented, blocks_of, cuts, gathered, text_buffer
 
 MARK = "▁"
 #: Texts of more bytes than this are cut into ranges.
 LONG = 1 << 16
 #: Fragments that are composed in one task of a round.
 FAN = 16
+#: Bytes of texts that are cut into segments at a time.
+BLOCK = 1 << 21
+#: Bytes of segments, with what is known of them, that a worker keeps from block to block.
+WORDS = 100_000_000
 #: A pair of ids in one number.
 SHIFT = 20
 
-_pairs: dict[tuple[str, str], Tokenizers] = {}  # one per worker and files
+_lexicons: dict[tuple[str, str], Lexicon] = {}  # one per worker and files
 
 
 class Tokenizers:
     """The two libraries, and the bytes of their tokens."""
 
     def __init__(self, a: str, b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a)
-        self.a.encode_special_tokens = True
+        self.a = ByteLevel(a, special_is_text=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
-        n = self.a.get_vocab_size()
-        if max(n, self.b.get_piece_size()) >= 1 << SHIFT:
-            raise ValueError("vocabularies of more ids than a pair can hold")
-        byte = _byte_of_char()
-        self.a_bytes = [bytes(byte[c] for c in t) if (t := self.a.id_to_token(i)) and all(c in byte for c in t) else b"" for i in range(n)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        if max(len(self.a.bytes), len(pieces)) >= 1 << SHIFT:
+            raise ValueError("vocabularies of more ids than a pair can hold")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.b_size = np.array([len(t) for t in self.b_bytes], np.int64)
         self.mark = self.b.piece_to_id(MARK)
 
-    def ids(self, segments: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of segments that start with a space or a line end; the piece library adds the space itself."""
-        texts = [s.decode() for s in segments]
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        # a segment after a line end has no space before it
-        return a, [ids[1:] if t[0] != " " and ids[0] == self.mark else ids for t, ids in zip(texts, b, strict=True)]
+    def _b_whole(self, text: str) -> list[int]:
+        """Ids of a text that starts with a space, which the library adds itself, or with a line end, which has none before it."""
+        ids = self.b.encode(text[1:] if text[0] == " " else text)
+        return ids[1:] if text[0] != " " and ids[0] == self.mark else ids
 
-
-def _byte_of_char() -> dict[str, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(rest)}
+    def ids(self, segments: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Ids of segments that start with a space or a line end, by A and by B, each end to end with offsets."""
+        return self.a.ids(segments), ids_of(segments, self._b_whole, lambda each: [self._b_whole(s.decode()) for s in each], self.b_size)
 
 
 @dataclass
@@ -176,17 +168,20 @@ class _Aligned:
 
     @classmethod
     def of(cls, tok: Tokenizers, segments: list[bytes]) -> _Aligned:
-        ids_a, ids_b = tok.ids(segments)
-        good = []
-        for n, s in enumerate(segments):
-            good.append(b"".join([tok.a_bytes[i] for i in ids_a[n]]) == s and b"".join([tok.b_bytes[i] for i in ids_b[n]]) == s)
-            if not good[-1]:
-                ids_a[n], ids_b[n] = [], []
-        (a, _), (b, _) = flat(ids_a), flat(ids_b)
-        a_end, b_end = np.cumsum(tok.a_size[a]), np.cumsum(tok.b_size[b])
-        ok = np.array(good, bool)
+        (a, first_a), (b, first_b) = tok.ids(segments)
+        ok = np.ones(len(segments), bool)
+        if not (_spell(tok.a.bytes, a) == _spell(tok.b_bytes, b) == b"".join(segments)):
+            for n, s in enumerate(segments):
+                ok[n] = _spell(tok.a.bytes, a[first_a[n]:first_a[n + 1]]) == _spell(tok.b_bytes, b[first_b[n]:first_b[n + 1]]) == s
+            a, b = a[np.repeat(ok, np.diff(first_a))], b[np.repeat(ok, np.diff(first_b))]
+        a_end, b_end = np.cumsum(tok.a.size[a]), np.cumsum(tok.b_size[b])
         size = np.fromiter(map(len, segments), np.int64, len(segments)) * ok
-        return cls(segments, a, b, a_end, b_end, np.intersect1d(a_end, b_end), np.cumsum(size), ok)
+        common = a_end[b_end[np.minimum(np.searchsorted(b_end, a_end), max(0, len(b_end) - 1))] == a_end] if len(b_end) else a_end[:0]
+        return cls(segments, a, b, a_end, b_end, common, np.cumsum(size), ok)
+
+
+def _spell(tokens: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
 
 
 def _text(ids_a: np.ndarray, ids_b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, n: int) -> list[str]:
@@ -226,65 +221,97 @@ def _batch(names: str, cols: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, [n for n, _ in fields])
 
 
-def _tokenizers(paths: tuple[str, str]) -> Tokenizers:
-    if paths not in _pairs:
-        _pairs[paths] = Tokenizers(*paths)
-    return _pairs[paths]
+class Lexicon:
+    """Segments that a worker has met, aligned: counts, groups as text and pairs of each, by number.
+
+    It is emptied after a block that makes it larger than ``WORDS`` bytes, so memory is bounded whatever the segments.
+    """
+
+    def __init__(self, tok: Tokenizers):
+        self.tok = tok
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.text: list[str] = []
+        self.ok = np.empty(0, bool)
+        self.per = np.empty((4, 0), np.int64)  # tokens of A and of B, groups, links
+        self.first = np.zeros(1, np.int64)
+        self.pair, self.many = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.size = 0
+
+    def numbers(self, segments: list[bytes]) -> np.ndarray:
+        new = [s for s in segments if s not in self.number]
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.number.__getitem__, segments), np.int64, len(segments))
+
+    def _add(self, new: list[bytes]) -> None:
+        found = _Aligned.of(self.tok, new)
+        n = len(found.common)
+        of_a, of_b = np.searchsorted(found.common, found.a_end), np.searchsorted(found.common, found.b_end)
+        # groups never reach over a segment's end
+        groups = np.searchsorted(found.common, np.concatenate([[0], found.ends]), "right")
+        text = _text(found.a, found.b, of_a, of_b, n)
+        group, pair, many = _links(found.a, found.b, of_a, of_b, n)
+        first = np.searchsorted(group, groups)
+        per = [*(np.diff(np.searchsorted(of, groups)) for of in (of_a, of_b)), np.diff(groups), np.diff(np.concatenate([[0], np.cumsum(many)])[first])]
+        self.number.update(zip(new, range(len(self.text), len(self.text) + len(new)), strict=True))
+        self.text += [";".join(text[x:y]) for x, y in zip(groups.tolist(), groups[1:].tolist(), strict=False)]
+        self.ok = np.append(self.ok, found.ok)
+        self.per = np.concatenate([self.per, per], axis=1)
+        self.first = np.append(self.first, self.first[-1] + first[1:])
+        self.pair, self.many = np.append(self.pair, pair), np.append(self.many, many)
+        self.size += sum(map(len, new)) + sum(map(len, self.text[-len(new):])) + 16 * len(pair) + 250 * len(new)
+
+
+def _lexicon(paths: tuple[str, str]) -> Lexicon:
+    if paths not in _lexicons:
+        _lexicons[paths] = Lexicon(Tokenizers(*paths))
+    return _lexicons[paths]
 
 
 def _short(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     """Whole texts (with a space in front), all segments of a block at once."""
-    tok = _tokenizers(paths)
+    words = _lexicon(paths)
     for batch in batches:
         data, bounds = text_buffer(batch.column(1))
-        for first, last in blocks_of(bounds):
-            texts = Segmented(data[bounds[first]:bounds[last]], bounds[first:last + 1])
-            found = _Aligned.of(tok, texts.distinct)
-            n = len(found.common)
-            of_a, of_b = np.searchsorted(found.common, found.a_end), np.searchsorted(found.common, found.b_end)
-            # groups never reach over a segment's end
-            groups = np.searchsorted(found.common, np.concatenate([[0], found.ends]), "right")
-            text = _text(found.a, found.b, of_a, of_b, n)
-            text = [";".join(text[x:y]) for x, y in zip(groups.tolist(), groups[1:].tolist(), strict=False)]
-            group, pair, many = _links(found.a, found.b, of_a, of_b, n)
-            pair_at = np.searchsorted(group, groups)
-            per_a, per_b = (np.diff(np.searchsorted(of, groups)) for of in (of_a, of_b))
-            per_links = np.diff(np.concatenate([[0], np.cumsum(many)])[pair_at])
-            per = [per_a, per_b, np.diff(groups), per_links]
-
-            doc = np.repeat(np.arange(last - first), np.diff(texts.first))
-            bad = np.bincount(doc, ~found.ok[texts.codes], last - first) > 0
-            bad |= np.diff(texts.first) == 0
-            sums = [np.bincount(doc, x[texts.codes], last - first).astype(np.int64) * ~bad for x in per]
-            # distinct segments of a text, then distinct pairs
-            key, times = np.unique(doc * len(texts.distinct) + texts.codes, return_counts=True)
-            d, code = key // max(1, len(texts.distinct)), key % max(1, len(texts.distinct))
-            index, at = gathered(np.arange(len(pair)), pair_at, code)
-            size = np.diff(at)
-            d, n_links, pairs = np.repeat(d, size), np.repeat(times, size) * many[index], pair[index]
-            use = ~bad[d]
-            d, n_links, pairs = d[use], n_links[use], pairs[use]
-            order = np.lexsort((pairs, d))
-            d, n_links, pairs = d[order], n_links[order], pairs[order]
-            new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (pairs[1:] != pairs[:-1])
-            start = np.flatnonzero(new)
-            lists = pa.array(np.searchsorted(d[start], np.arange(last - first + 1)), pa.int32())
-            summed = np.add.reduceat(n_links, start) if len(start) else n_links
-            strings = [None if bad[i] else ";".join([text[c] for c in texts.codes[x:y].tolist()])
-                       for i, (x, y) in enumerate(zip(texts.first.tolist(), texts.first[1:].tolist(), strict=False))]
-            if last > first and not bad[0]:
-                _check(tok, data[bounds[first]:bounds[first + 1]].tobytes(), strings[0])
-            yield _batch(_DONE, [batch.column(0).slice(first, last - first), ~bad, *sums, strings,
-                                 pa.ListArray.from_arrays(lists, pa.array(pairs[start], pa.int64())),
-                                 pa.ListArray.from_arrays(lists, pa.array(summed, pa.int64()))])
+        for first, last in blocks_of(bounds, BLOCK):
+            texts, n = Segmented(data[bounds[first]:bounds[last]], bounds[first:last + 1]), last - first
+            codes = words.numbers(texts.distinct)[texts.codes]
+            doc = np.repeat(np.arange(n), np.diff(texts.first))
+            bad = (np.bincount(doc, ~words.ok[codes], n) > 0) | (np.diff(texts.first) == 0)
+            sums = [np.bincount(doc, x[codes], n).astype(np.int64) * ~bad for x in words.per]
+            # distinct segments of a text, then its distinct pairs
+            key, times = np.unique(doc * len(words.text) + codes, return_counts=True)
+            d, code = key // len(words.text), key % len(words.text)
+            index, at = gathered(np.arange(len(words.pair)), words.first, code)
+            key = np.repeat(d, np.diff(at)) << 2 * SHIFT | words.pair[index]
+            many = np.repeat(times, np.diff(at)) * words.many[index]
+            use = ~bad[key >> 2 * SHIFT]
+            key, many = key[use], many[use]
+            order = np.argsort(key)
+            key, many = key[order], many[order]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+            many = np.add.reduceat(many, start) if len(start) else many
+            key = key[start]
+            lists = pa.array(np.searchsorted(key >> 2 * SHIFT, np.arange(n + 1)), pa.int32())
+            flat_codes, at = codes.tolist(), texts.first.tolist()
+            strings = [None if bad[i] else ";".join(map(words.text.__getitem__, flat_codes[at[i]:at[i + 1]])) for i in range(n)]
+            if not bad[0]:
+                _check(words.tok, data[bounds[first]:bounds[first + 1]].tobytes(), strings[0])
+            yield _batch(_DONE, [batch.column(0).slice(first, n), ~bad, *sums, strings,
+                                 pa.ListArray.from_arrays(lists, pa.array(key & (1 << 2 * SHIFT) - 1, pa.int64())),
+                                 pa.ListArray.from_arrays(lists, pa.array(many, pa.int64()))])
+            if words.size > WORDS:
+                words.clear()
 
 
 def _check(tok: Tokenizers, text: bytes, groups: str) -> None:
     """Compare the tokens of a text that is shown as ``groups`` with the libraries' for the whole text."""
     whole = text.decode()
     halves = [g.split("|") for g in groups.split(";")]
-    for side, ids in ((0, tok.a.encode(whole, add_special_tokens=False).ids), (1, tok.b.encode(whole[1:]))):
+    for side, ids in ((0, tok.a.whole(whole)), (1, tok.b.encode(whole[1:]))):
         if ",".join(h[side] for h in halves) != ",".join(map(str, ids)):
             raise AssertionError(f"the libraries split {whole[:200]!r} differently")
 
@@ -346,7 +373,7 @@ def _fragment_of(r: tuple) -> Fragment:
 
 
 def _fragments(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
-    tok = _tokenizers(paths)
+    tok = _lexicon(paths).tok
     for batch in batches:
         for row, part, low, high, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             yield _batch(_OPEN, [[x] for x in _row(row, part, fragment(tok, raw, low, high))])

@@ -9,7 +9,7 @@ kept from batch to batch and memory is bounded by the block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,18 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return at[((before == _GRAPH) | wide) & ((after == _GRAPH) | (after == _LEAD))]
 
 
+def word_ends(data: np.ndarray) -> np.ndarray:
+    """Offsets in ``data`` where a word (of ASCII letters and digits) ends and a mark other than an apostrophe follows.
+
+    A byte-level pre-tokeniser ends a token there, a piece vocabulary need not.
+    """
+    return np.flatnonzero(_WORD[data[:-1]] & _POINT[data[1:]]) + 1
+
+
+_WORD = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+_POINT = np.array([0x20 < b < 0x7F and not _WORD[b] and b != 0x27 for b in range(256)])
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column (null: empty) and the offsets of its texts in them."""
     column = column.cast(pa.large_binary())
@@ -55,15 +67,18 @@ def blocks_of(bounds: np.ndarray, most: int = 8_000_000) -> Iterator[tuple[int,
 class Segmented:
     """Texts, given by ``data`` and ``bounds``, as numbers of ``distinct`` segments.
 
-    ``codes[first[i]:first[i + 1]]`` are the segments of text i.
+    ``codes[first[i]:first[i + 1]]`` are the segments of text i.  ``fine``: segments end at :func:`word_ends` too.
     """
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, fine: bool = False):
         bounds = bounds - bounds[0]
-        inner = cuts(data)
-        texts = bounds[:-1][bounds[1:] > bounds[:-1]]
-        starts = np.union1d(inner, texts)
-        at = np.append(starts, len(data)).astype(np.int64)
+        start = np.zeros(len(data) + 1, bool)
+        start[cuts(data)] = True
+        if fine:
+            start[word_ends(data)] = True
+        start[bounds] = True
+        at = np.flatnonzero(start)
+        starts = at[:-1]
         array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
         encoded = array.dictionary_encode()
         self.distinct: list[bytes] = encoded.dictionary.to_pylist()
@@ -79,8 +94,31 @@ def gathered(values: np.ndarray, first: np.ndarray, codes: np.ndarray) -> tuple[
     return values[index], at
 
 
-def flat(lists: list[list[int]], dtype=np.int64) -> tuple[np.ndarray, np.ndarray]:
-    """``lists`` end to end and their offsets."""
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    values = np.fromiter((x for part in lists for x in part), dtype, int(size.sum()))
-    return values, np.concatenate([[0], np.cumsum(size)])
+class SegmentIds:
+    """Ids of the segments that a worker has met: those of segment n are ``values[first[n]:first[n + 1]]``.
+
+    Emptied by :meth:`trim` when it holds more than ``most`` bytes, whatever the segments' lengths.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int):
+        self.encode, self.most = encode, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.values, self.first, self.size = np.empty(0, np.uint32), np.zeros(1, np.int64), 0
+
+    def of(self, texts: Segmented) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the offsets of the texts in them."""
+        if new := [s for s in texts.distinct if s not in self.number]:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            values, first = self.encode(new)
+            self.values, self.first = np.append(self.values, values.astype(np.uint32)), np.append(self.first, self.first[-1] + first[1:])
+            self.size += sum(map(len, new)) + 4 * len(values) + 200 * len(new)
+        codes = np.fromiter(map(self.number.__getitem__, texts.distinct), np.int64, len(texts.distinct))[texts.codes]
+        ids, at = gathered(self.values, self.first, codes)
+        return ids, at[texts.first]
+
+    def trim(self) -> None:
+        if self.size > self.most:
+            self.clear()

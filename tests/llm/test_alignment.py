@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from tallyframe.llm import alignment
+from tallyframe.llm import alignment, bytelevel
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -26,7 +26,7 @@ def plain_groups(text):
     a_tok = Tokenizer.from_file(A)
     a_tok.encode_special_tokens = True
     b_tok = sentencepiece.SentencePieceProcessor(model_file=B)
-    byte = alignment._byte_of_char()
+    byte = bytelevel.alphabet()
     a = [(i, bytes(byte[c] for c in a_tok.id_to_token(i))) for i in a_tok.encode(" " + text, add_special_tokens=False).ids]
     b = [(i, bytes([int(p[3:5], 16)]) if b_tok.is_byte(i) else p.replace("▁", " ").encode()) for i in b_tok.encode(text) for p in [b_tok.id_to_piece(i)]]
     raw = (" " + text).encode()
