@@ -19,69 +19,56 @@ values are packed row by row.  An empty table gives no rows.  Other columns are
 from __future__ import annotations
 
 import bisect
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .bytelevel import ByteLevel
 from .common import ship
-from .wordcache import SegmentCache, blocks, key_of, plain_keys
+from .segments import SegmentIds, Segmented, blocks_of, text_buffer
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-#: Segments kept per worker, about 200 bytes each.
-CACHE = 500_000
+#: Bytes of segments and their ids that a worker keeps.
+KEPT = 100_000_000
+#: Bytes of texts that are cut into segments at a time.
+BLOCK = 1 << 22
 #: Short pieces a task holds before it packs them.
 BUFFER = 4096
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, tier int, step_id long")
 
-_SEGMENT = re.compile(r"\s*\S+|\s+")
-#: Separators that only Python counts as white space.
-_ODD = re.compile("[\x1c-\x1f]")
 _encoders: dict[str, _Encoder] = {}  # one per worker and vocabulary file
 
 
 class _Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes.
+    """Token ids of whole texts as little-endian 32-bit bytes, from those of their segments.
 
-    The tokeniser's pre-tokens never reach from a non-space into a following space, so a text's ids
-    are those of its segments (white space, then a word).  Texts with special-token strings or odd
-    separators are encoded in one go.
+    One whole text per block is compared with the library's ids.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([_ODD.pattern, *special]))
-        self.cache = SegmentCache(self.ids, CACHE)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        import array
-
-        return [array.array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def keys(self, text: str) -> list[str]:
-        if self.whole.search(text):
-            return []
-        if (keys := plain_keys(text)) is None:
-            return [key_of(s) for s in _SEGMENT.findall(text)]
-        keys[0] = key_of(keys[0])
-        return keys
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for a, b in blocks(texts):
-            part = texts[a:b]
-            for t, values in zip(part, self.cache.lookup([self.keys(t) for t in part]), strict=True):
-                yield b"".join(values) if values or not t else self.ids([t])[0]
+        self.tok = ByteLevel(path, special_is_text=False)
+        self.known = SegmentIds(self.tok.ids, KEPT)
+
+    def encode(self, column: pa.Array) -> Iterator[bytes]:
+        data, bounds = text_buffer(column)
+        for a, b in blocks_of(bounds, BLOCK):
+            part = data[bounds[a]:bounds[b]]
+            plain = not any(t in part.tobytes() for t in self.tok.added)
+            ids, at = self.known.of(Segmented(part, bounds[a:b + 1], fine=plain))
+            raw, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
+            whole = data[bounds[a]:bounds[a + 1]].tobytes().decode()
+            if raw[:at[1]] != np.array(self.tok.whole(whole), "<u4").tobytes():
+                raise AssertionError(f"the library splits {whole[:200]!r} differently")
+            for x, y in zip(at, at[1:], strict=False):
+                yield raw[x:y]
+            self.known.trim()
 
 
 class _Packer:
@@ -167,8 +154,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, tiers: tuple[int, ...],
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for doc_id, ids in zip(batch.column(0).to_pylist(), _encoders[path].encode(texts), strict=True):
+        for doc_id, ids in zip(batch.column(0).to_pylist(), _encoders[path].encode(batch.column(1)), strict=True):
             packer.add(doc_id, ids + end)
             if len(packer.out) >= 20_000:
                 yield rows()
