@@ -220,3 +220,14 @@ def eav_count(df: DataFrame, entity: str, value: str, anchor: Column, other: Col
     a = df.where(anchor).select(F.col(entity).alias("__e"), F.col(value).alias(anchor_name))
     return (a.join(per_entity, F.col("__e") == F.col("__o"), "left")
             .groupBy(anchor_name).agg(F.sum(F.coalesce(F.col("__n"), F.lit(0))).alias(count_name)))
+
+
+def join_codes(left: DataFrame, right: DataFrame, left_code: str, right_code: str, how: str = "inner",
+               collation: str = "UTF8_LCASE_RTRIM") -> DataFrame:
+    """Join on code columns as a case-insensitive, blank-padding server collation compares them.
+
+    Both columns are compared under ``collation`` and stay as they are in the result; a code column that was
+    loaded with that collation (``normalise_codes``) needs no cast.  It remains a hash-partitioned equi-join.
+    """
+    a, b = (F.collate(F.col(c), collation) for c in (left_code, right_code))
+    return left.join(right, a == b, how)

@@ -22,7 +22,7 @@ from tallyframe.operators.joins import (band_lookup, branch_parents, eav_count,
                                         nested_join)
 from tallyframe.sources.domain import Domain
 
-def _memo(fn, keep: bool = False):
+def _memo(fn, keep: bool = False, by: str | None = None):
     """Memoise a dataset per (register views, arguments): DataFrames are immutable plans, so a
     dataset used by several reports (or several times in one report) is built once, and Spark sees
     identical subtrees whose shuffles it can reuse.  ``tallyframe.refresh`` forgets it."""
@@ -33,7 +33,7 @@ def _memo(fn, keep: bool = False):
         if key not in cache:
             df = fn(d, *args, **kwargs)
             if keep:
-                df = d.keep(f"{fn.__name__}-{hashlib.sha256(repr(key).encode()).hexdigest()[:12]}", df)
+                df = d.keep(f"{fn.__name__}-{hashlib.sha256(repr(key).encode()).hexdigest()[:12]}", df, by)
             cache[key] = df
         return cache[key]
     wrapper.__name__ = fn.__name__
@@ -42,6 +42,11 @@ def _memo(fn, keep: bool = False):
     return wrapper
 
 
+def _kept_by(key: str):
+    """As :func:`_kept`, in buckets of the column that reports join and aggregate on."""
+    return lambda fn: _memo(fn, keep=True, by=key)
+
+
 def _kept(fn):
     """Memoise, and write the dataset to the domain's store on first use: for datasets that a report
     reads more than once (per-key totals, skew-safe joins) or that several reports share.  Their joins
@@ -159,7 +164,7 @@ def shared_parents(d: Domain, as_of) -> DataFrame:
                  dec_avg("number_of_collections").alias("avg_frequency")))
 
 
-@_kept
+@_kept_by("parent_property_key")
 def shared_child_rates(d: Domain, as_of) -> DataFrame:
     """Child properties with their current DWM rates and the number of rated children per parent."""
     cp = d.property.select("parent_property_key", "property_key", "parent_property_tpklpaprop",
@@ -211,16 +216,23 @@ def task_counts(d: Domain, task_type: str, name: str) -> DataFrame:
             .groupBy("propertykey").agg(F.count("propertykey").alias(name)))
 
 
+@_memo
+def task_counts_by_type(d: Domain, **types: str) -> DataFrame:
+    """In-progress CRM tasks per property, one column per type (null: none), from one pass over the tasks."""
+    oti = d.onecrm_task_information
+    open_ = oti.where((F.col("taskstatus") == "In Progress") & F.col("tasktype").isin(*types.values()))
+    return open_.groupBy("propertykey").agg(*[
+        F.nullif(F.count(F.when(F.col("tasktype") == t, F.col("propertykey"))), F.lit(0)).alias(name) for name, t in types.items()])
+
+
 def attach_crm_counts(df: DataFrame, d: Domain, key: str) -> DataFrame:
     """Left-join the three CRM counts on a register id column ``key``."""
     req = request_counts(d).select(F.col("propertykey").alias("__req_key"), "number_bin_requests")
-    rt = task_counts(d, TASK_RATES_IMPACT, "number_rates_impact").withColumnRenamed(
-        "propertykey", "__rt_key")
-    cw = task_counts(d, TASK_CW_IMPACT, "number_cw_impact").withColumnRenamed("propertykey", "__cw_key")
+    tasks = task_counts_by_type(d, number_rates_impact=TASK_RATES_IMPACT, number_cw_impact=TASK_CW_IMPACT)
+    tasks = tasks.withColumnRenamed("propertykey", "__task_key")
     out = join_text_key(df, req, "__req_key", key)
-    out = out.join(rt, F.col(key) == F.col("__rt_key"), "left")
-    out = out.join(cw, F.col(key) == F.col("__cw_key"), "left")
-    return out.drop("__req_key", "__rt_key", "__cw_key")
+    out = out.join(tasks, F.col(key) == F.col("__task_key"), "left")
+    return out.drop("__req_key", "__task_key")
 
 
 # ============================================================================ contacts
@@ -365,7 +377,7 @@ def m_child_rates_totals(d: Domain, as_of) -> DataFrame:
     return g.withColumnRenamed("parent_property_key", "property_key")
 
 
-@_kept
+@_kept_by("property_key")
 def m_rates_with_assessment(d: Domain, as_of) -> DataFrame:
     """Current DWM rates other than N0000UA with their assessment, shared by the three audits."""
     rtf = d.rate_type_facts
@@ -386,7 +398,7 @@ def m_sud_rates(d: Domain, as_of) -> DataFrame:
         "property_key", "ratetype", "assessment", "vgnumber", "ratepayer")
 
 
-@_kept
+@_kept_by("parent_property_key")
 def m_child_rates(d: Domain, as_of) -> DataFrame:
     j = m_rates_with_assessment(d, as_of)
     j = nested_join(j, m_child_properties(d), ["property_key"], ["property_key"],
@@ -407,7 +419,7 @@ def m_sud_properties(d: Domain) -> DataFrame:
     return leaf_parents(keyed, m_property(d))
 
 
-@_kept
+@_kept_by("property_key")
 def m_mud_parent_properties(d: Domain) -> DataFrame:
     """Distinct parents that have children (multi dwellings)."""
     return branch_parents(m_parent_properties(d), m_child_properties(d),

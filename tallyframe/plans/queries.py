@@ -20,7 +20,7 @@ from tallyframe.functions.text import (concat_lines, rate_bin_type, rate_class,
                                        trim_end)
 from tallyframe.operators.aggregates import (count_over, flag_any_over, min_flag, over_keys,
                                              service_category, sum_if, sum_if_over, sum_over)
-from tallyframe.operators.joins import (band_lookup, branch_parents, eav_join, join_text_key,
+from tallyframe.operators.joins import (band_lookup, branch_parents, eav_join, join_codes, join_text_key,
                                         join_where, latest_effective, leaf_parents, missing,
                                         nested_join, no_current, with_children, with_parent)
 from tallyframe.operators.reconcile import (is_perfect_pairing, pair_by_key, reconcile, reconcile_matches,
@@ -29,7 +29,7 @@ from tallyframe.plans import datasets as ds
 from tallyframe.plans import reports as R
 from tallyframe.session import AS_OF, checkpoint_dir
 from tallyframe.sources.domain import Domain, domain
-from tallyframe.sources.tables import load, normalise_codes, write_report
+from tallyframe.sources.tables import load, normalise_codes, publish_report, read_report, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -53,10 +53,11 @@ def _d(spark, sf) -> Domain:
     return domain(spark, sf)
 
 
-def _report(spark, sf, name: str, build: Callable[[Domain], DataFrame]) -> DataFrame:
-    """A report over the register views, which are written several at a time if it is their first use."""
+def _report(spark, sf, build: Callable[[Domain], DataFrame],
+            tables: tuple[str, ...] = ("property", "property_services_facts", "rate_type_facts")) -> DataFrame:
+    """A report over the register views; the written ones are written together on their first use."""
     d = _d(spark, sf)
-    d.prepare(name, build)
+    d.prepare(*tables)
     return build(d)
 
 
@@ -833,55 +834,88 @@ def q_write_report(spark, sf):
     return spark.read.parquet(path)
 
 
+def _mixed_codes(spark, sf):
+    """Customers with their segment as a padded code in mixed case."""
+    k = F.col("c_custkey")
+    code = F.when(k % 3 == 0, F.lower("c_mktsegment")).when(k % 3 == 1, F.initcap("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    return _t(spark, sf, "customer").select(k.alias("custkey"), F.col("c_acctbal").cast("decimal(18,2)").alias("balance"), F.concat(code, F.repeat(F.lit(" "), (k % 4).cast("int"))).alias("code"))
+
+
+@register("group_collated")
+def q_group_collated(spark, sf):
+    """Codes loaded with a collation group whatever their case and padding."""
+    rows = normalise_codes(_mixed_codes(spark, sf), ["code"], collation="UTF8_LCASE_RTRIM")
+    return rows.groupBy("code").agg(F.count("*").alias("n"), F.sum("balance").alias("balance")).select(
+        F.lower(F.collate("code", "UTF8_BINARY")).alias("code"), "n", F.col("balance").cast("decimal(18,2)").alias("balance"))
+
+
+@register("join_collated")
+def q_join_collated(spark, sf):
+    """Codes join per-code totals, and filter, whatever their case and padding."""
+    rows = normalise_codes(_mixed_codes(spark, sf), ["code"], collation="UTF8_LCASE_RTRIM")
+    totals = rows.where(F.col("code").isin("building", "Household")).groupBy(F.col("code").alias("total_code")).agg(F.count("*").alias("n"))
+    return join_codes(rows, totals, "code", "total_code", "left").select("custkey", "n")
+
+
+@register("publish_report")
+def q_publish_report(spark, sf):
+    """J7 published twice for one instant with a manifest; the second is what readers get."""
+    path = f"{checkpoint_dir(spark)}/tallyframe-reports/{uuid.uuid4().hex}"
+    report, as_of = R.historic_services(_d(spark, sf), AS_OF), AS_OF.isoformat(" ")
+    publish_report(report.limit(0), path, as_of=as_of)
+    publish_report(report, path, {"tpklpaprop": "TPK", "number_of_services": "Number of services"}, as_of=as_of)
+    return read_report(spark, path, as_of)
+
+
 # ============================================================================ 2.J reports
 @register("report_single_nonmatch")
 def q_report_single_nonmatch(spark, sf):
-    return _report(spark, sf, "report_single_nonmatch", lambda d: R.single_nonmatches(d, AS_OF))
+    return _report(spark, sf, lambda d: R.single_nonmatches(d, AS_OF))
 
 
 @register("report_single_match")
 def q_report_single_match(spark, sf):
-    return _report(spark, sf, "report_single_match", lambda d: R.single_matches(d, AS_OF))
+    return _report(spark, sf, lambda d: R.single_matches(d, AS_OF))
 
 
 @register("report_shared_nonmatch")
 def q_report_shared_nonmatch(spark, sf):
-    return _report(spark, sf, "report_shared_nonmatch", lambda d: R.shared_nonmatches(d, AS_OF))
+    return _report(spark, sf, lambda d: R.shared_nonmatches(d, AS_OF))
 
 
 @register("report_shared_match")
 def q_report_shared_match(spark, sf):
-    return _report(spark, sf, "report_shared_match", lambda d: R.shared_matches(d, AS_OF))
+    return _report(spark, sf, lambda d: R.shared_matches(d, AS_OF))
 
 
 @register("report_rates_without_services")
 def q_report_rates_without_services(spark, sf):
-    return _report(spark, sf, "report_rates_without_services", lambda d: R.rates_without_services(d, AS_OF))
+    return _report(spark, sf, lambda d: R.rates_without_services(d, AS_OF))
 
 
 @register("report_services_without_rates")
 def q_report_services_without_rates(spark, sf):
-    return _report(spark, sf, "report_services_without_rates", lambda d: R.services_without_rates(d, AS_OF))
+    return _report(spark, sf, lambda d: R.services_without_rates(d, AS_OF))
 
 
 @register("report_historic_services")
 def q_report_historic_services(spark, sf):
-    return _report(spark, sf, "report_historic_services", lambda d: R.historic_services(d, AS_OF))
+    return _report(spark, sf, lambda d: R.historic_services(d, AS_OF), ("property", "property_services_facts"))
 
 
 @register("report_mailing_audit")
 def q_report_mailing_audit(spark, sf):
-    return _report(spark, sf, "report_mailing_audit", lambda d: R.mailing_audit(d))
+    return _report(spark, sf, lambda d: R.mailing_audit(d), ("cnaaddr",))
 
 
 @register("report_services_without_rates_v2")
 def q_report_services_without_rates_v2(spark, sf):
-    return _report(spark, sf, "report_services_without_rates_v2", lambda d: R.services_without_rates_m(d, AS_OF))
+    return _report(spark, sf, lambda d: R.services_without_rates_m(d, AS_OF))
 
 
 @register("report_rates_without_services_v2")
 def q_report_rates_without_services_v2(spark, sf):
-    return _report(spark, sf, "report_rates_without_services_v2", lambda d: R.rates_without_services_m(d, AS_OF))
+    return _report(spark, sf, lambda d: R.rates_without_services_m(d, AS_OF))
 
 
 def queries() -> dict[str, Query]:

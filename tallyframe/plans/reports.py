@@ -29,46 +29,66 @@ SHARED_FLAGS = ["bin_type_mismatch", "frequency_mismatch", "rate_type_mismatch"]
 
 
 def sorted_report(df: DataFrame, *keys: str) -> DataFrame:
-    return df.orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+    """``df`` in ascending order of ``keys``, nulls first, and of all other columns after them.
+
+    Spark samples bounds over the whole sort key.  With the ties in it, bounds fall inside a hot key too,
+    so the rows of one property spread over as many tasks as their share of the data asks for.
+    """
+    ties = [c for c in df.columns if c not in keys]
+    return df.orderBy(*[F.col(k).asc_nulls_first() for k in [*keys, *ties]])
 
 
 # ============================================================================ J1 / J2
-@ds._kept
+@ds._kept_by("property_key")
 def _service_rate_pairs(d: Domain, as_of) -> DataFrame:
     return pair_by_key(ds.single_property_services(d, as_of), ds.rates_with_counts(d, as_of),
                        "property_key", "rate_property_key")
 
 
 @ds._memo
-def _single_pairs(d: Domain, as_of, contacts: bool, dedupe_owners: bool = False) -> DataFrame:
-    pairs = _service_rate_pairs(d, as_of)
-
-    def flags_and_counts(df: DataFrame) -> DataFrame:
-        df = add_flags(df,
-                       compare={"bin_type_mismatch": ("service_bin_type", "rate_bin_type", "0"),
-                                "frequency_mismatch": ("service_frequency", "rate_frequency", 0),
-                                "units_mismatch": ("service_units", "rate_units", 0)},
-                       codes={"rate_type_mismatch": ("ratetype", 3, "S")})
-        # plain equi-join back keeps the key partitioning (a null key still forms one group)
-        return add_pair_counts(df, ["tpklpaprop"], "service_bin_type", "rate_bin_type",
-                               "number_bin_matched", "number_bin_mismatched", null_safe=False)
+def _flagged_pairs(d: Domain, as_of) -> DataFrame:
+    return _flags_and_counts(_service_rate_pairs(d, as_of))
 
-    if not contacts:
-        return flags_and_counts(pairs)
-    if dedupe_owners:
-        # count pairs before joint owners multiply the rows (the report default counts after)
-        pairs = flags_and_counts(pairs)
+
+def _flags_and_counts(df: DataFrame) -> DataFrame:
+    df = add_flags(df,
+                   compare={"bin_type_mismatch": ("service_bin_type", "rate_bin_type", "0"),
+                            "frequency_mismatch": ("service_frequency", "rate_frequency", 0),
+                            "units_mismatch": ("service_units", "rate_units", 0)},
+                   codes={"rate_type_mismatch": ("ratetype", 3, "S")})
+    # plain equi-join back keeps the key partitioning (a null key still forms one group)
+    return add_pair_counts(df, ["tpklpaprop"], "service_bin_type", "rate_bin_type",
+                           "number_bin_matched", "number_bin_mismatched", null_safe=False)
+
+
+def _with_contacts(pairs: DataFrame, d: Domain) -> DataFrame:
+    """One row per pair, owner and contact of the property."""
     contact = ds.ratepayer_contact(d)
     owners = d.property_owners.select(F.col("property_key").alias("__owner_key"))
     # owners join on the pairing key first (same partitioning), then the contact lookup; both are
     # left joins, so the order does not change the rows the pair counts see
-    pairs = (pairs.join(owners, F.col("property_key") == F.col("__owner_key"), "left")
-             .join(contact, (F.col("tpklpaprop") == F.col("c_tpk"))
-                   & (F.col("assessment_key") == F.col("c_asmt")), "left")
-             .withColumns(ds.contact_columns())
-             .drop("c_tpk", "c_asmt", "__owner_key", *[f"c_line_{i}" for i in range(1, 6)]))
-    if not dedupe_owners:
-        pairs = flags_and_counts(pairs)
+    return (pairs.join(owners, F.col("property_key") == F.col("__owner_key"), "left")
+            .join(contact, (F.col("tpklpaprop") == F.col("c_tpk"))
+                  & (F.col("assessment_key") == F.col("c_asmt")), "left")
+            .withColumns(ds.contact_columns())
+            .drop("c_tpk", "c_asmt", "__owner_key", *[f"c_line_{i}" for i in range(1, 6)]))
+
+
+@ds._kept_by("tpklpaprop")
+def _contact_pairs(d: Domain, as_of) -> DataFrame:
+    """Kept, since the pair counts read it twice: the owner and contact joins then run once."""
+    return _with_contacts(_service_rate_pairs(d, as_of), d)
+
+
+@ds._memo
+def _single_pairs(d: Domain, as_of, contacts: bool, dedupe_owners: bool = False) -> DataFrame:
+    if not contacts:
+        return _flagged_pairs(d, as_of)
+    if dedupe_owners:
+        # count pairs before joint owners multiply the rows (the report default counts after)
+        pairs = _with_contacts(_flagged_pairs(d, as_of), d)
+    else:
+        pairs = _flags_and_counts(_contact_pairs(d, as_of))
     return ds.attach_crm_counts(pairs, d, "tpklpaprop")
 
 
@@ -270,7 +290,7 @@ RWS_COLS = ["parent_tpklpaprop", "tpklpaprop", "formatted_address", "suburb", "a
             "vgnumber", "ratetype", "ratepayer", "audit_date", "service_category", "has_n0000ua"]
 
 
-@ds._kept
+@ds._kept_by("r_key")
 def _rates_payer(d: Domain, as_of) -> DataFrame:
     return ds.current_rates(d, as_of).select(
         F.col("property_key").alias("r_key"), "assessment", "vgnumber", "ratetype",
@@ -338,7 +358,7 @@ def rates_without_services(d: Domain, as_of) -> DataFrame:
 
 
 # ============================================================================ J6
-@ds._kept
+@ds._kept_by("rates_property_key")
 def _counted_rates(d: Domain, as_of) -> DataFrame:
     """Current rates with the number of rates of their property."""
     rates = ds.current_rates(d, as_of, with_assessment=False)

@@ -29,7 +29,6 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
-from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,9 +74,14 @@ def _pad10(c: Column) -> Column:
 class Domain:
     """Lazily built domain views over one folder of driver tables."""
 
-    # Fixed-size reference tables stay literal relations; everything derived from the driver
-    # tables can be materialised.
-    LITERAL_VIEWS = ("reg_bband_bin_bands", "property_service_codes_custom", "rate_type")
+    # Views with a join, and the key that reports join them on.  All others are columns of one driver
+    # table: deriving them in the scan costs less than writing and reading them.
+    WRITTEN = {"property": "property_key", "property_services_facts": "property_key",
+               "rate_type_facts": "property_key", "cnaaddr": "tpkcnaaddr"}
+    # A key is hot when it alone holds this many times the rows of an even bucket.
+    HOT = 2
+    # Tables of fewer rows are not worth buckets: their joins broadcast or shuffle little.
+    BUCKETED_ROWS = 100_000
 
     def __init__(self, spark: SparkSession, sf_dir: str, normalise: bool = True,
                  store: str | None = None):
@@ -86,50 +90,59 @@ class Domain:
         self.normalise = normalise
         self.store = store
         self._views: dict[str, DataFrame] = {}
-        self._prepared: set[str] = set()
+        self._tables: list[str] = []
         self._locks = {name: threading.Lock() for name in VIEW_NAMES}
 
     def view(self, name: str) -> DataFrame:
-        """The named view; with a ``store`` folder it is written there once as parquet and read
-        back, so reports scan a plain table instead of re-deriving it (and its lineage is cut)."""
+        """The named view.  With a ``store`` folder a view with a join is written there once and read
+        back, so that its join runs once and a lost executor reads a file again."""
         with self._locks[name]:
             if name not in self._views:
                 df = getattr(self, f"build_{name}")()
-                if self.store and name not in self.LITERAL_VIEWS:
-                    path = f"{self.store}/{name}"
-                    df.write.mode("overwrite").parquet(path)
-                    df = self.spark.read.parquet(path)
+                if self.store and name in self.WRITTEN:
+                    df = self._put(name, df, self.WRITTEN[name])
                 self._views[name] = df
             return self._views[name]
 
-    def prepare(self, name: str, build: Callable[[Domain], object], parallel: int = 8) -> None:
-        """Write the views that ``build`` (known by ``name``) will ask for, several at a time, once.
+    def _put(self, name: str, df: DataFrame, key: str | None) -> DataFrame:
+        """Write a table to the store and read it back, in buckets of ``key`` where that is safe.
 
-        Which ones these are is found by building once on views that are derived in place, which
-        plans but runs nothing.
+        Tables in as many buckets of the same key join and aggregate on it without a shuffle.  A bucket
+        is read by one task, so a table with a hot key (one that fills ``HOT`` even buckets by itself)
+        is left unbucketed: its joins shuffle, and adaptive execution splits the key.
         """
-        if not self.store or name in self._prepared:
-            return
-        self._prepared.add(name)
-        trial = Domain(self.spark, self.sf_dir, self.normalise)
-        build(trial)
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            list(pool.map(self.view, [v for v in trial._views if v not in self._views]))
-
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
-        """Write a dataset that several reports (or several parts of one) read to the store and read it
-        back; without a store it stays a plan."""
-        if not self.store:
-            return df
-        path = f"{self.store}/datasets/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        path = f"{self.store}/{name}"
+        plain = (df.write.mode("overwrite").parquet(path), self.spark.read.parquet(path))[1]
+        if key is None or self.spark.conf.get("spark.sql.catalogImplementation", "in-memory") != "in-memory":
+            return plain  # a table in a lasting catalog would outlive the session
+        if (rows := plain.count()) < max(1, self.BUCKETED_ROWS):
+            return plain
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        if plain.groupBy(key).count().agg(F.max("count")).first()[0] > self.HOT * max(1, rows // n):
+            return plain
+        table = "tf_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        (plain.repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key)
+         .option("path", f"{path}-buckets").format("parquet").saveAsTable(table))
+        self._tables.append(table)
+        return self.spark.table(table)
+
+    def prepare(self, *names: str) -> None:
+        """Write the named views at the same time, where they are not written yet."""
+        with ThreadPoolExecutor(max_workers=max(1, len(names))) as pool:
+            list(pool.map(self.view, names))
+
+    def keep(self, name: str, df: DataFrame, key: str | None = None) -> DataFrame:
+        """Write a dataset that several reports (or several parts of one) read to the store, in buckets of
+        ``key`` if given, and read it back; without a store it stays a plan."""
+        return self._put(f"datasets/{name}", df, key) if self.store else df
 
     def drop(self) -> None:
         """Delete the written views (frames built on them can no longer be read)."""
         self._views.clear()
-        self._prepared.clear()
         self.__dict__.pop("_dataset_memo", None)
+        while self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop()}")
         if self.store:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.store)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 from collections.abc import Iterable, Mapping
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -76,6 +80,76 @@ def normalise_codes(df: DataFrame, cols: Iterable[str], collation: str | None =
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite",
                  headings: Mapping[str, str] | None = None, fmt: str = "parquet") -> None:
-    """Write a report result, optionally renaming columns to display headings first."""
+    """Write a report result in place, optionally renaming columns to display headings first."""
     out = df.withColumnsRenamed(dict(headings)) if headings else df
     out.write.mode(mode).format(fmt).save(path)
+
+
+def publish_report(df: DataFrame, path: str, headings: Mapping[str, str] | None = None, fmt: str = "parquet",
+                   as_of: str | None = None) -> None:
+    """Write a report result with display headings, so that readers see a whole report or the one before.
+
+    The result is staged beside the report and counted; then its manifest, a small file that names the
+    staged folder, takes the place of the former manifest in one rename.  A job that is lost before that
+    leaves the former report as it was.  ``as_of`` keeps one report per instant: only that one's manifest
+    is replaced.  Staged folders that no manifest names are deleted after the next good write.
+    """
+    spark = df.sparkSession
+    out = df.withColumnsRenamed(dict(headings)) if headings else df
+    entry = _entry(as_of)
+    part = f"{entry}-{uuid.uuid4().hex}"
+    out.write.mode("errorifexists").format(fmt).save(f"{path}/_data/{part}")
+    rows = spark.read.format(fmt).schema(out.schema).load(f"{path}/_data/{part}").count()
+    told = {"part": part, "format": fmt, "rows": rows, "schema": out.schema.json()}
+    fs, jvm = _file_system(spark, path), spark._jvm
+    fresh, current = jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests/.{part}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests/{entry}.json")
+    stream = fs.create(fresh)
+    try:
+        stream.write(bytearray(json.dumps(told).encode()))
+    finally:
+        stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(current), options)
+    kept = {t["part"] for t in _manifests(spark, path).values()}
+    for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/_data")):
+        name = status.getPath().getName()
+        if name not in kept and name.rsplit("-", 1)[0] == entry:
+            fs.delete(status.getPath(), True)
+
+
+def read_report(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame:
+    """The report that :func:`publish_report` committed last (for ``as_of``)."""
+    told = _manifests(spark, path).get(_entry(as_of))
+    if not told:
+        raise FileNotFoundError(f"no report at {path}" + (f" as of {as_of}" if as_of else ""))
+    return spark.read.format(told["format"]).schema(StructType.fromJson(json.loads(told["schema"]))).load(f"{path}/_data/{told['part']}")
+
+
+def report_instants(spark: SparkSession, path: str) -> list[str]:
+    """The instants for which a report is committed, in order."""
+    return sorted(unquote(k.removeprefix("as_of=")) for k in _manifests(spark, path) if k.startswith("as_of="))
+
+
+def _entry(as_of: str | None) -> str:
+    return f"as_of={quote(as_of, safe='')}" if as_of else "latest"
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _manifests(spark: SparkSession, path: str) -> dict[str, dict]:
+    """What each committed manifest says, by its entry."""
+    fs, where = _file_system(spark, path), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests")
+    out = {}
+    for status in fs.listStatus(where) if fs.exists(where) else []:
+        name = status.getPath().getName()
+        if name.endswith(".json") and not name.startswith("."):
+            stream = fs.open(status.getPath())
+            try:
+                out[name.removesuffix(".json")] = json.loads(bytes(stream.readAllBytes()).decode())
+            finally:
+                stream.close()
+    return out
