@@ -96,8 +96,20 @@ def few(narrow: DataFrame) -> DataFrame:
     return F.broadcast(narrow) if narrow.count() <= FEW_ROWS else narrow
 
 
-#: Column of row numbers, while an operator needs them.
-ROW = "__row"
+#: Columns that operators add to the caller's while they work: the row number, and the lines that go.
+ROW, GONE = "__row", "__gone"
+
+
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns of those names renamed, and the names to give back at the end."""
+    taken = {c.lower() for c in docs.columns}
+    back = {}
+    for c in docs.columns:
+        if c.lower() in (ROW, GONE):
+            free = next(n for i in range(len(taken) + 1) if (n := f"{c}_{i}").lower() not in taken)
+            taken.add(free.lower())
+            back[free] = c
+    return docs.withColumnsRenamed({c: free for free, c in back.items()}), back
 
 
 def with_row(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE, few, with_row, written
+from .common import ROW, SPACE, aside, few, with_row, written
 
 FIRST = 64
 WIDER = 8
@@ -31,10 +31,9 @@ def normalised(text: str) -> str:
     return F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), f"[{SPACE}]+", " ")
 
 
-def groups(docs: DataFrame, first: int = FIRST, wider: int = WIDER) -> DataFrame:
-    """``doc_id``, the row number (that of ``docs``, if it has one), ``text_sha256, keep_id, keep_row, group_size`` for every row of ``docs``."""
-    numbered = docs if ROW in docs.columns else with_row(docs)
-    rows = numbered.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def groups(docs: DataFrame, first: int = FIRST, wider: int = WIDER, numbered: bool = False) -> DataFrame:
+    """``doc_id``, the row number (that of ``docs``, if it is ``numbered``), ``text_sha256, keep_id, keep_row, group_size`` for every row of ``docs``."""
+    rows = (docs if numbered else with_row(docs.select("doc_id", "text"))).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     text = normalised("text")
     raw = text.cast("binary")
     heads = written(rows.select(ROW, "doc_id", F.octet_length(text).alias("size"), F.substring(raw, 1, first).alias("head"),
@@ -73,9 +72,10 @@ def _sql() -> str:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay."""
-    numbered = with_row(docs)
-    kept = groups(numbered).where(F.col(ROW) == F.col("keep_row")).select(ROW)
-    return numbered.join(kept, ROW, "left_semi").drop(ROW)
+    plain, back = aside(docs)
+    rows = with_row(plain)
+    kept = groups(rows, numbered=True).where(F.col(ROW) == F.col("keep_row")).select(ROW)
+    return rows.join(kept, ROW, "left_semi").drop(ROW).withColumnsRenamed(back)
 
 
 ORACLE = r"""

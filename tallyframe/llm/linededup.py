@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, few, runs, ship, with_row, written
+from .common import GONE, ROW, aside, few, runs, ship, with_row, written
 from .components import connected, stars
 from .wordcache import blocks
 
@@ -66,17 +66,53 @@ def substrings(length: int, t: int) -> list[tuple[bool, int, int, int, int]]:
     return out
 
 
-_plans: dict[tuple[int, int], list] = {}  # of lengths met; lengths repeat
+_plans: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}  # of lengths met; lengths repeat
 
 
-def _plan(length: int, t: int) -> list:
+def _plan(length: int, t: int) -> tuple[np.ndarray, ...]:
+    """:func:`substrings` as arrays: probe?, number of the segment among all lengths, start, size."""
     if (length, t) not in _plans:
         if len(_plans) > 50_000:
             _plans.clear()
-        _plans[length, t] = substrings(length, t)
+        own, indexed, i, at, size = np.array(substrings(length, t), np.int64).reshape(-1, 5).T
+        _plans[length, t] = (1 - own, indexed * (t + 1) + i, at, size)
     return _plans[length, t]
 
 
+def postings(lines: list[str], t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, line and probe mark of all postings of ``lines``.
+
+    A key is a polynomial of the substring's code points modulo 2^64, from running sums, mixed with the segment's number.
+    """
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(0x9E3779B9)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if lines else size
+    power, inverse = (_powers(base, len(points) + 1) for base in (_BASE, _INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * power[:-1], dtype=np.uint64)])
+    keys, of, probes = ([np.empty(0, k)] for k in (np.uint64, np.int64, np.int64))
+    order = np.argsort(size, kind="stable")
+    ends = np.flatnonzero(np.diff(size[order], append=-1)) + 1
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+        probe, number, at, n = _plan(int(size[order[a]]), t)
+        start = (first[order[a:b], None] + at).ravel()
+        h = (sums[start + np.tile(n, b - a)] - sums[start]) * inverse[start]
+        h = (h ^ np.tile(number, b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xFF51AFD7ED558CCD)
+        keys.append(h ^ h >> np.uint64(32))
+        of.append(np.repeat(order[a:b], len(at)))
+        probes.append(np.tile(probe, b - a))
+    return np.concatenate(keys), np.concatenate(of), np.concatenate(probes)
+
+
+_BASE = 0x2545F4914F6CDD1D
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """Counts of sixteen character classes, four bits each, side by side in 64 bits."""
     points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32) & 15
@@ -187,9 +223,6 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _postings(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
     """Postings of each distinct line of a batch; the lowest bit of the id marks a probe."""
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         seen: set[int] = set()
         for _, lines in _lines(batch):
@@ -200,19 +233,13 @@ def _postings(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBa
                     seen.add(h)
                     ids.append(h)
                     fresh.append(s)
-            keys, of, probe = [], [], []
-            for n, s in enumerate(fresh):
-                for own, length, i, at, size in _plan(len(s), t):
-                    keys.append(digest(s[at:at + size].encode(), length * (t + 1) + i))
-                    of.append(n)
-                    probe.append(not own)
-            at = np.array(of, np.int64)
-            sig = signatures(fresh)[at] if fresh else np.empty(0, np.uint64)
-            yield _frame(_POSTED, np.array(keys, np.uint64).view(np.int64), np.array(ids, np.int64)[at] | np.array(probe, np.int64), sig.view(np.int64))
+            keys, of, probe = postings(fresh, t)
+            sig = signatures(fresh)[of] if fresh else np.empty(0, np.uint64)
+            yield _frame(_POSTED, keys.view(np.int64), np.array(ids, np.int64)[of] | probe, sig.view(np.int64))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], t: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by key and id: pairs whose signatures allow a match, and the hot keys."""
+    """From postings sorted by key and id: pairs whose signatures allow a match, and the hot keys with their lines (as a)."""
     rest = [np.empty(0, np.int64)] * 3
     for batch in _ended(batches):
         now = rest if batch is None else [np.concatenate([x, c.to_numpy()]) for x, c in zip(rest, batch.columns, strict=True)]
@@ -224,14 +251,19 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: int, longest: int) -> Iter
         key, ident, sig = key[first], ident[first], sig[first]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         cut = len(key)
+        more = np.empty(0, np.int64)  # lines of a hot key that goes on
         if batch is not None:  # the last key may go on in the next batch
             cut, starts = starts[-1], starts[:-1]
             # of a key that is hot already, a few lines are enough to know it
             open_ = ident[cut:]
             keep = 2 * longest + 2 if len(np.unique(open_[:2 * longest + 2] & ~np.int64(1))) > longest else len(open_)
             rest = [c[cut:][:keep] for c in (key, ident, sig)]
+            more = np.unique(open_[keep:] & ~np.int64(1))
+        open_key = key[cut:cut + 1].repeat(len(more))
         key, ident, sig = key[:cut], ident[:cut], sig[:cut]
         if not cut:
+            if len(more):
+                yield _frame(_FOUND, more, [None] * len(more), open_key)
             continue
         size = np.diff(np.append(starts, cut))
         run = np.repeat(np.arange(len(starts)), size)
@@ -252,9 +284,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: int, longest: int) -> Iter
             a.append(line[i[use]])
             b.append(line[j[use]])
         pairs = np.unique(np.sort(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=1), axis=0) if a else np.empty((0, 2), np.int64)
-        hot_keys = key[starts[hot]]
+        members = np.repeat(hot, size)
+        hot_lines, hot_keys = np.concatenate([line[members], more]), np.concatenate([key[members], open_key])
         n, m = len(pairs), len(hot_keys)
-        yield _frame(_FOUND, [*pairs[:, 0].tolist(), *[None] * m], [*pairs[:, 1].tolist(), *[None] * m], [*[None] * n, *hot_keys.tolist()])
+        yield _frame(_FOUND, np.concatenate([pairs[:, 0], hot_lines]), [*pairs[:, 1].tolist(), *[None] * m], [*[None] * n, *hot_keys.tolist()])
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -320,10 +353,9 @@ def links(docs: DataFrame, t: int = THRESHOLD, longest: int = LIST) -> DataFrame
     both = pairs.join(text.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(text.withColumnsRenamed({"id": "b", "line": "y"}), "b")
     good = both.select("a", "b", "x", "y").mapInArrow(lambda it: _verified(it, t), "a long, b long")
 
-    hot = written(found.where("key is not null").select("key").distinct(), "lines-hot")
-    if hot.isEmpty():
+    members = written(found.where("key is not null").select("key", F.col("a").alias("id")).distinct(), "lines-members")
+    if members.isEmpty():
         return good
-    members = written(posted.select("key", F.col("id").bitwiseAND(F.lit(~1)).alias("id")).join(few(hot), "key", "left_semi").distinct(), "lines-members")
     size = members.groupBy("key").agg(F.ceil(F.count("*") / (8 * longest)).alias("n"))
     text = written(lines.join(few(members.select("id").distinct()), "id", "left_semi").dropDuplicates(["id"]), "lines-hot-text")
     own = members.join(size, "key").withColumn("own", F.pmod(F.xxhash64("id"), "n"))
@@ -364,12 +396,13 @@ def report(docs: DataFrame, t: int = THRESHOLD, longest: int = LIST) -> DataFram
 
 def deduplicated(docs: DataFrame, t: int = THRESHOLD, longest: int = LIST) -> DataFrame:
     """``docs`` without the lines that go; ``n_chars``, if present, follows the text."""
-    rows = with_row(docs)
-    found = dropped(rows, t, longest).where(F.size("gone") > 0).select(ROW, F.transform("gone", lambda g: g["line"].cast("int")).alias("__gone"))
+    plain, back = aside(docs)
+    rows = with_row(plain)
+    found = dropped(rows, t, longest).where(F.size("gone") > 0).select(ROW, F.transform("gone", lambda g: g["line"].cast("int")).alias(GONE))
     both = rows.join(found, ROW, "left")
-    stays = F.filter(F.split("text", "\n"), lambda _, n: ~F.array_contains("__gone", n))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    stays = F.filter(F.split("text", "\n"), lambda _, n: ~F.array_contains(GONE, n))
+    text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(GONE).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*plain.columns).withColumnsRenamed(back)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE, with_row, written
+from .common import ROW, SPACE, aside, with_row, written
 
 #: Largest share of good documents that one rule may lose, and the chance that any does lose more.
 RISK = 0.01
@@ -123,9 +123,10 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
 
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that pass."""
-    numbered = with_row(docs)
+    plain, back = aside(docs)
+    numbered = with_row(plain)
     good = judged(numbered, labels, also=(ROW,), **options).where("kept").select(ROW)
-    return numbered.join(good, ROW, "left_semi").drop(ROW)
+    return numbered.join(good, ROW, "left_semi").drop(ROW).withColumnsRenamed(back)
 
 
 def _oracle(risk: float = RISK, delta: float = DELTA) -> str:

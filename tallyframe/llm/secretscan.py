@@ -55,7 +55,7 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _IDENTIFIER = re.compile(r"(?ai:(?<![a-z0-9])(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key_?id))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})")
 _IDENTIFIER_WORDS = ("user", "login", "client", "account", "access")
 _SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"(?ai:[a-z][a-z0-9+.-]*://[^\s\"'<>]+|(?<![a-z0-9])(?:end_?point|host(?:_?name)?|server)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9.-]+(?::\d{1,5})?)")
+_ENDPOINT = re.compile(r"(?ai:(?<![a-z0-9+.-])[0-9+.-]*+(?P<scheme>[a-z])[a-z0-9+.-]*+://[^\s\"'<>]+|(?<![a-z0-9])(?:end_?point|host(?:_?name)?|server)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9.-]+(?::\d{1,5})?)")
 _ENDPOINT_WORDS = ("://", "endpoint", "end_point", "host", "server")
 _SECTION = re.compile(r"\n[^\S\n]*\n\s*")
 
@@ -87,7 +87,9 @@ def weak_parts(text: str) -> list[Span]:
         found += [(3, m.start(), m.end(), m.start(1)) for m in _IDENTIFIER.finditer(text)]
     found += [(4, m.start(), m.end(), m.start()) for m in _SECRET.finditer(text) if _mixed(m.group())]
     if any(w in low for w in _ENDPOINT_WORDS):
-        found += [(5, m.start(), m.end(), m.start()) for m in _ENDPOINT.finditer(text)]
+        # a scheme begins at the first letter of its run, which is scanned once
+        starts = [(m, max(m.start(), m.start("scheme"))) for m in _ENDPOINT.finditer(text)]
+        found += [(5, a, m.end(), a) for m, a in starts]
     return found
 
 

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 #: Extra columns whose names the operators use inside.
-CLASHES = ("row", "key", "id", "fp", "h1", "a", "b", "root", "node", "size", "grp", "w", "p", "n_words", "stratum", "line")
+CLASHES = ("row", "key", "id", "fp", "h1", "a", "b", "root", "node", "size", "grp", "w", "p", "n_words", "stratum", "line", "__row", "__gone",
+           "__row_0")
 
 
 @pytest.fixture(scope="session")

@@ -368,3 +368,14 @@ def test_chat_trains_on_few_rows(spark):
     rows = [(1, n % 32, "user", f"row {n}") for n in range(20_000)] + [(2, n, "user", "x") for n in range(40)]
     got = Counter(r["conv_id"] for r in chat.sampled(turns(spark, rows)).collect())
     assert got[2] == 32 and 20 <= got[1] <= 3 * chat.TRAIN_ROWS
+
+
+def test_endpoint_search_is_linear():
+    """Long runs without a scheme are scanned once."""
+    import time
+
+    for run in ("a" * 1_000_000, "0123456789abcdef" * 70_000, "+.-" * 300_000):
+        t0 = time.perf_counter()
+        found = secretscan.weak_parts(f"see 0http://x.y/z {run} ftp://h")
+        assert time.perf_counter() - t0 < 2
+        assert [(a, b) for kind, a, b, _ in found if kind == 5][0] == (5, 17) and found[-1][2] == len(run) + 26
