@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import linededup, packing, quality, secretscan, simhash
-from tallyframe.llm.common import ROW, documents, table, with_row, written
+from tallyframe.llm.common import ROW, aside, documents, table, with_row, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +33,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = with_row(docs)
+    plain, back = aside(docs)
+    numbered = with_row(plain)
     found = simhash.components(numbered, keep=("doc_id", ROW), root=True)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", ROW)).alias("best")
     stays = found.groupBy("root").agg(best).select(F.col(f"best.{ROW}").alias(ROW))
-    return numbered.join(stays, ROW, "left_semi").select(*docs.columns)
+    return numbered.join(stays, ROW, "left_semi").drop(ROW).withColumnsRenamed(back)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
