@@ -7,15 +7,16 @@ token of mixed characters, bare or after ``=``, of any length) and an ``endpoint
 being assigned).  Names being assigned may follow an underscore, as in ``DB_USER=``.
 
 Linking is an interval join within scopes.  A scope is a section of the text between blank lines.
-Each part is an interval; two parts of complementary roles join if they lie in the same scope and at
-most ``REACH`` code points apart:
+Each part is an interval; two parts of complementary roles join if they lie in the same scope, however
+far apart, and do not overlap:
 
 * an identifier (weak or an access id) with a secret (weak, assigned or hex): the weak ones of the
   pair are reported;
 * an endpoint with an access id, an assigned secret, or a weak part that is itself reported.
 
-All parts of a document are in its row, so the join is a sorted sweep inside the task and needs no
-shuffle: parts are sorted by start, and the nearest intervals on either side come by bisection.
+All parts of a document are in its row, so the join needs no shuffle: a part has a partner apart from it
+if the interval of its scope that ends first, or the one that starts last, is apart from it.  A caller
+can bound the distance; then the nearest intervals on either side come by bisection.
 
 Defined cases: null and empty texts have no spans.  Rows are scanned one by one, so null, tied or
 repeated ``doc_id`` values do not matter.  An empty table gives no rows.  Other columns are not read.
@@ -39,8 +40,6 @@ from .common import ship
 #: Kinds in reporting order; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 BASE = 3
-#: Code points between linked parts.
-REACH = 200
 #: Least entropy of a weak secret, in bits a character.
 ENTROPY = 3.5
 MASK = "[SECRET]"
@@ -93,12 +92,19 @@ def weak_parts(text: str) -> list[Span]:
     return found
 
 
-def near(parts: list[Span], others: list[Span], sections: list[int], reach: int = REACH) -> list[Span]:
-    """The ``parts`` that have one of ``others`` beside them, in the same section and within ``reach``.
+def near(parts: list[Span], others: list[Span], sections: list[int], reach: int | None = None) -> list[Span]:
+    """The ``parts`` that have one of ``others`` in the same section, and within ``reach`` if given.
 
     ``sections`` are the sorted starts of the sections after the first.  Overlapping spans are one
     part of the text, not two that co-occur.
     """
+    if reach is None:  # a part stands apart from some other if from the one that ends first or starts last
+        ends_first, starts_last = {}, {}
+        for _, c, d, _ in others:
+            i = bisect_right(sections, c)
+            ends_first[i], starts_last[i] = min(d, ends_first.get(i, d)), max(c, starts_last.get(i, c))
+        where = [bisect_right(sections, part[1]) for part in parts]
+        return [part for part, i in zip(parts, where, strict=True) if i in ends_first and (ends_first[i] <= part[1] or part[2] <= starts_last[i])]
     others = sorted(others, key=lambda s: s[1:3])
     ends = list(accumulate((s[2] for s in others), max))
     out = []
@@ -116,7 +122,7 @@ def near(parts: list[Span], others: list[Span], sections: list[int], reach: int
     return out
 
 
-def scan(text: str | None, reach: int = REACH) -> list[Span]:
+def scan(text: str | None, reach: int | None = None) -> list[Span]:
     """All spans of a whole text: base ones, and weak ones whose complement co-occurs."""
     text = text or ""
     found = base_spans(text)

@@ -30,8 +30,8 @@ from .common import ship
 from .wordcache import SegmentCache, blocks, key_of, plain_keys
 
 MARK = "▁"
-#: Segments kept per worker, about 350 bytes each.
-CACHE = 500_000
+#: Bytes of segments kept per worker (words take about 400 each, segments without spaces much more).
+CACHE = 200_000_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: Up to so many characters a plain list serves as the agenda.

@@ -2,7 +2,8 @@
 
 Tokenisers work segment by segment (a run of white space and the word after it), and most segments
 of a corpus are repeats.  A Python worker lives through many tasks, so the cache is kept on the
-module.  ``capacity`` bounds its memory only: segments beyond it are encoded again when met.
+module.  ``capacity`` bounds its memory only, in bytes of keys and values: segments beyond it are
+encoded again when met.
 
 Segments are held as short keys: ``word`` stands for a space and the word, ``\\nword`` for itself,
 and ``\\r`` followed by anything for that text as it stands.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 #: White space other than single spaces and line ends, in the widest sense.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -40,9 +42,13 @@ def segment_of(key: str) -> str:
     return key[1:] if key[0] == "\r" else key if key[0] == "\n" else " " + key
 
 
+#: Bytes of an entry besides its strings: the tuple and its place in the table.
+_ENTRY = 160
+
+
 class SegmentCache:
-    def __init__(self, encode: Callable[[list[str]], list], capacity: int):
-        self.encode, self.capacity, self.known = encode, capacity, {}
+    def __init__(self, encode: Callable[[list[str]], list[tuple[str, ...]]], capacity: int):
+        self.encode, self.capacity, self.known, self.size = encode, capacity, {}, 0
 
     def lookup(self, rows: list[list[str]]) -> Iterator[list]:
         """The values of each row's keys; segments not known yet are encoded in one call."""
@@ -54,8 +60,12 @@ class SegmentCache:
         known.update(zip(new, self.encode([segment_of(k) for k in new]), strict=True))
         for row in rows:
             yield [known[k] for k in row]
-        for k in new[max(0, len(new) - max(0, len(known) - self.capacity)):]:
-            del known[k]
+        for k in new:
+            size = _ENTRY + getsizeof(k) + sum(map(getsizeof, known[k]))
+            if self.size + size > self.capacity:
+                del known[k]
+            else:
+                self.size += size
 
 
 def blocks(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:

@@ -64,6 +64,17 @@ def test_pieces_match_the_library(spark, docs, texts):
     assert sentencepieces.digests(docs([]), PIECES).count() == 0
 
 
+def test_segment_cache_is_bounded_by_bytes():
+    from tallyframe.llm.wordcache import SegmentCache
+
+    cache = SegmentCache(lambda new: [(s * 4, s) for s in new], 1_000_000)
+    for n in range(40):
+        rows = [[f"{n}-{i}-{'漢' * 400}" for i in range(50)]]
+        assert [v[1] for v in next(iter(zip(*[list(cache.lookup(rows))], strict=True)))[0]] == [" " + k for k in rows[0]]
+    held = sum(len(k.encode("utf-16")) + sum(len(x.encode("utf-16")) for x in v) for k, v in cache.known.items())
+    assert 500_000 < held <= cache.size <= 1_000_000
+
+
 def test_short_and_long_agendas_agree():
     codec = sentencepieces.Codec(PIECES)
     rng = random.Random(1)
@@ -190,7 +201,10 @@ def test_secret_linking():
     assert kinds(f"user = bob then {weak}") == ["identifier", "secret"]
     assert kinds(f"user = bob then {weak} at https://db.example.com/x") == ["identifier", "secret", "endpoint"]
     assert kinds(f"user = bob\n \nthen {weak}") == []  # another section
-    assert kinds(f"user = bob {'x ' * 150}{weak}") == []  # out of reach
+    for n in (150, 1000, 100_000):  # the section is the scope, whatever the distance
+        assert kinds(f"user = bob {'x ' * n}{weak}") == ["identifier", "secret"]
+        assert kinds(f"user = bob {'x ' * n}\n\n{weak}") == []
+    assert [secretscan.KINDS[s[0]] for s in secretscan.scan(f"user = bob {'x ' * 150}{weak}", 200)] == []
     assert kinds(f"AKIA{'Q' * 16} {weak}") == ["access", "secret"]
     assert secretscan.masked("password = hunter22x ok") == "password = [SECRET] ok"
     assert secretscan.masked(None) is None and secretscan.masked("") == ""
@@ -226,6 +240,8 @@ def test_secret_linking_matches_brute_force():
         where = lambda s: sum(x <= s[1] for x in sections)
         expected = [m for m in mine if any(where(m) == where(o) and 0 <= max(o[1] - m[2], m[1] - o[2]) <= 50 for o in other)]
         assert secretscan.near(mine, other, sections, 50) == expected
+        apart = [m for m in mine if any(where(m) == where(o) and (o[1] >= m[2] or o[2] <= m[1]) for o in other)]
+        assert secretscan.near(mine, other, sections) == apart
 
 
 def test_redaction(docs, odd):
@@ -354,9 +370,9 @@ def test_chat_blocks_hold_few_rows(spark):
     model = chat.train(frame)
     for block in (20, 128):
         found, many = chat.dealt(frame, block)
-        assert found.count() == len(rows) and found.groupBy("conv_id", "block", "sub").count().agg({"count": "max"}).first()[0] <= block
+        assert found.count() == len(rows) and found.groupBy("conv_id", "block").count().agg({"count": "max"}).first()[0] <= block
         assert {r["of"] for r in many.collect()} >= {None, 5, 7}
-        ranks = sorted((r for r in found.collect() if r["conv_id"] is None), key=lambda r: (r["block"], r["sub"]))
+        ranks = sorted((r for r in found.collect() if r["conv_id"] is None), key=lambda r: r["block"])
         assert [r["turn"] is None for r in ranks] == sorted(r["turn"] is None for r in ranks)
     whole = chat.parse(frame, model, block=10_000)
     for block in (1, 20, 128):
@@ -364,10 +380,66 @@ def test_chat_blocks_hold_few_rows(spark):
         assert got.count() == whole.count() and got.exceptAll(whole).count() == 0
 
 
+def test_chat_paths_are_best_of_all(spark):
+    from itertools import product
+
+    model = chat.train(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    rng = random.Random(5)
+    lines = ["hello there", "why?", "User: hi", "Answer: yes", "### System: be brief", "", "code {", "Assistant: no.", "Context: my dog"]
+    for _ in range(60):
+        rows = [(rng.choice(["user", "assistant", None, "???"]), "\n".join(rng.choices(lines, k=rng.randrange(1, 4)))) for _ in range(2)]
+        obs = np.concatenate([chat.observed(*r)[0] for r in rows])
+        e = model.emission(obs)
+        total = lambda p: model.start[p[0]] + e[0, p[0]] + sum(model.step(obs[i], e[i])[p[i - 1], p[i]] for i in range(1, len(p)))  # noqa: B023, E731
+        assert abs(total(model.path(obs)) - max(map(total, product(range(4), repeat=len(obs))))) < 1e-9
+
+
+def test_chat_keeps_text(spark):
+    """Ordinary words before a colon and overruled markers stay; only markers that name the turn's speaker go."""
+    model = chat.train(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    prose = ["Please translate.\nContext: my dog\nAnswer: woof\nthanks", "Which one?\nModel: T-800\nContext: my dog", "Question: why?\nA: so", "**Answer:** 42\nclient: x"]
+    rows = [(n, 0, role, text) for n, (role, text) in enumerate((r, t) for r in ("user", "assistant", "system") for t in prose)]
+    got = {r["conv_id"]: r for r in chat.parse(turns(spark, rows), model).collect()}
+    assert len(got) == len(rows)
+    for conv, _, role, text in rows:
+        assert (got[conv]["role"], got[conv]["text"]) == (role, text)
+    rng = random.Random(6)
+    lines = ["hello there", "why?", "User: hi", "Answer: yes", "### System: be brief", "code {", "Assistant: no.", "Context: my dog", "Question: who", "[user] x"]
+    rows = [(c, n, rng.choice(["user", "assistant", None]), "\n".join(rng.choices(lines, k=rng.randrange(1, 6)))) for c in range(60) for n in range(3)]
+    parts = {}
+    for r in sorted(chat.parse(turns(spark, rows), model).collect(), key=lambda r: (r["conv_id"], r["turn"], r["part"])):
+        parts.setdefault((r["conv_id"], r["turn"]), []).append((r["role"], r["text"]))
+    for c, n, _, text in rows:
+        left = text.split("\n")
+        for role, said in parts[c, n]:
+            own, left = left[:said.count("\n") + 1], left[said.count("\n") + 1:]
+            code, width = chat.marker(own[0])
+            cut = said.split("\n")[0] == own[0][width:].strip() != own[0]
+            assert said.split("\n")[1:] == own[1:] and (said.split("\n")[0] == own[0] or cut and chat.ROLES[code % chat._LOOSE] == role)
+        assert not left
+    for role in ("tool", "system"):  # rare roles that are declared hold
+        declared = [(1, 0, "user", "Run it."), (1, 1, role, "exit 0\nok"), (1, 2, "assistant", "It ran.")]
+        assert [r["role"] for r in chat.parse(turns(spark, declared), model).orderBy("turn").collect()] == ["user", role, "assistant"]
+    undeclared = chat.parse(turns(spark, [(1, 0, None, "Question: who?\nAnswer: me.")]), model).orderBy("part").collect()
+    assert [(r["role"], r["text"]) for r in undeclared] == [("user", "who?"), ("assistant", "me.")]
+
+
+def test_chat_with_time_stamps_as_turns(spark):
+    rows = [(1, 1_700_000_000 + 977 * n, ("user", "assistant")[n % 2], f"row {n}") for n in range(300)]
+    frame = turns(spark, rows)
+    assert chat.sampled(frame).count() == chat.TRAIN_ROWS
+    found, many = chat.dealt(frame, 4096)
+    assert many.count() == 0 and found.select("block").distinct().count() == 1
+    found, many = chat.dealt(frame, 50)
+    # cut by position: at most one short block for each sorting task besides the full ones
+    assert many.count() == 1 and found.select("block").distinct().count() <= 300 // 50 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [r["role"] for r in chat.parse(frame, block=50).orderBy("turn").collect()] == [r[2] for r in rows]
+
+
 def test_chat_trains_on_few_rows(spark):
     rows = [(1, n % 32, "user", f"row {n}") for n in range(20_000)] + [(2, n, "user", "x") for n in range(40)]
     got = Counter(r["conv_id"] for r in chat.sampled(turns(spark, rows)).collect())
-    assert got[2] == 32 and 20 <= got[1] <= 3 * chat.TRAIN_ROWS
+    assert got[2] == got[1] == chat.TRAIN_ROWS == 32
 
 
 def test_endpoint_search_is_linear():
