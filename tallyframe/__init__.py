@@ -14,6 +14,6 @@ Layout:
 """
 
 from tallyframe.session import AS_OF, build_session, checkpoint_dir
-from tallyframe.sources.domain import refresh
+from tallyframe.sources.domain import refresh, update
 
-__all__ = ["AS_OF", "build_session", "checkpoint_dir", "refresh"]
+__all__ = ["AS_OF", "build_session", "checkpoint_dir", "refresh", "update"]

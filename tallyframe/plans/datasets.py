@@ -30,12 +30,11 @@ def _memo(fn, keep: bool = False, by: str | None = None):
         cache = d.__dict__.setdefault("_dataset_memo", {})
         key = (fn.__module__, fn.__name__, *[str(a) for a in args],
                *[f"{k}={v}" for k, v in sorted(kwargs.items())])
-        if key not in cache:
+
+        def make() -> DataFrame:
             df = fn(d, *args, **kwargs)
-            if keep:
-                df = d.keep(f"{fn.__name__}-{hashlib.sha256(repr(key).encode()).hexdigest()[:12]}", df, by)
-            cache[key] = df
-        return cache[key]
+            return d.keep(f"{fn.__name__}-{hashlib.sha256(repr(key).encode()).hexdigest()[:12]}", df, by) if keep else df
+        return d.noted(cache, key, make, keep)
     wrapper.__name__ = fn.__name__
     wrapper.__doc__ = fn.__doc__
     wrapper.__wrapped__ = fn

@@ -388,6 +388,12 @@ def q_band_lookup(spark, sf):
     return band_lookup(p, bands, "p_size", "size_band")
 
 
+@register("register_totals")
+def q_register_totals(spark, sf):
+    """Service records and totals per property, kept beside the written register."""
+    return _d(spark, sf).totals("property_services_facts", "property_key", "number_of_services", "number_of_collections")
+
+
 @register("eav_join")
 def q_eav_join(spark, sf):
     orq = _d(spark, sf).onecrm_request_questions

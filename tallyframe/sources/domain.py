@@ -28,8 +28,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import threading
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +82,14 @@ class Domain:
     # table: deriving them in the scan costs less than writing and reading them.
     WRITTEN = {"property": "property_key", "property_services_facts": "property_key",
                "rate_type_facts": "property_key", "cnaaddr": "tpkcnaaddr"}
+    # The parts whose union is a written view.  For each the driver tables that it is linear in, so that
+    # files added there only add rows, and those that it also reads: a change there derives the view again.
+    PARTS = {"property": [("properties", ("customer",), ("nation",))],
+             "property_services_facts": [("base_services", ("customer",), ()), ("line_services", ("lineitem", "orders"), ())],
+             "rate_type_facts": [("base_rates", ("customer",), ()), ("order_rates", ("orders",), ("customer",))],
+             "cnaaddr": [("agent_addresses", ("supplier",), ()), ("customer_addresses", ("customer",), ("supplier",))]}
+    # A view that has been added to so often is derived again as a whole, which joins its small files.
+    MOST_ADDED = 16
     # A key is hot when it alone holds this many times the rows of an even bucket.
     HOT = 2
     # Tables of fewer rows are not worth buckets: their joins broadcast or shuffle little.
@@ -91,18 +103,47 @@ class Domain:
         self.store = store
         self._views: dict[str, DataFrame] = {}
         self._tables: list[str] = []
+        # what written views consist of: folders, bucketed table, and the files of driver tables behind them
+        self._folders: dict[str, list[str]] = {}
+        self._buckets: dict[str, str] = {}
+        self._inputs: dict[object, dict[str, dict[str, tuple]]] = {}
+        self._seen: dict[str, dict[str, tuple]] = {}
+        self._totals: dict[tuple, str] = {}
+        # the driver tables that a kept view or dataset reads; those being noted, per thread
+        self._reads: dict[object, frozenset[str]] = {}
+        self._noting = threading.local()
+        # names of the tables written so far, in order
+        self.log: list[str] = []
+        # files of driver tables to read instead of all
+        self._only: dict[str, list[str]] = {}
         self._locks = {name: threading.Lock() for name in VIEW_NAMES}
 
     def view(self, name: str) -> DataFrame:
         """The named view.  With a ``store`` folder a view with a join is written there once and read
         back, so that its join runs once and a lost executor reads a file again."""
         with self._locks[name]:
-            if name not in self._views:
+            def make() -> DataFrame:
                 df = getattr(self, f"build_{name}")()
-                if self.store and name in self.WRITTEN:
-                    df = self._put(name, df, self.WRITTEN[name])
-                self._views[name] = df
-            return self._views[name]
+                if not (self.store and name in self.WRITTEN):
+                    return df
+                return self._put(name, df, self.WRITTEN[name])
+            return self.noted(self._views, name, make, name in self.WRITTEN)
+
+    def noted(self, kept: dict, key: object, make: Callable[[], DataFrame], written: bool) -> DataFrame:
+        """The frame kept under ``key``, made if need be.  The driver tables it reads are noted for the frame
+        that is being made from it and, if it is a ``written`` one, their files for :meth:`update`."""
+        outer = self._noting.__dict__.setdefault("sets", [])
+        if key not in kept:
+            outer.append(set())
+            try:
+                kept[key] = make()
+            finally:
+                self._reads[key] = frozenset(outer.pop())
+            if self.store and written:
+                self._inputs[key] = {t: self._files(t) for t in self._reads[key]}
+        if outer:
+            outer[-1].update(self._reads.get(key, ()))
+        return kept[key]
 
     def _put(self, name: str, df: DataFrame, key: str | None) -> DataFrame:
         """Write a table to the store and read it back, in buckets of ``key`` where that is safe.
@@ -112,21 +153,142 @@ class Domain:
         is left unbucketed: its joins shuffle, and adaptive execution splits the key.
         """
         path = f"{self.store}/{name}"
-        plain = (df.write.mode("overwrite").parquet(path), self.spark.read.parquet(path))[1]
+        self._folders[name] = []  # totals of the former folder do not count any more
+        self._totals = {k: v for k, v in self._totals.items() if k[0] != name}
+        if stale := self._buckets.pop(name, None):
+            self._tables.remove(stale)
+            self.spark.sql(f"DROP TABLE IF EXISTS {stale}")
+        df.write.mode("overwrite").parquet(path)
+        self.log.append(name)
+        self._folders[name] = [path]
+        plain = self.spark.read.parquet(path)
         if key is None or self.spark.conf.get("spark.sql.catalogImplementation", "in-memory") != "in-memory":
             return plain  # a table in a lasting catalog would outlive the session
         if (rows := plain.count()) < max(1, self.BUCKETED_ROWS):
             return plain
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        if plain.groupBy(key).count().agg(F.max("count")).first()[0] > self.HOT * max(1, rows // n):
+        if self._hot(plain, key, rows, n):
             return plain
         table = "tf_" + hashlib.sha256(path.encode()).hexdigest()[:24]
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         (plain.repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key)
          .option("path", f"{path}-buckets").format("parquet").saveAsTable(table))
         self._tables.append(table)
+        self._buckets[name] = table
         return self.spark.table(table)
 
+    def _hot(self, df: DataFrame, key: str, rows: int, buckets: int) -> bool:
+        """Whether a key holds more rows than ``HOT`` even buckets."""
+        return df.groupBy(key).count().agg(F.max("count")).first()[0] > self.HOT * max(1, rows // buckets)
+
+    # ---------------------------------------------------------------- added files
+    def update(self) -> dict[str, str]:
+        """Bring what is kept up to date with the input folder, and say what was done with each written view.
+
+        Files are compared by name, length and time with those that a view was derived from.  A view none
+        of whose driver tables changed is ``kept``.  Where files were only added, and only to tables that the view's
+        parts are linear in, the rows that follow from the new files are derived and ``added`` beside the
+        rest: for each such table in turn its new files with all files of the tables before it and the former
+        files of those after it.  Otherwise the view is ``dropped`` and derived again on its next use, as is
+        a written dataset that reads a changed table.  Frames got before may no longer be readable.
+        """
+        forget(self.spark, self.sf_dir)
+        self._seen.clear()
+        done, now = {}, {t: self._files(t) for t in sorted({t for was in self._inputs.values() for t in was})}
+        same = {key for key, was in self._inputs.items() if all(was[t] == now[t] for t in was)}
+        for name in [n for n in self.WRITTEN if n in self._inputs]:
+            with self._locks[name]:
+                was = self._inputs[name]
+                if name in same:
+                    done[name] = "kept"
+                    continue
+                linear = {t for _, own, _ in self.PARTS[name] for t in own}
+                other = {t for _, _, others in self.PARTS[name] for t in others}
+                only_more = all(was[t].items() <= now[t].items() for t in was)
+                changed = {t for t in was if was[t] != now[t]}
+                # until the addition is done the view counts as dropped
+                self._views.pop(name, None)
+                del self._inputs[name]
+                done[name] = "dropped"
+                if only_more and changed <= linear - other and len(self._folders[name]) <= self.MOST_ADDED:
+                    self._views[name] = self._add(name, was, now)
+                    self._inputs[name] = {t: now[t] for t in was}
+                    done[name] = "added"
+        # unwritten frames are plans over former lists of files
+        for kept in (self._views, self.__dict__.get("_dataset_memo", {})):
+            for key in [k for k in kept if k not in same and done.get(k) != "added"]:
+                del kept[key]
+                self._inputs.pop(key, None)
+        return done
+
+    def _files(self, table: str) -> dict[str, tuple]:
+        """Length and time of each file that the kept scan of a driver table reads."""
+        if table not in self._seen:
+            self._seen[table] = self._listed(table)
+        return self._seen[table]
+
+    def _listed(self, table: str) -> dict[str, tuple]:
+        if self.sf_dir.startswith("jdbc:"):
+            return {"jdbc": (object(),)}  # equals no other listing
+        plain = lambda p: re.sub(r"^file:/+", "file:/", p)
+        found = self.spark.read.format("binaryFile").load(os.path.join(self.sf_dir, f"{table}.parquet"))
+        known = {plain(r["path"]): (r["length"], r["modificationTime"]) for r in found.select("path", "length", "modificationTime").collect()}
+        return {(p := plain(unquote(f))): known.get(p, ()) for f in self._t(table).inputFiles()}
+
+    def _delta(self, name: str, was: dict[str, dict], now: dict[str, dict]) -> DataFrame:
+        """The rows of a view that follow from the files of ``now`` but not of ``was``."""
+        rows = []
+        for part, own, _ in self.PARTS[name]:
+            for i, table in enumerate(own):
+                if new := sorted(now[table].keys() - was[table].keys()):
+                    step = Domain(self.spark, self.sf_dir, self.normalise)
+                    step._only = {table: new, **{t: sorted(was[t]) for t in own[i + 1:] if was[t] != now[t]}}
+                    rows.append(getattr(step, part)())
+        return reduce(DataFrame.unionByName, rows)
+
+    def _add(self, name: str, was: dict[str, dict], now: dict[str, dict]) -> DataFrame:
+        key, folders = self.WRITTEN[name], self._folders[name]
+        path = f"{self.store}/{name}-added-{len(folders)}"
+        self._delta(name, was, now).write.mode("overwrite").parquet(path)
+        self.log.append(f"{name}+")
+        folders.append(path)
+        plain = self.spark.read.parquet(*folders)
+        if not (table := self._buckets.get(name)):
+            return plain
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        if self._hot(plain, key, plain.count(), n):
+            del self._buckets[name]
+            self._tables.remove(table)
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            return plain
+        spec = self.spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Num Buckets'").first()
+        (self.spark.read.parquet(path).repartition(int(spec["data_type"]), key).write.mode("append")
+         .bucketBy(int(spec["data_type"]), key).sortBy(key).format("parquet").saveAsTable(table))
+        return self.spark.table(table)
+
+    def totals(self, name: str, key: str, *sums: str) -> DataFrame:
+        """Per ``key`` of a written view its rows, ``n_rows``, and the sum of each column of ``sums``.
+
+        The totals of each folder of the view are written once; after :meth:`update` only those of the
+        added rows are.  Totals of a key from several folders are summed when they are read.
+        """
+        view = self.view(name)
+        def total(df: DataFrame) -> DataFrame:
+            return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).alias(c) for c in sums])
+        if not self.store:
+            return total(view)
+        paths = []
+        for n, folder in enumerate(self._folders[name]):
+            at = (name, folder, key, sums)
+            if at not in self._totals:
+                path = f"{self.store}/totals/{name}-{key}-{'-'.join(sums)}-{n}"
+                total(self.spark.read.parquet(folder)).write.mode("overwrite").parquet(path)
+                self.log.append(f"totals of {name}" + "+" * (n > 0))
+                self._totals[at] = path
+            paths.append(self._totals[at])
+        parts = self.spark.read.parquet(*paths)
+        return parts.groupBy(key).agg(F.sum("n_rows").alias("n_rows"), *[F.sum(c).alias(c) for c in sums])
+
     def prepare(self, *names: str) -> None:
         """Write the named views at the same time, where they are not written yet."""
         with ThreadPoolExecutor(max_workers=max(1, len(names))) as pool:
@@ -140,6 +302,8 @@ class Domain:
     def drop(self) -> None:
         """Delete the written views (frames built on them can no longer be read)."""
         self._views.clear()
+        for kept in (self._folders, self._buckets, self._inputs, self._totals, self._reads, self._seen):
+            kept.clear()
         self.__dict__.pop("_dataset_memo", None)
         while self._tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop()}")
@@ -148,7 +312,12 @@ class Domain:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def _t(self, name: str) -> DataFrame:
-        return load(self.spark, self.sf_dir, name)
+        if noting := self._noting.__dict__.get("sets"):
+            noting[-1].add(name)
+        whole = load(self.spark, self.sf_dir, name)
+        if name not in self._only:
+            return whole
+        return self.spark.read.schema(whole.schema).parquet(*self._only[name]) if self._only[name] else whole.where("false")
 
     # ---------------------------------------------------------------- helpers on customer keys
     @staticmethod
@@ -170,6 +339,9 @@ class Domain:
 
     # ---------------------------------------------------------------- property register
     def build_property(self) -> DataFrame:
+        return self.properties()
+
+    def properties(self) -> DataFrame:
         k = self._k()
         child = self._is_child()
         parent = F.when(child, k - k % 10)
@@ -226,9 +398,12 @@ class Domain:
         """Base service per property (not for households nor unit kinds 2/4), plus one service
         record per order line: current for open bulk lines (quantity >= 49), else removed when the
         line shipped (by ``LAST_END`` at the latest, but for lines of 48)."""
+        return self.base_services().unionByName(self.line_services())
+
+    def base_services(self) -> DataFrame:
         k = self._k()
         child = self._is_child()
-        base = (self._t("customer")
+        return (self._t("customer")
                 .where((F.col("c_mktsegment") != "HOUSEHOLD") & ~(child & (k % 10).isin(2, 4)))
                 .select(
                     k.alias("property_key"),
@@ -241,10 +416,12 @@ class Domain:
                     F.when(k % 17 == 0, "H").otherwise("C").alias("status"),
                     F.lit(None).cast("timestamp_ntz").alias("removal_date"),
                 ))
+
+    def line_services(self) -> DataFrame:
         ended = F.lit(LAST_END).cast("timestamp_ntz")
         current = (F.col("l_linestatus") == "O") & (F.col("l_quantity") >= 49)
-        lines = (self._t("lineitem")
-                 .join(self._t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        return (self._t("lineitem")
+                .join(self._t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
                  .select(
                      F.col("o_custkey").alias("property_key"),
                      (F.col("o_custkey") + 1000000).alias("tpklpaprop"),
@@ -258,7 +435,6 @@ class Domain:
                      F.when(~current, F.when(F.col("l_quantity") == 48, F.col("l_shipdate"))
                             .otherwise(F.least("l_shipdate", ended))).alias("removal_date"),
                  ))
-        return base.unionByName(lines)
 
     # ---------------------------------------------------------------- rates
     def build_rate_type(self) -> DataFrame:
@@ -271,13 +447,16 @@ class Domain:
         """Base rate per property (not automobile accounts, not shared-dwelling parents), plus one
         rate per order: open-ended for urgent orders that are not finished, else suspended at the
         order date (by ``LAST_END`` at the latest); of another category for household-segment shared-dwelling parents."""
+        return self.base_rates().unionByName(self.order_rates())
+
+    def base_rates(self) -> DataFrame:
         k = self._k()
         child = self._is_child()
         cls = F.when(((k % 10) >= 5) | (k < 10), 0).otherwise(6)
         binx = 2 * (F.when(child & (k % 10).isin(1, 2), 0).when(k % 8 == 0, (k + 1) % 3)
                     .otherwise(k % 3))
         freq = F.when(child, 0).when(k % 9 == 0, 0).otherwise(k % 2)
-        base = (self._t("customer")
+        return (self._t("customer")
                 .where(((k % 10) != 0) & (F.col("c_mktsegment") != "AUTOMOBILE"))
                 .select(
                     k.alias("property_key"),
@@ -287,12 +466,14 @@ class Domain:
                     (k + 500000).alias("assessment_key"),
                     F.lit(None).cast("timestamp_ntz").alias("suspended_date"),
                 ))
+
+    def order_rates(self) -> DataFrame:
         household = self._t("customer").where(F.col("c_mktsegment") == "HOUSEHOLD").select(
             F.col("c_custkey").alias("__household_key"))
         ended = F.lit(LAST_END).cast("timestamp_ntz")
         open_ended = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") != "F")
         general = F.col("__household_key").isNotNull() & ((F.col("o_custkey") % 10) == 0)
-        orders = (self._t("orders")
+        return (self._t("orders")
                   .join(household, F.col("o_custkey") == F.col("__household_key"), "left")
                   .select(
                       F.col("o_custkey").alias("property_key"),
@@ -302,7 +483,6 @@ class Domain:
                       (F.col("o_custkey") + 500000).alias("assessment_key"),
                       F.when(~open_ended, F.least("o_orderdate", ended)).alias("suspended_date"),
                   ))
-        return base.unionByName(orders)
 
     def build_rate_assessment(self) -> DataFrame:
         k = self._k()
@@ -410,11 +590,17 @@ class Domain:
         """Agent addresses ('Level 1 <supplier>', some with characters that LIKE reads as a pattern);
         per customer an old address (2k) and a current one (2k+1) which, for k % 3 = 0, is care of
         the agent of its notice group."""
-        k, s = self._k(), F.col("s_suppkey")
+        return self.agent_addresses().unionByName(self.customer_addresses())
+
+    def agent_addresses(self) -> DataFrame:
+        s = F.col("s_suppkey")
         level = (F.when(s % 7 == 3, "Level _ ").when(s % 7 == 4, "Level [0-3] ").when(s % 7 == 5, "L%1 ")
                  .when(s % 7 == 6, "Level [^1] ").otherwise("LEVEL 1 "))
-        agents = self._t("supplier").select(
+        return self._t("supplier").select(
             self._agent_id().alias("tpkcnaaddr"), F.concat(level, F.col("s_name")).alias("formataddr"))
+
+    def customer_addresses(self) -> DataFrame:
+        k = self._k()
         sup = self._t("supplier").select(F.col("s_suppkey").alias("agent_no"),
                                          F.col("s_name").alias("agent_name"))
         cust = self._t("customer").withColumn("agent_no", self._group()).join(sup, "agent_no", "left")
@@ -425,7 +611,7 @@ class Domain:
                      F.when(k % 3 == 0, F.concat(F.lit("c/o Level 1 "), F.col("agent_name")))
                      .otherwise(F.col("c_name")).alias("formataddr")),
         )
-        return agents.unionByName(cust.select(F.inline(rows)))
+        return cust.select(F.inline(rows))
 
     def build_cnaidta(self) -> DataFrame:
         k = self._k()
@@ -519,4 +705,17 @@ def refresh(spark: SparkSession, sf_dir: str | None = None) -> None:
     forget(spark, sf_dir)
 
 
-__all__ = ["Domain", "domain", "BIN_BANDS", "SERVICE_CODES", "RATE_TYPES", "VIEW_NAMES", "refresh"]
+def update(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Bring what the session keeps of ``sf_dir`` up to date with its files, deriving as little again as
+    :meth:`Domain.update` allows; returns what was done with each written view."""
+    from tallyframe.session import app_id
+    app, done = app_id(spark), {}
+    with _DOMAINS_LOCK:
+        for key in [k for k in _DOMAINS if k[:2] == (app, _full(sf_dir))]:
+            did = _DOMAINS[key].update()
+            done |= did if key[2] else {f"{name} (raw)": what for name, what in did.items()}
+    forget(spark, sf_dir)
+    return done
+
+
+__all__ = ["Domain", "domain", "BIN_BANDS", "SERVICE_CODES", "RATE_TYPES", "VIEW_NAMES", "refresh", "update"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyframe import AS_OF, refresh
+from tallyframe import AS_OF, refresh, update
 from tallyframe.functions.predicates import not_contains
 from tallyframe.operators.aggregates import over_keys, sum_if
 from tallyframe.operators.joins import band_lookup, no_current
@@ -15,7 +15,7 @@ from tallyframe.operators.reconcile import (add_pair_counts, is_perfect_pairing,
 from tallyframe.plans import datasets as ds
 from tallyframe.plans import reports as R
 from tallyframe.plans.queries import REGISTRY
-from tallyframe.sources.domain import domain
+from tallyframe.sources.domain import Domain, domain
 
 
 def test_perfect_pairing_rule(spark):
@@ -253,6 +253,53 @@ def test_registers_are_written_on_first_use_and_refreshed(spark, sf_small, tmp_p
     refresh(spark, path)
 
 
+@pytest.mark.parametrize("bucketed", [False, True])
+def test_added_files_are_added_to_the_registers(spark, sf_small, tmp_path, monkeypatch, bucketed):
+    """After files are added only what follows from them is derived, and all is as if derived anew."""
+    monkeypatch.setattr(Domain, "BUCKETED_ROWS", 0 if bucketed else 10**9)
+    monkeypatch.setattr(Domain, "HOT", 10**9)
+    whole = {t: spark.read.parquet(f"{sf_small}/{t}.parquet") for t in ("customer", "nation", "orders", "lineitem", "events", "supplier")}
+    path = str(tmp_path / "sf")
+    split = {"orders": F.col("o_orderkey") % 3, "lineitem": F.col("l_orderkey") % 5, "customer": F.floor(F.col("c_custkey") / 100)}
+    for t, df in whole.items():
+        (df.where(split[t] == 0) if t in split else df).write.parquet(f"{path}/{t}.parquet")
+    add = lambda t, n: whole[t].where(split[t] == n).write.mode("append").parquet(f"{path}/{t}.parquet")
+    keys = ["register_totals", "report_single_nonmatch", "report_rates_without_services", "report_mailing_audit"]
+    views = ["property", "property_services_facts", "rate_type_facts", "cnaaddr"]
+
+    def rows(df):
+        return sorted(map(repr, df.collect()))
+
+    def check(expected, tables):
+        d = domain(spark, path)
+        start = len(d.log)
+        assert update(spark, path) == expected
+        got = {v: rows(d.view(v)) for v in views} | {k: rows(REGISTRY[k](spark, path)) for k in keys}
+        log = [t for t in d.log[start:] if not t.startswith("datasets/")]
+        assert sorted(log) == sorted(tables)
+        assert all(bool(d._buckets.get(v)) == bucketed for v in views)
+        anew = Domain(spark, path)
+        assert got | {v: rows(anew.view(v)) for v in views} == got
+        totals = anew.totals("property_services_facts", "property_key", "number_of_services", "number_of_collections")
+        assert got["register_totals"] == rows(totals)
+        return len(d.log) - start
+
+    for k in keys:
+        REGISTRY[k](spark, path).collect()
+    assert check(dict.fromkeys(views, "kept"), []) == 0  # datasets stay too
+    add("lineitem", 1)
+    kept = dict.fromkeys(views, "kept")
+    assert check({**kept, "property_services_facts": "added"}, ["property_services_facts+", "totals of property_services_facts+"]) > 2
+    add("lineitem", 2)
+    add("orders", 1)  # new lines of old orders, old lines of new orders, new lines of new orders
+    check({**kept, "property_services_facts": "added", "rate_type_facts": "added"},
+          ["property_services_facts+", "totals of property_services_facts+", "rate_type_facts+"])
+    add("customer", 1)  # old orders' rates depend on the customer
+    check({**dict.fromkeys(views, "added"), "rate_type_facts": "dropped"},
+          ["property+", "cnaaddr+", "property_services_facts+", "totals of property_services_facts+", "rate_type_facts"])
+    refresh(spark, path)
+
+
 def _exchanges(df) -> int:
     from tallyframe.plans.check import plan_summary
     return plan_summary(df)["ShuffleExchange"]
