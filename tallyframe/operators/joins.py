@@ -203,11 +203,31 @@ def latest_effective(df: DataFrame, keys: Sequence[str], eff: str) -> DataFrame:
 def eav_join(df: DataFrame, entity: str, attr: str, value: str,
              anchor: Column, other: Column, anchor_name: str, other_name: str) -> DataFrame:
     """Pair each anchor attribute row with the matching other attribute row(s) of the same entity
-    (left join: an anchor without the other attribute gets null)."""
+    (left join: an anchor without the other attribute gets null).  An entity with very many rows of either
+    attribute is split; where an entity has one row of each, :func:`eav_pivot` needs one pass."""
     a = df.where(anchor).select(F.col(entity).alias("__e"), F.col(value).alias(anchor_name))
     o = df.where(other).select(F.col(entity).alias("__o"), F.col(value).alias(other_name))
-    return a.join(o, F.col("__e") == F.col("__o"), "left").select(
-        F.col("__e").alias(entity), anchor_name, other_name)
+    return left_join_skew_safe(a, o, "__e", "__o").select(F.col("__e").alias(entity), anchor_name, other_name)
+
+
+def eav_pivot(df: DataFrame, entity: str, attr: str, value: str, names: Mapping[str, str],
+              unique: bool = True) -> DataFrame:
+    """One row per entity with a column per attribute of ``names`` (attribute -> column), null where it has none.
+
+    One conditional aggregation in one pass and one shuffle of partial rows, so an entity with a large
+    share of all rows is one row per task before it.  An attribute is expected once per entity: two different values
+    are an error, raised at run time; with ``unique=False`` the greatest is taken, and ``<column>_rows`` says
+    how many rows there were.  Rows with a null entity form one; rows of other attributes only keep their
+    entity in the result.
+    """
+    found = {c: F.when(F.col(attr) == a, F.col(value)) for a, c in names.items()}
+    if not unique:
+        rows = {f"{c}_rows": F.count_if(F.coalesce(F.col(attr) == a, F.lit(False))) for a, c in names.items()}
+        return df.groupBy(entity).agg(*[F.max(x).alias(c) for c, x in found.items()], *[x.alias(c) for c, x in rows.items()])
+    both = df.groupBy(entity).agg(*[f(x).alias(f"{p}{c}") for c, x in found.items() for p, f in (("__min_", F.min), ("__max_", F.max))])
+    return both.select(entity, *[
+        F.when(F.col(f"__min_{c}") < F.col(f"__max_{c}"), F.raise_error(F.lit(f"attribute {c}: more than one value")).cast(df.schema[value].dataType))
+        .otherwise(F.col(f"__min_{c}")).alias(c) for c in found])
 
 
 def eav_count(df: DataFrame, entity: str, value: str, anchor: Column, other: Column,

@@ -433,12 +433,13 @@ def m_parent_rates(d: Domain, as_of) -> DataFrame:
     return j.select("property_key", "ratetype", "assessment", "vgnumber", "ratepayer")
 
 
-def _side_summary(services: DataFrame, key: str, as_of, prefix: str) -> DataFrame:
+def _side_summary(owners: DataFrame, key: str, services: DataFrame, as_of, prefix: str) -> DataFrame:
     """Per owner key: the service rows that survive the parent/child stream filter, summarised so
     that the parent x child product can be formed from counts instead of rows.
 
     An owner without service rows keeps one null row (count 1, zero sums), as a left join does;
-    an owner whose rows all fail the filter disappears.
+    an owner whose rows all fail the filter disappears.  Services are summed per property before the
+    join, so an owner with very many of them is one row there.
     """
     code, n = F.col(f"{prefix}_service_code"), F.col(f"{prefix}_number_of_services")
     act = F.col(f"{prefix}_is_active")
@@ -447,17 +448,20 @@ def _side_summary(services: DataFrame, key: str, as_of, prefix: str) -> DataFram
                                                > instant(as_of)))
         & (m_eq(F.left(code, F.lit(1)), "R") | (m_eq(F.left(code, F.lit(1)), "G") & m_eq(act, "No"))
            | m_eq(F.left(code, F.lit(1)), "N")))
-    s = services.where(m_filter(ok))
     notnull = code.isNotNull()
-    return s.groupBy(key).agg(
-        F.count(F.lit(1)).alias(f"{prefix}_rows"),
-        F.sum(F.when(notnull & m_ne(code, "N0000UA"), n).otherwise(0)).alias(f"{prefix}_count"),
-        F.sum(F.when(notnull & m_eq(F.left(code, F.lit(1)), "R"), n).otherwise(0)).alias(f"{prefix}_red"),
-        F.sum(F.when(notnull, n).otherwise(0)).alias(f"{prefix}_any"),
-        F.sum(F.when(m_filter(m_eq(code, "N0000UA") & m_eq(act, "Yes")), 1).otherwise(0))
-        .alias(f"{prefix}_ua"),
-        F.min(act).alias(f"{prefix}_min_active"),
-    )
+    sums = {"count": F.when(notnull & m_ne(code, "N0000UA"), n).otherwise(0),
+            "red": F.when(notnull & m_eq(F.left(code, F.lit(1)), "R"), n).otherwise(0),
+            "any": F.when(notnull, n).otherwise(0),
+            "ua": F.when(m_filter(m_eq(code, "N0000UA") & m_eq(act, "Yes")), 1).otherwise(0)}
+    ok = m_filter(ok)
+    per_key = services.where(F.col("property_key").isNotNull()).groupBy(F.col("property_key").alias("__owner")).agg(
+        F.count(F.when(ok, 1)).alias(f"{prefix}_rows"), F.min(F.when(ok, act)).alias(f"{prefix}_min_active"),
+        *[F.sum(F.when(ok, x)).alias(f"{prefix}_{name}") for name, x in sums.items()])
+    none = F.col("__owner").isNull()
+    return (owners.join(per_key, F.col(key) == F.col("__owner"), "left").where(none | (F.col(f"{prefix}_rows") > 0))
+            .groupBy(key).agg(F.sum(F.when(none, 1).otherwise(F.col(f"{prefix}_rows"))).alias(f"{prefix}_rows"),
+                              *[F.sum(F.when(none, 0).otherwise(F.col(f"{prefix}_{name}"))).alias(f"{prefix}_{name}") for name in sums],
+                              F.min(f"{prefix}_min_active").alias(f"{prefix}_min_active")))
 
 
 @_kept
@@ -475,13 +479,11 @@ def m_parent_child_service_aggregation(d: Domain, as_of) -> DataFrame:
     codes = d.property_service_codes_custom
 
     def side(owner_keys: DataFrame, key: str, prefix: str) -> DataFrame:
-        j = nested_join(owner_keys, psf, [key], ["property_key"],
-                        {"service_code": f"{prefix}_service_code",
-                         "number_of_services": f"{prefix}_number_of_services",
-                         "status": f"{prefix}_status", "removal_date": f"{prefix}_removal_date"}, null_keys=False)
-        j = nested_join(j, codes, [f"{prefix}_service_code"], ["service_code"],
-                        {"is_active": f"{prefix}_is_active"}, null_keys=False)
-        return _side_summary(j, key, as_of, prefix)
+        columns = ["service_code", "number_of_services", "status", "removal_date"]
+        services = psf.select("property_key", *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
+        services = nested_join(services, codes, [f"{prefix}_service_code"], ["service_code"],
+                               {"is_active": f"{prefix}_is_active"}, null_keys=False)
+        return _side_summary(owner_keys, key, services, as_of, prefix)
 
     p_side = side(parents.select("property_key"), "property_key", "parent")
     children = nested_join(parents.select("property_key"), m_child_properties(d), ["property_key"],

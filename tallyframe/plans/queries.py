@@ -20,7 +20,7 @@ from tallyframe.functions.text import (concat_lines, rate_bin_type, rate_class,
                                        trim_end)
 from tallyframe.operators.aggregates import (count_over, flag_any_over, min_flag, over_keys,
                                              service_category, sum_if, sum_if_over, sum_over)
-from tallyframe.operators.joins import (band_lookup, branch_parents, eav_join, join_codes, join_text_key,
+from tallyframe.operators.joins import (band_lookup, branch_parents, eav_join, eav_pivot, join_codes, join_text_key,
                                         join_where, latest_effective, leaf_parents, missing,
                                         nested_join, no_current, with_children, with_parent)
 from tallyframe.operators.reconcile import (is_perfect_pairing, pair_by_key, reconcile, reconcile_matches,
@@ -394,6 +394,13 @@ def q_register_totals(spark, sf):
     return _d(spark, sf).totals("property_services_facts", "property_key", "number_of_services", "number_of_collections")
 
 
+@register("eav_pivot")
+def q_eav_pivot(spark, sf):
+    """Requests as one row each: property key and case status, which every request has at most once."""
+    orq = _d(spark, sf).onecrm_request_questions
+    return eav_pivot(orq, "request_facts_key", "question", "answer", {"PropertyKey": "propertykey", "CaseStatus": "case_status"})
+
+
 @register("eav_join")
 def q_eav_join(spark, sf):
     orq = _d(spark, sf).onecrm_request_questions

@@ -184,6 +184,24 @@ def _sum0(x: Column) -> Column:
     return F.coalesce(F.sum(x), F.lit(0))
 
 
+def _sums_per_activity(d: Domain, keep: Column, active: str, sums: dict[str, Column]) -> DataFrame:
+    """Per property with service rows (``__ps_key``) and activity of their codes: how many rows there are
+    that ``keep`` holds for, ``ps_rows`` (0: none of them), and ``sums`` over those.
+
+    Services are summed before they meet the properties: a property with a third of all services is
+    a row or two for each task that scans them, and no join has it on a side that cannot be split.
+    """
+    ps = d.property_services_facts.where(F.col("property_key").isNotNull()).select(
+        F.col("property_key").alias("__ps_key"), F.col("service_code").alias("ps_code"),
+        F.col("number_of_services").alias("ps_n"), F.col("status").alias("ps_status"),
+        F.col("removal_date").alias("ps_removal"))
+    sc = d.property_service_codes_custom.select(F.col("service_code").alias("__sc_code"),
+                                                F.col("is_active").alias(active))
+    return (ps.join(sc, F.col("ps_code") == F.col("__sc_code"), "left")
+            .groupBy("__ps_key", active)
+            .agg(F.count(F.when(keep, 1)).alias("ps_rows"), *[F.sum(F.when(keep, x)).alias(n) for n, x in sums.items()]))
+
+
 @ds._memo
 def _br_parent_side(d: Domain, as_of) -> DataFrame:
     """Per parentless current property and own-code activity: own service rows that pass the
@@ -191,28 +209,23 @@ def _br_parent_side(d: Domain, as_of) -> DataFrame:
     without service rows keeps one null row; one whose rows all fail disappears."""
     p = d.property.where(F.col("parent_property_key").isNull() & (F.col("status") == "C")).select(
         "property_key", "tpklpaprop", "formatted_address", "suburb")
-    ps = d.property_services_facts.select(
-        F.col("property_key").alias("__ps_key"), F.col("service_code").alias("ps_code"),
-        F.col("number_of_services").alias("ps_n"), F.col("status").alias("ps_status"),
-        F.col("removal_date").alias("ps_removal"))
-    sc = d.property_service_codes_custom.select(F.col("service_code").alias("__sc_code"),
-                                                F.col("is_active").alias("sc_active"))
-    j = (p.join(ps, F.col("property_key") == F.col("__ps_key"), "left")
-         .join(sc, F.col("ps_code") == F.col("__sc_code"), "left"))
     code = F.col("ps_code")
-    keep = F.col("__ps_key").isNull() | (
-        code.like("R%") | ((F.col("ps_status") == "C") & code.like("G%") & (F.col("sc_active") == "No"))
-        | code.like("N%"))
-    act = active_any("ps_status", "ps_removal", as_of)
-    return (j.where(keep)
+    keep = code.like("R%") | ((F.col("ps_status") == "C") & code.like("G%") & (F.col("sc_active") == "No")) | code.like("N%")
+    sums = _sums_per_activity(d, keep, "sc_active", _br_sums(as_of, "sc_active"))
+    # every use of these sums is null-defaulted in the source (isnull(sum(..), 0))
+    return (p.join(sums, F.col("property_key") == F.col("__ps_key"), "left")
+            .where(F.col("__ps_key").isNull() | (F.col("ps_rows") > 0))
             .groupBy("property_key", "tpklpaprop", "formatted_address", "suburb", "sc_active")
-            .agg(F.count(F.lit(1)).alias("ps_rows"),
-                 # every use of these sums is null-defaulted in the source (isnull(sum(..), 0))
-                 _sum0(F.when(act & (code != "N0000UA"), F.col("ps_n")).otherwise(0)).alias("ps_f"),
-                 _sum0(F.when(code.like("R%") & act, F.col("ps_n")).otherwise(0)).alias("ps_red"),
-                 _sum0(F.when(act, F.col("ps_n")).otherwise(0)).alias("ps_act"),
-                 F.sum(F.when((code == "N0000UA") & (F.col("sc_active") == "Yes"), 1).otherwise(0))
-                 .alias("ps_ua")))
+            .agg(F.sum(F.coalesce("ps_rows", F.lit(1))).alias("ps_rows"),
+                 *[_sum0(F.col(c)).alias(c) for c in ("ps_f", "ps_red", "ps_act", "ps_ua")]))
+
+
+def _br_sums(as_of, active: str) -> dict[str, Column]:
+    """What J5 sums over service rows: chargeable, red and active services, and rows of the special code."""
+    code, n = F.col("ps_code"), F.col("ps_n")
+    act = active_any("ps_status", "ps_removal", as_of)
+    return {"ps_f": F.when(act & (code != "N0000UA"), n).otherwise(0), "ps_red": F.when(code.like("R%") & act, n).otherwise(0),
+            "ps_act": F.when(act, n).otherwise(0), "ps_ua": F.when((code == "N0000UA") & (F.col(active) == "Yes"), 1).otherwise(0)}
 
 
 @ds._memo
@@ -220,23 +233,10 @@ def _br_child_side(d: Domain, as_of) -> DataFrame:
     """Per child property and code activity: all its service rows, summarised."""
     cp = d.property.where(F.col("parent_property_key").isNotNull()).select(
         F.col("property_key").alias("cp_key"))
-    cps = d.property_services_facts.select(
-        F.col("property_key").alias("__cps_key"), F.col("service_code").alias("cps_code"),
-        F.col("number_of_services").alias("cps_n"), F.col("status").alias("cps_status"),
-        F.col("removal_date").alias("cps_removal"))
-    csc = d.property_service_codes_custom.select(F.col("service_code").alias("__csc_code"),
-                                                 F.col("is_active").alias("csc_active"))
-    j = (cp.join(cps, F.col("cp_key") == F.col("__cps_key"), "left")
-         .join(csc, F.col("cps_code") == F.col("__csc_code"), "left"))
-    code = F.col("cps_code")
-    act = active_any("cps_status", "cps_removal", as_of)
-    return (j.groupBy("cp_key", "csc_active")
-            .agg(F.count(F.lit(1)).alias("cps_rows"),
-                 _sum0(F.when(act & (code != "N0000UA"), F.col("cps_n")).otherwise(0)).alias("cps_f"),
-                 _sum0(F.when(code.like("R%") & act, F.col("cps_n")).otherwise(0)).alias("cps_red"),
-                 _sum0(F.when(act, F.col("cps_n")).otherwise(0)).alias("cps_act"),
-                 F.sum(F.when((code == "N0000UA") & (F.col("csc_active") == "Yes"), 1).otherwise(0))
-                 .alias("cps_ua")))
+    sums = _sums_per_activity(d, F.lit(True), "csc_active", _br_sums(as_of, "csc_active"))
+    return (cp.join(sums, F.col("cp_key") == F.col("__ps_key"), "left").groupBy("cp_key", "csc_active")
+            .agg(F.sum(F.coalesce("ps_rows", F.lit(1))).alias("cps_rows"),
+                 *[_sum0(F.col(c)).alias(f"c{c}") for c in ("ps_f", "ps_red", "ps_act", "ps_ua")]))
 
 
 @ds._kept
@@ -380,23 +380,18 @@ def _unrated_families(d: Domain, as_of) -> DataFrame:
          .join(rates.select(F.col("rates_property_key").alias("__rk")),
                F.col("property_key") == F.col("__rk"), "left_anti")
          .select("property_key", "tpklpaprop", "formatted_address", "suburb"))
-    ps = d.property_services_facts.select(
-        F.col("property_key").alias("__ps_key"), F.col("service_code").alias("ps_code"),
-        F.col("number_of_services").alias("ps_n"), F.col("status").alias("ps_status"),
-        F.col("removal_date").alias("ps_removal"))
-    sc = d.property_service_codes_custom.select(F.col("service_code").alias("__sc_code"),
-                                                F.col("is_active").alias("sc_active"))
     code = F.col("ps_code")
-    keep = F.col("__ps_key").isNull() | (
-        active_any("ps_status", "ps_removal", as_of)
-        & (code.like("R%") | (code.like("G%") & F.col("sc_active").like("No%")) | code.like("N%")))
-    # own services summarised per (parent, code activity) before meeting the children
-    own = (p.join(ps, F.col("property_key") == F.col("__ps_key"), "left")
-           .join(sc, F.col("ps_code") == F.col("__sc_code"), "left")
-           .where(keep)
+    keep = (active_any("ps_status", "ps_removal", as_of)
+            & (code.like("R%") | (code.like("G%") & F.col("sc_active").like("No%")) | code.like("N%")))
+    # own services summarised per (parent, code activity) before meeting the parents and their children;
+    # a parent without service rows has none in sum, and no red ones
+    sums = _sums_per_activity(d, keep, "sc_active", {
+        "ps_sum": F.col("ps_n"), "ps_red": F.when(F.left(code, F.lit(1)) == "R", F.col("ps_n")).otherwise(0)})
+    own = (p.join(sums, F.col("property_key") == F.col("__ps_key"), "left")
+           .where(F.col("__ps_key").isNull() | (F.col("ps_rows") > 0))
            .groupBy("property_key", "sc_active")
-           .agg(F.sum("ps_n").alias("ps_sum"),
-                F.sum(F.when(F.left(code, F.lit(1)) == "R", F.col("ps_n")).otherwise(0)).alias("ps_red")))
+           .agg(F.sum("ps_sum").alias("ps_sum"),
+                F.sum(F.when(F.col("__ps_key").isNull(), 0).otherwise(F.col("ps_red"))).alias("ps_red")))
     bsx = d.reg_bserv_bin_services.select(F.col("property_key_link_to_property").alias("__bs_key"),
                                           "c_calculation_method")
     asm = d.rate_assessment.select(F.col("tfklpaprop").alias("__a_tpk"),

@@ -447,6 +447,44 @@ def test_hot_parents_are_split(spark, hot_conf, case):
         assert "coalesce(parent_property_key" not in final and "isnotnull(parent_property_key" in final
 
 
+def test_services_of_a_hot_property_are_summed_first(spark, hot_conf):
+    """J5, J6 and the family aggregation meet a property's services as a row per code activity."""
+    d = _hot_registers(spark)
+    facts = d._views["property_services_facts"]
+    one = facts.where("service_code IS NOT NULL").first()
+    hot = spark.range(6000).selectExpr("if(id % 3 = 0, 41L, 200 + id % 900) property_key").select(
+        "property_key", *[F.lit(one[f.name]).cast(f.dataType).alias(f.name) for f in facts.schema if f.name != "property_key"])
+    d._views["property_services_facts"] = facts.unionByName(hot)
+    sums = R._sums_per_activity(d, F.lit(True), "active", {"n": F.col("ps_n")})
+    assert sums.groupBy("__ps_key").count().agg({"count": "max"}).first()[0] <= 4
+    assert sums.agg({"ps_rows": "sum"}).first()[0] == d.property_services_facts.where("property_key IS NOT NULL").count()
+    for report in (R.rates_without_services, R.services_without_rates, ds.m_parent_child_service_aggregation):
+        plan = report(d, AS_OF)
+        plan.collect()
+        final = plan._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in final and "BroadcastNestedLoopJoin" not in final
+
+
+def test_attributes_of_a_hot_entity(spark, hot_conf):
+    from tallyframe.operators.joins import eav_join, eav_pivot
+    df = spark.range(9000).selectExpr("if(id % 3 = 0, 7, id) e", "if(id % 2 = 0 AND id <> 6, 'S', if(id % 9 = 1 OR id = 6, 'P', 'X')) q", "string(id) v")
+    anchor, other = F.col("q") == "P", F.col("q") == "S"
+    got = eav_join(df, "e", "q", "v", anchor, other, "p", "s")
+    a, o = df.where(anchor).select("e", F.col("v").alias("p")), df.where(other).select("e", F.col("v").alias("s"))
+    want = a.join(o, "e", "left")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "skew=true" in final
+    wide = eav_pivot(df, "e", "q", "v", {"P": "p", "S": "s"}, unique=False)
+    assert wide.count() == df.select("e").distinct().count()
+    assert wide.where("e = 7").select("s_rows").first()[0] == df.where("e = 7 AND q = 'S'").count()
+    plain = df.where("e <> 7")
+    one = {r["e"]: (r["p"], r["s"]) for r in eav_pivot(plain, "e", "q", "v", {"P": "p", "S": "s"}).collect()}
+    assert one == {r["e"]: (r["v"] if r["q"] == "P" else None, r["v"] if r["q"] == "S" else None) for r in plain.collect()}
+    with pytest.raises(Exception, match="more than one value"):
+        eav_pivot(df, "e", "q", "v", {"S": "s"}).collect()
+
+
 def test_no_current_matches_not_exists(spark):
     left = spark.createDataFrame([(1, None), (2, "x"), (3, None), (None, "y"), (4, "z")], "k int, code string")
     facts = spark.createDataFrame([(2, "C"), (2, "C"), (3, "C"), (4, "H"), (4, None), (None, "C")], "fk int, status string")
