@@ -1,7 +1,8 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines of ``MIN_CHARS`` characters or more (without white space at the ends) are compared across the
-whole corpus.  Equal lines meet by a 128-bit digest.  Distinct lines within ``THRESHOLD`` (t) edits of
+All lines that hold a letter or digit, and all of ``MIN_CHARS`` characters or more (without white space at
+the ends), are compared across the whole corpus.  Equal lines meet by a 128-bit digest.  Distinct lines
+of ``MIN_CHARS`` or more (two edits make another word of a short one) within ``THRESHOLD`` (t) edits of
 each other are found by partition: a line is split into t + 1 segments, of which one at least is
 untouched by t edits.  Every line is posted under its own segments (the index) and under the
 substrings of itself that could be a segment of a line of the same length or up to t shorter (the
@@ -17,14 +18,15 @@ of about ``LIST`` x 8 lines and every two blocks meet in a task, which compares
 verifies only pairs of lines that are not connected yet, and hands on the connecting links only, so
 what leaves the task is linear in the lines.
 
-Defined cases: a null text has no lines and stays null.  Short lines, empty ones included, always
-stay.  Null ``doc_id`` values come last in the order; rows with the same ``doc_id`` are ordered as
+Defined cases: a null text has no lines and stays null.  Empty lines, and short ones of marks only, always
+stay; other short lines go if they equal an earlier one.  Null ``doc_id`` values come last in the order; rows with the same ``doc_id`` are ordered as
 read.  A text all of whose lines go becomes empty; its row stays.  An empty table gives no rows.
 Columns other than ``doc_id``, ``text`` and ``n_chars`` pass through unread.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,7 @@ from .common import GONE, ROW, aside, few, runs, ship, with_row, written
 from .components import connected, stars
 from .wordcache import blocks
 
+#: Least length of the lines that edits are allowed in.
 MIN_CHARS = 24
 THRESHOLD = 2
 #: Longest list of lines sharing a segment whose pairs are formed at once.
@@ -182,15 +185,19 @@ def _common(a: str, b: str, n: int) -> int:
     return low if high == low or a[low:high] != b[low:high] else high
 
 
-def _lines(batch: pa.RecordBatch) -> Iterator[tuple[list[tuple], list[str]]]:
-    """Blocks of ((row, doc_id, line number), ...) and their lines, from columns row, doc_id, text."""
+_WORD = re.compile(r"[^\W_]")
+
+
+def _lines(batch: pa.RecordBatch, least: int = MIN_CHARS) -> Iterator[tuple[list[tuple], list[str]]]:
+    """Blocks of ((row, doc_id, line number), ...) and their lines, from columns row, doc_id, text; of the
+    lines under ``MIN_CHARS`` those of ``least`` characters with a letter or digit."""
     rows, ids, texts = (c.to_pylist() for c in batch.columns[:3])
     texts = [t or "" for t in texts]
     for a, b in blocks(texts):
         places, lines = [], []
         for r, d, t in zip(rows[a:b], ids[a:b], texts[a:b], strict=True):
             for n, line in enumerate(t.split("\n")):
-                if len(s := line.strip()) >= MIN_CHARS:
+                if (size := len(s := line.strip())) >= MIN_CHARS or size >= least and _WORD.search(s):
                     places.append((r, d, n))
                     lines.append(s)
         yield places, lines
@@ -216,7 +223,7 @@ _FOUND = "a long, b long, key long"
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for places, lines in _lines(batch):
+        for places, lines in _lines(batch, 1):
             h = [_digest(s) for s in lines]
             yield _frame(_PLACES, [x[0] for x in h], [x[1] for x in h], [p[0] for p in places], [p[1] for p in places], [p[2] for p in places])
 

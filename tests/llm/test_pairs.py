@@ -65,10 +65,12 @@ def test_edit_distance_and_partition(t):
 
 def brute_lines(rows, t=linededup.THRESHOLD):
     """For rows (doc_id, text) in order: the line numbers that go."""
-    places = [(r, n, line.strip()) for r, (_, text) in enumerate(rows) if text for n, line in enumerate(text.split("\n")) if len(line.strip()) >= linededup.MIN_CHARS]
+    places = [(r, n, line.strip()) for r, (_, text) in enumerate(rows) if text for n, line in enumerate(text.split("\n"))
+              if len(line.strip()) >= 24 or any(c.isalnum() for c in line)]
     order = sorted(range(len(places)), key=lambda i: (rows[places[i][0]][0] is None, rows[places[i][0]][0] or 0, places[i][0], places[i][1]))
     places = [places[i] for i in order]
-    pairs = [(i, j) for j in range(len(places)) for i in range(j) if abs(len(places[i][2]) - len(places[j][2])) <= t and edits(places[i][2], places[j][2]) <= t]
+    pairs = [(i, j) for j in range(len(places)) for i in range(j) if places[i][2] == places[j][2] or min(len(places[i][2]), len(places[j][2])) >= 24
+             and abs(len(places[i][2]) - len(places[j][2])) <= t and edits(places[i][2], places[j][2]) <= t]
     roots = union(len(places), pairs)
     gone = {}
     for i, (r, n, _) in enumerate(places):
@@ -84,7 +86,7 @@ def test_line_dedup_matches_all_pairs(spark, docs, longest):
     rows = []
     for i in range(40):
         lines = [mutated(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 4])) for _ in range(rng.randrange(1, 4))]
-        rows.append((i, "\n".join([*lines, "short", ""])))
+        rows.append((i, "\n".join([*lines, rng.choice(["short", "shore", "(c) 1", "--", "é"]), "", "***"])))
     expected = brute_lines(rows)
     got = {r["doc_id"]: r["dropped"] for r in linededup.report(docs(rows), longest=longest).collect()}
     assert {d: sorted(int(x.split(":")[0]) for x in v.split(",")) for d, v in got.items() if v} == expected

@@ -45,12 +45,12 @@ def test_line_stage(stages):
     before, after = rows(stages[1]), rows(stages[2])
     assert before.keys() == after.keys()
     seen, t = [], linededup.THRESHOLD
-    lines = [(d, n, line.strip()) for d in sorted(before) for n, line in enumerate(before[d]["text"].split("\n")) if len(line.strip()) >= linededup.MIN_CHARS]
+    lines = [(d, n, line.strip()) for d in sorted(before) for n, line in enumerate(before[d]["text"].split("\n")) if len(line.strip()) >= 24 or any(c.isalnum() for c in line)]
     pairs = []
     by = defaultdict(list)
     for i, (_, _, s) in enumerate(lines):
         for size in range(len(s) - t, len(s) + t + 1):
-            pairs += [(j, i) for j in by[size] if linededup.within(lines[j][2], s, t)]
+            pairs += [(j, i) for j in by[size] if lines[j][2] == s or min(size, len(s)) >= 24 and linededup.within(lines[j][2], s, t)]
         by[len(s)].append(i)
     gone = {lines[i][:2] for i, r in enumerate(union(len(lines), pairs)) if r != i}
     for d, r in after.items():
