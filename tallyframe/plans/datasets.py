@@ -61,6 +61,13 @@ TASK_CW_IMPACT = "DW Charge Impact possible"
 
 
 # ============================================================================ rates
+@_kept_by("property_key")
+def current_rate_facts(d: Domain, as_of) -> DataFrame:
+    """Rate facts not suspended at ``as_of``.  Kept, since rates, their counts and pairs read them several
+    times: few of all facts are current, so the others are neither joined, shuffled nor written."""
+    return d.derived("rate_type_facts").where(not_ended("suspended_date", as_of))
+
+
 def current_rates(d: Domain, as_of, category: str = "DWM", with_assessment: bool = True,
                   exclude_special: bool = False) -> DataFrame:
     """Rate facts of current-period rate types of one category, not suspended at ``as_of``,
@@ -68,8 +75,7 @@ def current_rates(d: Domain, as_of, category: str = "DWM", with_assessment: bool
     rt = d.rate_type.where((F.col("is_current_period") == "Y") & (F.col("category_code") == category))
     if exclude_special:
         rt = rt.where(F.col("ratetype") != "N0000UA")
-    rates = decode_rate_type(d.rate_type_facts.where(not_ended("suspended_date", as_of))
-                             .join(rt, "ratetype_key"))
+    rates = decode_rate_type(current_rate_facts(d, as_of).join(rt, "ratetype_key"))
     if with_assessment:
         rates = rates.join(d.rate_assessment, "assessment_key")
     return rates
@@ -100,14 +106,21 @@ def current_services(d: Domain, as_of) -> DataFrame:
                    | starts("service_code", "N"))
 
 
+@_kept_by("property_key")
+def active_red_services(d: Domain, as_of) -> DataFrame:
+    """Red service facts that are active at ``as_of``.  Kept, since the band lookup and the counts read them
+    several times: few of all facts are, and only their lines meet the orders."""
+    return d.derived("property_services_facts").where(
+        active_any("status", "removal_date", as_of) & starts("service_code", "R"))
+
+
 def single_service_groups(d: Domain, as_of, method_prefix: str = "SNG") -> DataFrame:
     """Active red services of single-dwelling registrations, classified into bin bands by
     container size and grouped per property, band, method and collection frequency."""
     pbr = d.reg_bserv_bin_services
-    svc = (d.property_services_facts
+    svc = (active_red_services(d, as_of)
            .join(pbr, F.col("property_key") == F.col("property_key_link_to_property"))
-           .where(active_any("status", "removal_date", as_of) & starts("service_code", "R")
-                  & starts("c_calculation_method", method_prefix))
+           .where(starts("c_calculation_method", method_prefix))
            .withColumn("bin_size", try_int("container_type", blank_as_zero=True)))
     svc = band_lookup(svc, d.reg_bband_bin_bands, "bin_size", "bin_type",
                       by=("c_calculation_method", "c_calculation_method"))
@@ -131,7 +144,7 @@ def _single_property_services(d: Domain, as_of) -> DataFrame:
         F.col("number_of_collections").alias("service_frequency"), "service_units", "avg_bin_size")
     pbr = d.reg_bserv_bin_services.select(F.col("property_key_link_to_property").alias("__reg_key"),
                                           "c_audit_date")
-    p = d.property.where(F.col("status") == "C")
+    p = d.derived("property").where(F.col("status") == "C")
     cols = ["property_key", "tpklpaprop", "formatted_address", "suburb", "property_type", "assessment_key"]
     out = (p.join(psg, F.col("property_key") == F.col("__svc_key"))
            .join(pbr, F.col("property_key") == F.col("__reg_key"), "left")
@@ -148,8 +161,7 @@ def shared_parents(d: Domain, as_of) -> DataFrame:
     """Shared-dwelling parents: total container volume (size x collections x services) and the
     average collection frequency of their active red services."""
     pbr = d.reg_bserv_bin_services.where(starts("c_calculation_method", "SHA"))
-    ps = d.property_services_facts.where(active_any("status", "removal_date", as_of)
-                                         & starts("service_code", "R"))
+    ps = active_red_services(d, as_of)
     p = d.property.where(F.col("status") == "C").select(
         F.col("property_key").alias("parent_key"), F.col("tpklpaprop").alias("parent_tpklpaprop"),
         F.col("formatted_address").alias("parent_formatted_address"),

@@ -883,22 +883,22 @@ def q_publish_report(spark, sf):
 # ============================================================================ 2.J reports
 @register("report_single_nonmatch")
 def q_report_single_nonmatch(spark, sf):
-    return _report(spark, sf, lambda d: R.single_nonmatches(d, AS_OF))
+    return _report(spark, sf, lambda d: R.single_nonmatches(d, AS_OF), ("property",))
 
 
 @register("report_single_match")
 def q_report_single_match(spark, sf):
-    return _report(spark, sf, lambda d: R.single_matches(d, AS_OF))
+    return _report(spark, sf, lambda d: R.single_matches(d, AS_OF), ("property",))
 
 
 @register("report_shared_nonmatch")
 def q_report_shared_nonmatch(spark, sf):
-    return _report(spark, sf, lambda d: R.shared_nonmatches(d, AS_OF))
+    return _report(spark, sf, lambda d: R.shared_nonmatches(d, AS_OF), ("property",))
 
 
 @register("report_shared_match")
 def q_report_shared_match(spark, sf):
-    return _report(spark, sf, lambda d: R.shared_matches(d, AS_OF))
+    return _report(spark, sf, lambda d: R.shared_matches(d, AS_OF), ("property",))
 
 
 @register("report_rates_without_services")

@@ -344,6 +344,32 @@ def test_a_hot_key_is_not_bucketed(spark, sf_small, tmp_path, monkeypatch):
     refresh(spark, path)
 
 
+def test_reconciliation_moves_current_facts_only(spark, sf_small, tmp_path):
+    """Facts that ended are neither written nor joined for a reconciliation; written registers give the same rows."""
+    path = str(tmp_path / "sf")
+    for name in ("customer", "orders", "lineitem", "nation"):
+        spark.read.parquet(f"{sf_small}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    try:
+        got = rows(REGISTRY["reconcile_nonmatch"](spark, path))
+        d = domain(spark, path)
+        assert got and all(t.startswith("datasets/") for t in d.log)
+        services, rates = ds.active_red_services(d, AS_OF), ds.current_rate_facts(d, AS_OF)
+        assert 0 < services.count() < d.property_services_facts.count() / 2 and 0 < rates.count() < d.rate_type_facts.count() / 2
+        # now that the registers are written, datasets are derived from them
+        was = rows(services), rows(rates)
+        d.__dict__.pop("_dataset_memo")
+        assert (rows(ds.active_red_services(d, AS_OF)), rows(ds.current_rate_facts(d, AS_OF))) == was
+        assert d.property.count() and rows(REGISTRY["reconcile_nonmatch"](spark, path)) == got
+        # the filters of a dataset stand below the join with the orders
+        anew = Domain(spark, path)
+        plan = anew.derived("property_services_facts").where((F.col("status") == "C") & (F.col("service_code") == "R0002"))
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_returnflag" in text.split("Join", 1)[1] and "Filter" not in text.split("Join", 1)[0]
+    finally:
+        refresh(spark, path)
+
+
 def test_report_order_splits_a_hot_key(spark):
     """A property with a third of all rows spreads over many sort tasks; the order is total."""
     from tallyframe.plans.reports import sorted_report
