@@ -97,7 +97,7 @@ def current_services(d: Domain, as_of) -> DataFrame:
     """Service facts that are active at ``as_of`` and of a bin stream: red (R), inactive-code
     green (G with an inactive code), or N; with the code's ``is_active``."""
     codes = d.property_service_codes_custom
-    psf = d.property_services_facts.where(
+    psf = d.derived("property_services_facts").where(
         active_any("status", "removal_date", as_of)
         & (starts("service_code", "R") | starts("service_code", "G") | starts("service_code", "N")))
     j = psf.join(codes, "service_code", "left")
@@ -293,10 +293,10 @@ def m_child_properties(d: Domain) -> DataFrame:
     return m_property(d).where(F.col("parent_property_key").isNotNull())
 
 
-@_memo
+@_kept_by("property_key")
 def m_services_facts(d: Domain) -> DataFrame:
-    """M ``Property_Services_Facts``: only status C rows."""
-    return d.property_services_facts.where(m_filter(m_eq("status", "C")))
+    """M ``Property_Services_Facts``: only status C rows.  Kept, since the family totals read them several times."""
+    return d.derived("property_services_facts").where(m_filter(m_eq("status", "C")))
 
 
 @_memo
@@ -365,7 +365,7 @@ def m_bin_services_info(d: Domain) -> DataFrame:
 @_memo
 def m_property_rates(d: Domain, as_of) -> DataFrame:
     """Per property: number of current DWM rates and their unit total (``PropertyRates``)."""
-    rtf = d.rate_type_facts
+    rtf = current_rate_facts(d, as_of)
     j = nested_join(rtf, m_current_rate_types(d), ["ratetype_key"], ["ratetype_key"],
                     ["is_current_period", "category_code"], how="inner", null_keys=False)
     j = j.where(m_filter(m_eq("is_current_period", "Y") & m_eq("category_code", "DWM")
@@ -391,7 +391,7 @@ def m_child_rates_totals(d: Domain, as_of) -> DataFrame:
 @_kept_by("property_key")
 def m_rates_with_assessment(d: Domain, as_of) -> DataFrame:
     """Current DWM rates other than N0000UA with their assessment, shared by the three audits."""
-    rtf = d.rate_type_facts
+    rtf = current_rate_facts(d, as_of)
     j = nested_join(rtf, m_current_rate_types(d), ["ratetype_key"], ["ratetype_key"],
                     ["is_current_period", "category_code", "ratetype"], how="inner", null_keys=False)
     j = j.where(m_filter(m_eq("is_current_period", "Y") & m_eq("category_code", "DWM")

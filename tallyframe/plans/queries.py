@@ -908,12 +908,12 @@ def q_report_rates_without_services(spark, sf):
 
 @register("report_services_without_rates")
 def q_report_services_without_rates(spark, sf):
-    return _report(spark, sf, lambda d: R.services_without_rates(d, AS_OF))
+    return _report(spark, sf, lambda d: R.services_without_rates(d, AS_OF), ("property", "property_services_facts"))
 
 
 @register("report_historic_services")
 def q_report_historic_services(spark, sf):
-    return _report(spark, sf, lambda d: R.historic_services(d, AS_OF), ("property", "property_services_facts"))
+    return _report(spark, sf, lambda d: R.historic_services(d, AS_OF), ("property",))
 
 
 @register("report_mailing_audit")
@@ -923,12 +923,12 @@ def q_report_mailing_audit(spark, sf):
 
 @register("report_services_without_rates_v2")
 def q_report_services_without_rates_v2(spark, sf):
-    return _report(spark, sf, lambda d: R.services_without_rates_m(d, AS_OF))
+    return _report(spark, sf, lambda d: R.services_without_rates_m(d, AS_OF), ("property",))
 
 
 @register("report_rates_without_services_v2")
 def q_report_rates_without_services_v2(spark, sf):
-    return _report(spark, sf, lambda d: R.rates_without_services_m(d, AS_OF))
+    return _report(spark, sf, lambda d: R.rates_without_services_m(d, AS_OF), ("property",))
 
 
 def queries() -> dict[str, Query]:

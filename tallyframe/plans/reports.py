@@ -464,7 +464,7 @@ def services_without_rates(d: Domain, as_of) -> DataFrame:
 def historic_services(d: Domain, as_of) -> DataFrame:
     """J7: historic properties that still have current services, per service code."""
     p = d.property.where(F.col("status") == "H")
-    ps = d.property_services_facts.where(active_all("status", "removal_date", as_of)).select(
+    ps = ds.m_services_facts(d).where(active_all("status", "removal_date", as_of)).select(
         F.col("property_key").alias("__ps_key"), "service_code", "number_of_services")
     out = (p.join(ps, F.col("property_key") == F.col("__ps_key"))
            .groupBy("property_key", "tpklpaprop", "formatted_address", "suburb", "service_code")

@@ -347,13 +347,16 @@ def test_a_hot_key_is_not_bucketed(spark, sf_small, tmp_path, monkeypatch):
 def test_reconciliation_moves_current_facts_only(spark, sf_small, tmp_path):
     """Facts that ended are neither written nor joined for a reconciliation; written registers give the same rows."""
     path = str(tmp_path / "sf")
-    for name in ("customer", "orders", "lineitem", "nation"):
+    for name in ("customer", "orders", "lineitem", "nation", "events"):
         spark.read.parquet(f"{sf_small}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
     rows = lambda df: sorted(map(repr, df.collect()))
     try:
         got = rows(REGISTRY["reconcile_nonmatch"](spark, path))
         d = domain(spark, path)
         assert got and all(t.startswith("datasets/") for t in d.log)
+        for key in ("report_services_without_rates_v2", "report_historic_services", "report_shared_nonmatch", "current_services"):
+            REGISTRY[key](spark, path).collect()
+        assert {t for t in d.log if not t.startswith("datasets/")} == {"property"}
         services, rates = ds.active_red_services(d, AS_OF), ds.current_rate_facts(d, AS_OF)
         assert 0 < services.count() < d.property_services_facts.count() / 2 and 0 < rates.count() < d.rate_type_facts.count() / 2
         # now that the registers are written, datasets are derived from them
